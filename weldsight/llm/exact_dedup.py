@@ -136,6 +136,15 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows_.select("doc_id", "keep_id", "group_size", (F.col("lead") & (F.col("_at") == 0)).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: exactly one of each group."""
+    stay = content_sort_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_digest"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keyed = docs.withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()).cast("binary"), 256))
+    same = (F.col("_sha") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents"))
 

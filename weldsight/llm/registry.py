@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from weldsight.llm import byte_bpe, exact_dedup
+from weldsight.llm import byte_bpe, exact_dedup, mixing, near_dedup, sharding, toxicity
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_mixing": mixing.op6_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op6_mixing": mixing.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
