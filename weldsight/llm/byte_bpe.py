@@ -24,7 +24,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: so that the same contraction of longer words (long runs without any break) keeps its pairs in a heap.
 LONGEST = 256
 #: Words kept encoded between tasks by a Python worker, and bytes or tokens handed to one query.
-KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 300_000, 150_000, 400_000
+KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 400_000, 400_000, 500_000
 
 # A row is one token of a word. Each step joins neighbouring tokens to the merges and contracts, in every word that
 # still has a merge, the leftmost pair of the least rank; a word without one is done. One thread keeps the order of
@@ -46,7 +46,7 @@ WITH RECURSIVE s AS (
 SELECT w, tok FROM s WHERE done ORDER BY w, pos
 """
 
-_DECODE_SQL = "SELECT array_agg(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (tok)"
+_DECODE_SQL = "SELECT array_agg(bytes) AS parts FROM (SELECT bytes FROM tokens JOIN vocabulary USING (tok) ORDER BY pos)"
 
 
 def _splitter(pattern: str):
@@ -75,17 +75,28 @@ class _Codec:
         unsafe = np.zeros(max(self.ranks.values()) + 1, bool)
         unsafe[left[left > rank]] = True
         unsafe[right[right > rank]] = True
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "450MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._load("merges", {"l": left, "r": right, "rank": rank, "safe": ~unsafe[rank]})
         self._load("vocabulary", {"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
-        self.words: dict[str, np.ndarray] = {}
+        self._forget()
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("loading", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loading")
         self.db.unregister("loading")
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        """No word is known: words has a word's place in start and size, which point into pool."""
+        self.words: dict[str, int] = {}
+        self.pool, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, words: list[str], tokens: np.ndarray, sizes: np.ndarray) -> None:
+        self.words.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.pool = np.concatenate([self.pool, tokens])
+
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words], np.int64)
         at = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = ragged(np.zeros(len(words)), lengths).astype(np.int32)
@@ -93,8 +104,7 @@ class _Codec:
         out = self.db.sql(_CONTRACT_SQL).to_arrow_table()
         self.db.unregister("base")
         w, tok = out.column("w").to_numpy(), out.column("tok").to_numpy()
-        edges = np.searchsorted(w, np.arange(len(words) + 1, dtype=np.int32)).tolist()
-        return [tok[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return tok, np.bincount(w, minlength=len(words)).astype(np.int64)
 
     def _contract_long(self, word: bytes) -> np.ndarray:
         parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
@@ -117,39 +127,42 @@ class _Codec:
     def learn(self, words: list[str]) -> None:
         """Encodes the words that are not known yet."""
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        new: list[tuple[str, bytes]] = []
+            self._forget()
+        done: list[tuple[str, np.ndarray]] = []
+        names: list[str] = []
+        new: list[bytes] = []
         for word in words:
             if word in self.words:
                 continue
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.words[word] = np.array([rank], np.int32)
+                done.append((word, np.array([rank], np.int32)))
             elif len(data) > LONGEST:
-                self.words[word] = self._contract_long(data)
+                done.append((word, self._contract_long(data)))
             else:
-                new.append((word, data))
-        ends, at = np.cumsum([len(d) for _, d in new]), 0
+                names.append(word)
+                new.append(data)
+        if done:
+            self._keep([w for w, _ in done], np.concatenate([t for _, t in done]), np.array([len(t) for _, t in done], np.int64))
+        ends, at = np.cumsum([len(d) for d in new]), 0
         while at < len(new):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
-            for (word, _), ids in zip(new[at:end], self._contract([d for _, d in new[at:end]]), strict=True):
-                self.words[word] = ids
+            self._keep(names[at:end], *self._contract(new[at:end]))
             at = end
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each text) of the texts, one after the other."""
         split = [self.split(t) for t in texts]
         flat = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
+        counts = np.array([len(words) for words in split], np.int64)
+        del split
         vocabulary = flat.dictionary.to_pylist()
         self.learn(vocabulary)
-        coded = [self.words[w] for w in vocabulary]
-        sizes = np.array([len(c) for c in coded], np.int64)
-        pool = np.concatenate(coded) if coded else np.zeros(0, np.int32)
-        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        begin = np.cumsum(sizes) - sizes
-        ids = pool[ragged(begin[at], sizes[at])] if len(at) else pool
-        ends = np.concatenate([[0], np.cumsum(sizes[at])])[np.cumsum([0, *map(len, split)])]
-        return ids, np.diff(ends)
+        place = np.fromiter(map(self.words.__getitem__, vocabulary), np.int64, len(vocabulary))
+        at = place[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+        sizes = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return self.pool[ragged(self.start[at], sizes)], np.diff(ends)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each document's ids, by joining token rows to the vocabulary and aggregating in order."""
@@ -196,6 +209,35 @@ def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    for b in _blocks(batches, "text", 6_000_000):
+        ids, sizes = _codec(path, pattern).encode(b.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, sizes)], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    for b in _blocks(batches, "ids", 2_000_000):
+        lists = b.column("ids")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        decoded = pa.array(_codec(path, pattern).decode(lists.flatten().to_numpy(zero_copy_only=False), sizes), pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists, decoded = b.column("ids"), b.column("decoded")
+        sizes = pc.list_value_length(lists).to_numpy()
+        raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        ends = 4 * np.cumsum(sizes.astype(np.int64))
+        shas = [hashlib.sha256(raw[e - 4 * n : e]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text, as the tiktoken library encodes ordinary text.
 
@@ -204,43 +246,25 @@ def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = N
     an empty table gives no rows; other columns are not read.
     """
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, "text", 4_000_000):
-            ids, sizes = _codec(path, pattern).encode(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, sizes)], ["doc_id", "ids"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>")
+    return _source(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, path, pattern), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids and the decoded bytes; no ids (or null) give no bytes, and ids outside the vocabulary are an error."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path, pattern), "doc_id long, ids array<int>, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, "ids", DECODE_ROWS):
-            lists = b.column("ids")
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            codec = _codec(path, pattern)
-            decoded = pa.array(codec.decode(ids, sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to: bpe_encode and bpe_decode in one pass, so
+    that ids and bytes stay in the task. Nulls, repeated rows and empty tables are as in bpe_encode."""
+    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _digests(_decoded(_encoded(batches, path, pattern), path, pattern))
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lists, decoded = b.column("ids"), b.column("decoded")
-        sizes = pc.list_value_length(lists).to_numpy()
-        raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = 4 * np.cumsum(sizes.astype(np.int64))
-        shas = [hashlib.sha256(raw[e - 4 * n : e]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
-    return coded.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bpe_round_trip(table(spark, sf_dir, "documents"))
