@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from weldsight.llm import byte_bpe, exact_dedup, mixing, near_dedup, sharding, toxicity
+from weldsight.llm import ann, byte_bpe, exact_dedup, html_content, langid, mixing, near_dedup, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_html_content": html_content.op3_html_content,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op8_nearest": ann.op8_nearest,
+    "op9_language": langid.op9_language,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
