@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weldsight.llm import ann, byte_bpe, exact_dedup, html_content, langid, mixing, near_dedup, sharding, toxicity
+from weldsight.llm import ann, byte_bpe, exact_dedup, html_content, langid, mixing, near_dedup, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_nearest": ann.op8_nearest,
     "op9_language": langid.op9_language,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
