@@ -1,4 +1,5 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weldsight.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
