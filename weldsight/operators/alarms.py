@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weldsight.config import Profile
-
-BY_GUN = Window.partitionBy("gun").orderBy("win")
-PAST = BY_GUN.rowsBetween(Window.unboundedPreceding, 0)
+from weldsight.operators.shape import by_gun, past
 
 
 def alarms(scored: DataFrame, thresholds: DataFrame, profile: Profile) -> DataFrame:
@@ -21,8 +19,8 @@ def alarms(scored: DataFrame, thresholds: DataFrame, profile: Profile) -> DataFr
 
 def alarm_runs(alarmed: DataFrame, profile: Profile) -> DataFrame:
     """Runs of at least ``sustain`` alarming windows that follow each other."""
-    step = (F.col("alarm") != F.coalesce(F.lag("alarm").over(BY_GUN), F.lit(-1))) | (F.col("win") - F.lag("win").over(BY_GUN) > 1)
-    runs = alarmed.withColumn("_new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(PAST))
+    step = (F.col("alarm") != F.coalesce(F.lag("alarm").over(by_gun("win")), F.lit(-1))) | (F.col("win") - F.lag("win").over(by_gun("win")) > 1)
+    runs = alarmed.withColumn("_new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(past("win")))
     found = runs.filter("alarm = 1").groupBy("gun", "run").agg(F.min("win").alias("first_win"), F.max("win").alias("last_win"), F.count(F.lit(1)).alias("windows"), F.max("ttf_s").alias("start_ttf"), F.min("ttf_s").alias("end_ttf"), F.max("score").alias("top_score"))
     return found.filter(F.col("windows") >= profile.sustain).drop("run")
 
@@ -43,7 +41,7 @@ def false_runs(alarmed: DataFrame, runs: DataFrame, profile: Profile) -> DataFra
 
 def sustained(alarmed: DataFrame, profile: Profile) -> DataFrame:
     """Per window how long the alarm has lasted and whether that sustains it."""
-    since = F.max(F.when(F.col("alarm") == 0, F.col("win"))).over(PAST)
+    since = F.max(F.when(F.col("alarm") == 0, F.col("win"))).over(past("win"))
     lasted = F.when(F.col("alarm") == 1, F.col("win") - F.coalesce(since, F.min("win").over(Window.partitionBy("gun")) - 1)).otherwise(0)
     return alarmed.withColumn("alarm_windows", lasted).withColumn("sustained", (lasted >= profile.sustain).cast("int"))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weldsight.operators.shape import BY_GUN, PAST
+from weldsight.operators.shape import by_gun, past
 
 
 def episodes(rows: DataFrame) -> DataFrame:
     """Unbroken runs of one state code other than 0."""
-    change = F.coalesce((F.col("code") != F.lag("code").over(BY_GUN)).cast("int"), F.lit(1))
-    runs = rows.withColumn("_c", change).withColumn("_e", F.sum("_c").over(PAST))
+    change = F.coalesce((F.col("code") != F.lag("code").over(by_gun())).cast("int"), F.lit(1))
+    runs = rows.withColumn("_c", change).withColumn("_e", F.sum("_c").over(past()))
     return runs.filter("code <> '0'").groupBy("gun", "class", "code", "_e").agg(F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count(F.lit(1)).alias("slots"), F.min("ttf_s").alias("end_ttf")).drop("_e")
 
 
@@ -22,7 +22,7 @@ def episode_stats(found: DataFrame, slot_s: int) -> DataFrame:
 
 def gaps(grid: DataFrame) -> DataFrame:
     """Lengths in slots of the runs of absent slots."""
-    island = grid.withColumn("_i", F.sum("present").over(PAST))
+    island = grid.withColumn("_i", F.sum("present").over(past()))
     return island.filter("present = 0").groupBy("gun", "class", "_i").agg(F.count(F.lit(1)).alias("gap")).drop("_i")
 
 

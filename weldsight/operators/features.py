@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from weldsight.config import TERMINAL_CODES, Profile
 
-SEGMENT = Window.partitionBy("gun", "segment").orderBy("slot")
 CODES = list(TERMINAL_CODES)
 
 
+def segment():
+    return Window.partitionBy("gun", "segment").orderBy("slot")
+
+
 def counter_delta(rows: DataFrame) -> DataFrame:
     """Increase of the counter within a segment, never negative."""
-    return rows.withColumn("buys_delta", F.coalesce(F.greatest(F.col("buys") - F.lag("buys").over(SEGMENT), F.lit(0)), F.lit(0)))
+    return rows.withColumn("buys_delta", F.coalesce(F.greatest(F.col("buys") - F.lag("buys").over(segment()), F.lit(0)), F.lit(0)))
 
 
 def rolling(rows: DataFrame, slots: int) -> DataFrame:
     """Sums and shares over the last ``slots`` slots of the segment."""
-    frame = SEGMENT.rangeBetween(-(slots - 1), 0)
+    frame = segment().rangeBetween(-(slots - 1), 0)
     return rows.withColumn("buys_roll", F.sum("buys_delta").over(frame)).withColumn("duty_roll", F.avg((F.col("value") > 50).cast("double")).over(frame)).withColumn("error_share", F.avg((F.col("code") != "0").cast("double")).over(frame))
 
 

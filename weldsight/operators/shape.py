@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from weldsight.config import Profile
 
-BY_GUN = Window.partitionBy("gun").orderBy("slot")
-PAST = BY_GUN.rowsBetween(Window.unboundedPreceding, 0)
-FUTURE = BY_GUN.rowsBetween(0, Window.unboundedFollowing)
+
+def by_gun(order: str = "slot"):
+    return Window.partitionBy("gun").orderBy(order)
+
+
+def past(order: str = "slot"):
+    return by_gun(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def future(order: str = "slot"):
+    return by_gun(order).rowsBetween(0, Window.unboundedFollowing)
 
 
 def dedup_last(readings: DataFrame) -> DataFrame:
@@ -29,22 +37,22 @@ def grid_align(rows: DataFrame) -> DataFrame:
 
 def carry_code(grid: DataFrame) -> DataFrame:
     """A state code holds until the next one, over any gap."""
-    return grid.withColumn("code", F.coalesce(F.last("code", True).over(PAST), F.lit("0")))
+    return grid.withColumn("code", F.coalesce(F.last("code", True).over(past()), F.lit("0")))
 
 
 def bounded_fill(grid: DataFrame, limit: int, columns: tuple[str, ...] = ("value", "k", "nw", "buys")) -> DataFrame:
     """Gaps up to ``limit`` slots keep the last reading; longer ones are removed whole."""
-    island = grid.withColumn("_island", F.sum("present").over(PAST))
+    island = grid.withColumn("_island", F.sum("present").over(past()))
     gap = F.count(F.lit(1)).over(Window.partitionBy("gun", "_island")) - 1
-    held = island.withColumn("_gap", gap).select("*", *[F.last(c, True).over(PAST).alias(f"_{c}") for c in columns])
+    held = island.withColumn("_gap", gap).select("*", *[F.last(c, True).over(past()).alias(f"_{c}") for c in columns])
     kept = held.filter((F.col("present") == 1) | (F.col("_gap") <= limit))
     return kept.select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in grid.columns])
 
 
 def segments(rows: DataFrame) -> DataFrame:
     """A new segment wherever more than one slot lies between neighbours."""
-    step = F.col("slot") - F.lag("slot").over(BY_GUN)
-    return rows.withColumn("_new", F.when(step > 1, 1).otherwise(0)).withColumn("segment", F.sum("_new").over(PAST)).drop("_new")
+    step = F.col("slot") - F.lag("slot").over(by_gun())
+    return rows.withColumn("_new", F.when(step > 1, 1).otherwise(0)).withColumn("segment", F.sum("_new").over(past())).drop("_new")
 
 
 def last_segment(rows: DataFrame) -> DataFrame:
@@ -55,7 +63,7 @@ def last_segment(rows: DataFrame) -> DataFrame:
 def carry_non_welding(rows: DataFrame, columns: tuple[str, ...] = ("value", "k")) -> DataFrame:
     """Readings while not welding are blank; the last welding one stands in, before the first the next."""
     blank = rows.select("*", *[F.when(~F.col("nw"), F.col(c)).alias(f"_{c}") for c in columns])
-    carried = [F.coalesce(F.last(f"_{c}", True).over(PAST), F.first(f"_{c}", True).over(FUTURE)).alias(f"_{c}") for c in columns]
+    carried = [F.coalesce(F.last(f"_{c}", True).over(past()), F.first(f"_{c}", True).over(future())).alias(f"_{c}") for c in columns]
     both = blank.select(*rows.columns, *carried)
     return both.select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns])
 

@@ -271,8 +271,9 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_tumbling"] = stream_tumbling
-ORACLES["stream_tumbling"] = """SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(avg(value), 6) + 0.0::DOUBLE AS mean FROM events GROUP BY ALL
-HAVING epoch_us(date_trunc('hour', ts)) + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events)"""
+ORACLES["stream_tumbling"] = """SELECT start_us, event_type, count(*) AS n, round(avg(value), 6) + 0.0::DOUBLE AS mean
+FROM (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_type, value FROM events)
+WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) GROUP BY start_us, event_type"""
 
 
 def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
