@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from weldsight.llm.common import cut, slots, table
 
-SHARDS, ROUNDS = 16, 5
+SHARDS, ROUNDS = 16, 6
+#: Share by which quotas are exceeded in the first round; rows beyond a shard's size move on at the end.
+SLACK = 0.1
 #: Parts of a shard in which rows are numbered; hash parts of a level of demand; rows of a group from which it is salted.
-BUCKETS, DEMAND_PARTS, HOT = 1024, 64, 4096
+BUCKETS, DEMAND_PARTS, HOT = 1024, 64, 256
 
 
 def _loads(state: DataFrame, label: str, shards: int) -> list[int]:
@@ -22,29 +24,44 @@ def propagate(cells: DataFrame, quota: int, shards: int = SHARDS, rounds: int =
 
     ``cells`` has a row (hub, home, n) for the n rows that hang on a hub and start in shard ``home``: rows of a cell
     have the same links and move together. Each round joins the cells to their hub's tally by shard; cells propose the
-    shard with the most neighbours, and a shard takes proposals by gain until its quota of linked rows is full. The
-    demand comes to the driver only by shard, level of gain (a power of two) and hash part. Returns hub, home, n, label.
+    shard with the most neighbours, and a shard takes proposals by gain until its quota of linked rows is full; what
+    leaves a shard makes room. The demand comes to the driver only by shard, level of gain (a power of two) and hash part. Returns hub, home, n, label.
     """
     state = cut(cells.withColumn("label", F.col("home")))
     level = F.floor(F.log2(F.col("gain").cast("double") + 1)).cast("int")
-    for _ in range(rounds):
+    load = _loads(state, "label", shards)
+    for turn in range(rounds):
+        # quotas are loose at first, so that full shards can exchange rows, and every other round full ones draw none
+        most = int(quota * (1 + SLACK * (rounds - 1 - turn) / max(1, rounds - 1)))
+        full = [s for s in range(shards) if load[s] >= most] if turn % 2 else []
         tally = state.groupBy("hub", "label").agg(F.sum("n").alias("m"))
-        best = tally.groupBy("hub").agg(F.max(F.struct("m", (-F.col("label")).alias("key"))).alias("best")).select("hub", (-F.col("best.key")).alias("target"), F.col("best.m").alias("there"))
+        wanted = F.when(F.col("label").isin(full), 0).otherwise(F.col("m")) if full else F.col("m")
+        best = tally.groupBy("hub").agg(F.max(F.struct(wanted.alias("m"), F.xxhash64("hub", "label").alias("tie"), "label")).alias("best")).select("hub", F.col("best.label").alias("target"), F.col("best.m").alias("there"))
         here = state.join(tally.withColumnRenamed("m", "here"), ["hub", "label"]).join(best, "hub")
-        moves = here.withColumn("gain", F.col("there") - F.col("here")).withColumn("level", level).withColumn("part", F.pmod(F.xxhash64("hub", "home"), F.lit(DEMAND_PARTS)).cast("int"))
-        proposals = cut(moves.select("hub", "home", "n", "label", "target", "level", "part"))
-        load = _loads(state, "label", shards)
-        demand = proposals.filter("target <> label").groupBy("target", "level", "part").agg(F.sum("n").alias("n")).collect()  # shards x 64 x DEMAND_PARTS rows at most
-        accepted, left = {}, [quota - x for x in load]
-        for r in sorted(demand, key=lambda r: (r.target, -r.level, r.part)):
-            if r.n <= left[r.target]:
-                left[r.target] -= r.n
-                accepted.setdefault(r.target, []).append(r.level * DEMAND_PARTS + r.part)
+        moves = here.withColumn("gain", F.greatest(F.col("there") - F.col("here"), F.lit(0)) + 1).withColumn("level", level).withColumn("part", F.pmod(F.xxhash64("hub", "home"), F.lit(DEMAND_PARTS)).cast("int"))
+        proposals = cut(moves.select("hub", "home", "n", "label", F.when(F.col("there") > 0, F.col("target")).otherwise(F.col("label")).alias("target"), "level", "part"))
+        demand = proposals.filter("target <> label").groupBy("label", "target", "level", "part").agg(F.sum("n").alias("n")).collect()  # shards squared x 64 x DEMAND_PARTS rows at most
+        waiting, accepted = sorted(demand, key=lambda r: (-r.level, r.part, r.target, r.label)), []
+        while waiting:
+            left = []
+            for r in waiting:
+                if load[r.target] + r.n <= most:
+                    load[r.target] += r.n
+                    load[r.label] -= r.n
+                    accepted.append(r)
+                else:
+                    left.append(r)
+            if len(left) == len(waiting):
+                break
+            waiting = left
         if not accepted:
-            break
+            continue
+        keys = {}
+        for r in accepted:
+            keys.setdefault((r.label, r.target), []).append(r.level * DEMAND_PARTS + r.part)
         taken = F.lit(False)
-        for target, keys in accepted.items():
-            taken = taken | ((F.col("target") == target) & (F.col("level") * DEMAND_PARTS + F.col("part")).isin(keys))
+        for (label, target), parts in keys.items():
+            taken = taken | ((F.col("label") == label) & (F.col("target") == target) & (F.col("level") * DEMAND_PARTS + F.col("part")).isin(parts))
         state = cut(proposals.select("hub", "home", "n", F.when(taken, F.col("target")).otherwise(F.col("label")).alias("label")))
     return state
 
