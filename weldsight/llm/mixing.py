@@ -56,7 +56,9 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, wanted: dict[str, dict[str, flo
     out = cut(out.withColumn("weight", F.col("base").cast("double")))
     mass = out.agg(F.sum("base").cast("double").alias("_mass"))
     out = out.join(F.broadcast(mass))
-    for _ in range(rounds):
+    for turn in range(rounds):
+        if turn and turn % 8 == 0:  # longer plans take the driver longer than the work
+            out = cut(out)
         for m in MARGINS:
             now = F.sum("weight").over(Window.partitionBy(m))
             out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_t_{m}") * F.col("_mass") / now).otherwise(0.0))
