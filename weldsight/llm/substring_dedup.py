@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -11,14 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, mix64, partitions, table, text_buffers
+from weldsight.llm.common import cut, mix64, partitions, small_batches, table, text_buffers
 from weldsight.llm.grouping_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 32
 #: Rows of an anchor (copies of texts included) beyond which its strings are compared by their digests in a shuffle
 #: instead of being sorted in one task; symbols that are sorted together.
-HOT, SYMBOLS = 50_000, 60_000
+HOT, SYMBOLS = 50_000, 30_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -32,7 +35,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     width = length - gram + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, m = mix64(data.astype(np.uint64) + _A), 1
+    h, m = _BYTES[data], 1
     while m < gram:
         h = (h[:-m] * _A) ^ (h[m:] * _B)
         h ^= h >> np.uint64(29)
@@ -47,18 +50,26 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - length + 1
     least = np.minimum(back[:starts], ahead[width - 1 : width - 1 + starts])
-    own = np.searchsorted(ends, np.arange(starts), "right")
-    inside = np.arange(starts) + length <= ends[own]
-    at = np.unique((least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    inside = np.ones(starts, bool)
+    for end in ends.tolist():
+        inside[max(0, end - length + 1) : end] = False
+    at = (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # ascending
+    at = at[np.diff(at, prepend=-1) > 0]
     return at, h[at]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         sizes = np.diff(text_buffers(whole.column("text"))[0])
         cuts, at = [], 0
-        while at < len(sizes):  # parts of a few MB
-            end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), 4_000_000, "right")))
+        while at < len(sizes):  # parts of 1 MB, as their arrays take a hundred times that
+            end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), 1_000_000, "right")))
             cuts.append((at, end))
             at = end
         for at, end in cuts:
@@ -72,7 +83,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each anchor that strings through it can have; equal ones of a text are one row with all places."""
-    for b in batches:
+    for b in _parts(batches, 200):
         rows: list[tuple] = []
         for key, text, spots in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spots").to_pylist(), strict=True):
             own: dict[tuple, list[int]] = {}
@@ -93,26 +104,42 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 class _Side:
-    """One side of the contexts of an anchor, sorted: which of them agree up to which distance from the anchor."""
+    """One side of the contexts of an anchor: the tree of their common prefixes, read away from the anchor."""
 
     def __init__(self, strings: list[bytes]):
+        self.strings = strings
         self.order = sorted(range(len(strings)), key=strings.__getitem__)
-        self.lcp = np.array([_shared(strings[i], strings[j]) for i, j in zip(self.order, self.order[1:], strict=False)], np.int64)
-        near = np.maximum(np.append(self.lcp, 0), np.insert(self.lcp, 0, 0))
-        self.most = np.zeros(len(strings), np.int64)
-        self.most[self.order] = near
-
-    def symbols(self, first: int) -> tuple[np.ndarray, list[list[int]], int]:
-        """(distances, symbols by string, next free symbol): strings with one symbol agree up to its distance."""
-        depths = np.unique(self.lcp[self.lcp > 0])
-        out: list[list[int]] = [[] for _ in self.order]
-        for d in depths.tolist():
-            run = first + np.concatenate([[0], np.cumsum(self.lcp < d)])
-            for i, r in zip(self.order, run.tolist(), strict=True):
-                if self.most[i] >= d:
-                    out[i].append(r)
-            first = int(run[-1]) + 1
-        return depths, out, first
+        self.lcp = [_shared(strings[i], strings[j]) for i, j in zip(self.order, self.order[1:], strict=False)]
+        self.most = [0] * len(strings)
+        for k, i in enumerate(self.order):
+            self.most[i] = max(self.lcp[k - 1] if k else 0, self.lcp[k] if k < len(self.lcp) else 0)
+
+    def paths(self, first: int) -> tuple[list[list[tuple[int, int]]], int]:
+        """For each string the inner nodes from the root to it as (symbol, depth), and the next free symbol: two
+        strings have common nodes up to the depth to which they agree."""
+        depth, parent, stack = [0], [-1], [0]
+        owner = [0] * len(self.order)
+        for k, common in enumerate(self.lcp, 1):
+            last = -1
+            while depth[stack[-1]] > common:
+                last = stack.pop()
+            if depth[stack[-1]] < common:
+                depth.append(common)
+                parent.append(stack[-1])
+                stack.append(len(depth) - 1)
+            if last >= 0:
+                parent[last] = stack[-1]
+            owner[k] = stack[-1]
+            if depth[owner[k - 1]] < common:
+                owner[k - 1] = stack[-1]
+        out: list[list[tuple[int, int]]] = [[] for _ in self.order]
+        for k, i in enumerate(self.order):
+            node = owner[k]
+            while node > 0:
+                out[i].append((first + node, depth[node]))
+                node = parent[node]
+            out[i].reverse()
+        return out, first + len(depth)
 
 
 class _Sorter:
@@ -134,18 +161,18 @@ class _Sorter:
                 known.extend((key, pos - left, pos - left + len(context)) for key, pos in places)
         while len(items) > 1:
             ahead, back = _Side([c[left:] for (left, c), _ in items]), _Side([c[:left][::-1] for (left, c), _ in items])
-            able = ahead.most + back.most >= LENGTH
-            if able.all():
+            able = [a + b >= LENGTH for a, b in zip(ahead.most, back.most, strict=True)]
+            if all(able):
                 break
             items = [x for x, ok in zip(items, able, strict=True) if ok]
         if len(items) < 2:
             return known
-        right_depths, right, self.free = ahead.symbols(self.free)
-        left_depths, left_symbols, self.free = back.symbols(self.free)
+        right, self.free = ahead.paths(self.free)
+        left, self.free = back.paths(self.free)
         for i, (_, places) in enumerate(items):
-            self.rows.append((len(self.seq), places, left_depths[: len(left_symbols[i])], right_depths))
-            self.seq.extend(left_symbols[i][::-1])
-            self.seq.extend(right[i])
+            self.rows.append((len(self.seq), places, [d for _, d in left[i]], [d for _, d in right[i]]))
+            self.seq.extend(s for s, _ in left[i][::-1])
+            self.seq.extend(s for s, _ in right[i])
             self.seq.append(self.free)
             self.free += 1
         return known
@@ -166,8 +193,8 @@ class _Sorter:
                 beyond = best[at + count - k] - k
                 if beyond <= 0:
                     continue
-                most = int(lefts[k - 1]) if k else 0
-                least = max((int(lefts[k - 2]) + 1 if k > 1 else 1) if k else 0, LENGTH - int(rights[beyond - 1]))
+                most = lefts[k - 1] if k else 0
+                least = max((lefts[k - 2] + 1 if k > 1 else 1) if k else 0, LENGTH - rights[beyond - 1])
                 if least <= most:
                     out.extend((key, pos - most, pos - least + LENGTH) for key, pos in places)
         self.reset()
@@ -179,29 +206,39 @@ def _span_batch(spans: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], t) for i, t in enumerate(kinds)], ["key", "first", "end"])
 
 
+def _trim() -> None:
+    """Gives freed memory back, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor to spans of repeated strings."""
     sorter, spans = _Sorter(), []
     now, contexts = None, {}
-    for b in batches:
+    for b in _parts(batches, 500):
         for h, key, places, left, context in zip(*[b.column(c).to_pylist() for c in ("h", "key", "places", "left", "context")], strict=True):
             if h != now:
                 spans += sorter.add(contexts)
                 now, contexts = h, {}
                 if len(sorter.seq) > SYMBOLS:
                     spans += sorter.spans()
-                if len(spans) > 50_000:
+                if len(spans) > 20_000:
                     yield _span_batch(spans)
                     spans = []
+                    _trim()
             contexts.setdefault((left, context), []).extend((key, p) for p in places)
     spans += sorter.add(contexts)
     spans += sorter.spans()
     yield _span_batch(spans)
+    del spans, sorter, contexts
+    _trim()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of all strings through very common anchors."""
-    for b in batches:
+    for b in _parts(batches, 200):
         rows = []
         for key, places, left, context in zip(*[b.column(c).to_pylist() for c in ("key", "places", "left", "context")], strict=True):
             for i in range(min(left, len(context) - LENGTH) + 1):
@@ -212,7 +249,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _parts(batches, 200):
         rows = []
         for key, text, spans in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
             kept, at, removed, count, reach = hashlib.sha256(), 0, 0, 0, -1
@@ -239,7 +276,7 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """
     n = partitions(texts.sparkSession)
     long_ = texts.filter(F.octet_length("text") >= LENGTH)
-    rows = long_.mapInArrow(_anchor_rows, "key binary, pos int, h long")
+    rows = cut(long_.mapInArrow(_anchor_rows, "key binary, pos int, h long"))
     spot = F.xxhash64("key", "pos")
     several = rows.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
     spots = rows.join(several.select("h", (F.col("c") > hot).alias("hot")), "h")
@@ -264,6 +301,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count as empty; nothing is removed from texts under 400 bytes; repeated rows are copies of one another, whatever
     their doc_id; an empty table gives no rows; other columns are not read.
     """
+    with small_batches(docs.sparkSession, 500):
+        return _remove_repeats(docs, id_col, text_col, hot)
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     raw = F.col("text").cast("binary")
     rows = cut(source.select("doc_id", F.unhex(F.md5(raw)).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha")))
