@@ -231,7 +231,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = 4 * np.cumsum(sizes.astype(np.int64))
         shas = [hashlib.sha256(raw[e - 4 * n : e]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array(shas), pa.array(back)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,15 +256,23 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, pattern: str | None
     return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path, pattern), "doc_id long, ids array<int>, decoded binary")
 
 
-def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of what they decode to: bpe_encode and bpe_decode in one pass, so
-    that ids and bytes stay in the task. Nulls, repeated rows and empty tables are as in bpe_encode."""
+def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to (with_ids: and the ids themselves).
+
+    bpe_encode and bpe_decode in one pass of one worker, so that bytes stay in the task. Nulls, repeated rows and
+    empty tables are as in bpe_encode."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _digests(_decoded(_encoded(batches, path, pattern), path, pattern))
-
-    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for b in _digests(_decoded(_encoded(batches, path, pattern), path, pattern)):
+            yield b if with_ids else b.drop_columns("ids")
+        codec = _codec(path, pattern)
+        if len(codec.words) > KEPT_WORDS // 2:  # idle workers stay small
+            codec._forget()
+        pa.default_memory_pool().release_unused()
+
+    ids = "ids array<int>, " if with_ids else ""
+    return _source(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,20 +180,21 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = N
     """The columns ``keep`` (doc_id if none are named) with score (0 to 1) and predicted (1 from 0.5 on).
 
     Scores depend on the text alone, read whole. Null texts count as empty and get the score of a text without any
-    hit; repeated rows get equal scores; an empty table gives no rows; clashing columns of the input are not read.
+    hit; repeated rows get equal scores; an empty table gives no rows; columns that are not named are not read, and
+    ``keep`` must not hold score or predicted.
     """
     keep = keep or ["doc_id"]
 
+    source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for b in batches:
-            texts = b.column("_text").to_pylist()
-            x = np.array([lexicon.features(t or "", automaton) for t in texts]).reshape(len(texts), FEATURES)
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            x = np.array([lexicon.features(t.as_py() or "", automaton) for t in b.column("text")]).reshape(b.num_rows, FEATURES)
             score = lexicon.scores(x)
             columns = [*[b.column(c) for c in keep], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
 
-    source = docs.select(*keep, F.col("text").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return source.mapInArrow(run, f"{fields}, score double, predicted int")
 
