@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.byte_bpe import bpe_decode, bpe_encode
+from weldsight.llm.byte_bpe import bpe_round_trip
 from weldsight.llm.common import table, written
 from weldsight.llm.exact_dedup import without_copies
 from weldsight.llm.mixing import take
@@ -16,8 +16,9 @@ from weldsight.llm.toxicity import learn_toxicity, score_toxicity
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents whose score is 0.5 or more. Null and empty texts stay; an empty table stays empty."""
     lexicon = learn_toxicity(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select(F.struct("*").alias("_row"), "text")
-    return score_toxicity(whole, lexicon, ["_row"]).filter("predicted = 0").select("_row.*")
+    named = docs.toDF(*[c if c == "text" else f"_{c}" for c in docs.columns])
+    kept = score_toxicity(named, lexicon, named.columns).filter("predicted = 0")
+    return kept.select(*named.columns).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of what the ids decode to."""
-    coded = bpe_decode(bpe_encode(docs))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids and digests of the ids and of what they decode to."""
+    return bpe_round_trip(docs, with_ids=True)
 
 
 STAGES = [
