@@ -17,8 +17,11 @@ WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold meets in one band at least with probability 1 - (1 - 0.8**4)**20 > 0.99997.
 BANDS, BAND_ROWS = 20, 4
 REGISTERS = BANDS * BAND_ROWS
-#: Bucket rows from which a bucket that holds several classes is split by the rows' other bands.
-LARGE_BUCKET = 64
+#: Bands that a pair shares before its texts are compared in later rounds: a pair at the threshold shares two at least
+#: with probability over 0.9996. Rounds of comparing a bucket's rows with members of its largest class, and these.
+SHARED_BANDS, ROUNDS, MEMBERS = 2, 1, 6
+#: Bucket rows from which a bucket that still holds several classes is split by the rows' other bands.
+LARGE_BUCKET = 4096
 
 _U = np.uint64
 _STEP, _LEVEL = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
@@ -166,6 +169,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes after more edges: the components of the classes' roots."""
+    for side in ("a", "b"):
+        named = classes.select(F.col("node").alias(side), F.col("root").alias("_r"))
+        edges = edges.join(named, side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
+    roots = components(edges.filter("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = classes.unionByName(roots.select(F.col("root").alias("node"), "root").join(classes, "node", "left_anti"))
+    # dealt anew, or the parts of every union would add up
+    return cut(every.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")).repartition("node"))
+
+
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """(a, b, j) of the pairs: the exact overlap of their multisets over the size of their union."""
     right = bags.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
@@ -180,20 +194,40 @@ def _alike(n: str, m: str):
     return F.least(n, m) >= F.greatest(n, m) * THRESHOLD
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a bucket, where neither sizes nor distances to the pivot rule a link out.
+def _likely(a: str, b: str):
+    return F.size(F.array_intersect(a, b)) >= SHARED_BANDS
 
-    Distance is a metric, so that texts whose distances to the pivot differ by more than 1 - THRESHOLD have no link.
-    """
-    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    left = rows.join(most.select("key", F.col("m.root").alias("main")), "key")
-    a = left.filter("root <> main").select("key", "main", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("j").alias("ja"))
-    b = left.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("j").alias("jb"))
-    far = F.coalesce(F.abs(F.col("ja") - F.col("jb")) > 1 - THRESHOLD + 1e-9, F.lit(False))
+
+def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, rep, n, root, main) of the buckets that hold several classes; main is the one with the most rows."""
+    placed = buckets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    return cut(placed.join(mixed.select("key", F.col("m.root").alias("main")), "key").select("key", "rep", "n", "root", "main", "rows"))
+
+
+def _against_main(rows: DataFrame, bands: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a bucket's rows outside its main class with some members of that, others each turn."""
+    members = F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(turn * MEMBERS + i))) for i in range(MEMBERS)])
+    chosen = rows.filter("root = main").groupBy("key").agg(F.array_distinct(members).alias("members"))
+    pairs = rows.filter("root <> main").join(chosen, "key").select(F.col("rep").alias("a"), F.explode("members").alias("b")).distinct()
+    one = bands.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ba"))
+    two = bands.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb"))
+    return pairs.join(one, "a").join(two, "b").filter(_alike("na", "nb") & _likely("ba", "bb")).select("a", "b")
+
+
+def _crossing(rows: DataFrame, bands: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of different classes that share a bucket and SHARED_BANDS bands, unless they were compared before. A pair
+    comes from one of its buckets alone; a bucket that was split names its band in ``first``."""
+    own = rows.join(bands.select("rep", "bands"), "rep")
+    a = own.filter("root <> main").select("key", "first", "main", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bands").alias("ba"))
+    b = own.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bands").alias("bb"))
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
-    joined = a.join(b, (a.key == b.key) & (F.col("ra") != F.col("rb")) & once & _alike("na", "nb") & ~far)
-    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = F.array_intersect("ba", "bb")
+    alone = F.col("first").isNull() | (F.array_min(shared) == F.col("first"))
+    joined = a.join(b, (a.key == b.key) & (F.col("ra") != F.col("rb")) & once & _alike("na", "nb") & (F.size(shared) >= SHARED_BANDS) & alone)
+    pairs = joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,7 +241,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are not read.
 
     Texts with equal shingles are one representative. In every bucket of a band all representatives are compared with
-    the bucket's least one; buckets whose rows then belong to several classes are compared across classes.
+    the bucket's least one, then those outside the bucket's largest class with some of its members in turn; what is
+    left in buckets with several classes is compared across these.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = cut(source.mapInArrow(_sign, "doc_id long, bag binary, n int, bands array<bigint>"))
@@ -223,21 +258,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = reps.select(F.col("rep").alias("pivot"), F.col("n").alias("np"))
     stars = buckets.filter("rep <> pivot").select("pivot", "rep", "n").distinct().join(pivots, "pivot").filter(_alike("n", "np"))
     links = cut(_verified(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), bags))
-    edges = links.filter(F.col("j") >= THRESHOLD)
-    classes = components(edges)
-
-    placed = buckets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = placed.join(links.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "j"), ["pivot", "rep"], "left")
-    placed = placed.withColumn("j", F.when(F.col("rep") == F.col("pivot"), 1.0).otherwise(F.col("j")))
-    mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("key")
-    open_ = cut(placed.join(mixed, "key").select("key", "rep", "n", "root", "j", "rows"))
-    small = open_.filter(F.col("rows") <= LARGE_BUCKET)
-    # texts that are linked share eight bands on average, so that a large bucket's rows meet again by another band
-    own = reps.select("rep", F.explode("bands").alias("other"))
-    large = open_.filter(F.col("rows") > LARGE_BUCKET).join(own, "rep").filter("other <> key").withColumn("key", F.xxhash64("key", "other")).drop("other")
-    missed = cut(_verified(_crossing(small.unionByName(large)), bags)).filter(F.col("j") >= THRESHOLD)
-    if not missed.isEmpty():
-        classes = components(edges.select("a", "b").union(missed.select("a", "b")))
+    classes = components(links.filter(F.col("j") >= THRESHOLD).select("a", "b"))
+    bands = reps.join(ids, "rep", "left_semi").select("rep", "n", "bands")
+    for turn in range(ROUNDS + 1):
+        rows = _open(buckets, classes)
+        if rows.isEmpty():
+            break
+        if turn < ROUNDS:
+            pairs = _against_main(rows, bands, turn)
+        else:
+            # texts that are linked share eight bands on average, so that a large bucket's rows meet again by another band
+            large = rows.filter(F.col("rows") > LARGE_BUCKET).join(bands.select("rep", F.explode("bands").alias("other")), "rep").filter("other <> key")
+            split = large.withColumn("key", F.xxhash64("key", "other")).drop("other").withColumn("first", F.lit(None).cast("long"))
+            small = rows.filter(F.col("rows") <= LARGE_BUCKET).withColumn("first", F.col("key"))
+            pairs = _crossing(small.unionByName(split), bands, links)
+        new = cut(_verified(pairs, bags))
+        links = links.unionByName(new)
+        more = new.filter(F.col("j") >= THRESHOLD).select("a", "b")
+        if not more.isEmpty():
+            classes = _joined(classes, more)
     found = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
