@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weldsight.llm.byte_bpe import bpe_round_trip
 from weldsight.llm.common import table, written
 from weldsight.llm.exact_dedup import without_copies
-from weldsight.llm.mixing import take
+from weldsight.llm.mixing import SHARE, take
 from weldsight.llm.near_dedup import near_duplicates
 from weldsight.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents by the probabilities that rake tokens to the source, language and topic targets."""
-    return take(docs)
+    """Draws documents by the probabilities that rake SHARE of the tokens to the source, language and topic targets."""
+    return take(docs, share=SHARE)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

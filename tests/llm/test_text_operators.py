@@ -153,6 +153,25 @@ def test_raked_margins_are_the_targets(spark):
             assert sum(r.weight for r in rows if r[m] == v) / total == pytest.approx(s, abs=1e-3)
 
 
+def test_mixture_of_a_share_keeps_it_whatever_the_smallest_cell(spark):
+    import corpus_pipeline
+
+    rows = [(i, _words(i, 150), "de" if i % 5 == 0 else "en", f"s{i % 3 if i % 4 else 0}") for i in range(2000)]
+    for stray in ([], [(5000, _words(1, 50), "en", "stray")]):
+        docs = spark.createDataFrame([*rows, *stray], "doc_id long, text string, lang string, source string")
+        mixed = mixing.mix(docs, share=0.5).collect()
+        tokens = sum(r.tokens for r in mixed)
+        assert sum(r.tokens * r.prob for r in mixed) == pytest.approx(0.5 * tokens, rel=1e-3)
+        assert all(0 < r.prob <= 1 for r in mixed) and all(r.prob == 1 for r in mixed if r.source == "stray")
+        words = sum(len(r.text.split()) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+        assert 0.44 < words / tokens < 0.56
+        within = {s: sum(r.tokens for r in mixed if r.source == s) for s in ("s0", "s1", "s2", "stray")}
+        power = {s: n**0.7 for s, n in within.items() if s != "stray"}
+        rest = 0.5 * tokens - within["stray"]
+        for s, p in power.items():
+            assert sum(r.tokens * r.prob for r in mixed if r.source == s) == pytest.approx(rest * p / sum(power.values()), rel=0.02)
+
+
 def test_toxicity(spark, docs, empty):
     assert toxicity.fold("An 1D10T, сlown!") == " an idiot clown "
     r = random.Random(2)
