@@ -235,6 +235,22 @@ def test_nearest(spark):
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("enough", [5, 0])
+def test_nearest_gives_all_rows_to_tight_groups(spark, monkeypatch, enough):
+    monkeypatch.setattr(ann, "PER_CENTROID", 10)
+    monkeypatch.setattr(ann, "ENOUGH", enough, raising=False)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.repeat(rng.normal(size=(120, 8)) * 100, 5, axis=0) + rng.normal(size=(600, 8)) * 1e-3)]
+    vectors = spark.createDataFrame([*rows, rows[7]], "vec_id long, embedding array<double>").coalesce(2)
+    got = {}
+    for r in ann.nearest(vectors, vectors.filter("vec_id % 5 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 120 and all(len(set(x)) == len(x) == 10 for x in got.values())
+    assert all({q + 1, q + 2, q + 3, q + 4} <= set(x) for q, x in got.items())
+    few = ann.nearest(vectors.filter("vec_id < 7"), vectors.filter("vec_id IN (0, 100)")).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in few} == {0: 6, 100: 7}
+
+
 def test_language(spark, empty):
     train = spark.createDataFrame([(i, _words(i, 30) + (" the and of to" if i % 2 else " der und die zu") * 20, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
     pages = spark.createDataFrame([(1, "http://x.de/a", "<html lang=de><p>der und die zu der und"), (2, "http://x.de/b", None), (3, None, "the and of to the and"), (4, "http://y.com/en/1", ""), (5, "http://x.de/c", "der und die zu und der")], "page_id long, url string, html string")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, table
+from weldsight.llm.common import cut, partitions, table
 
 #: Vectors that centroids are fitted on, centroids, and rows of a list, at most.
 SAMPLE, CENTROIDS, LIST_ROWS = 20_000, 2048, 2000
@@ -21,6 +21,8 @@ SAMPLE, CENTROIDS, LIST_ROWS = 20_000, 2048, 2000
 PER_CENTROID, COPIES, BOUNDARY, APART = 100, 6, 1.2, 0.5
 #: Lists whose centroid is up to this many times as far as the nearest are searched; neighbours in the centroid graph.
 PROBE, DEGREE = 1.22, 24
+#: The lists of a query hold at least this many times k distinct vectors; rows, and queries, that one block compares.
+ENOUGH, BLOCK = 5, 20_000
 
 
 @dataclass
@@ -30,24 +32,34 @@ class Centroids:
     points: np.ndarray
     links: np.ndarray
 
-    def search(self, query: np.ndarray, ratio: float) -> list[int]:
-        """Best-first walk over the graph: the centroids found within ``ratio`` times the least distance."""
+    def search(self, query: np.ndarray, ratio: float, held: np.ndarray, need: int) -> list[int]:
+        """Best-first walk over the graph: the centroids found within ``ratio`` times the least distance.
+
+        While the vectors ``held`` by these are fewer than ``need``, the next-nearest are added until none is left.
+        """
         start = np.unique(np.linspace(0, len(self.points) - 1, min(len(self.points), 32)).astype(int))
         dist = dict(zip(start.tolist(), np.sqrt(((self.points[start] - query) ** 2).sum(1)).tolist(), strict=True))
         heap = [(d, c) for c, d in dist.items()]
         heapq.heapify(heap)
-        least = min(dist.values())
+        least, have = min(dist.values()), 0
         while heap:
             d, c = heapq.heappop(heap)
-            if d > ratio * least * 1.05:
+            if d > ratio * least * 1.05 and have >= need:
                 break
+            have += held[c]
             new = [x for x in self.links[c].tolist() if x not in dist]
             if new:
                 for x, far in zip(new, np.sqrt(((self.points[new] - query) ** 2).sum(1)).tolist(), strict=True):
                     dist[x] = far
                     least = min(least, far)
                     heapq.heappush(heap, (far, x))
-        return [c for c, d in dist.items() if d <= ratio * least]
+        out, have = [], 0
+        for d, c in sorted((d, c) for c, d in dist.items()):
+            if d > ratio * least and have >= need:
+                break
+            out.append(c)
+            have += held[c]
+        return out
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,7 +137,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     another length than most take no part, nor do null ids; rows that repeat a vec_id are one vector; ties go to the
     smaller vec_id; an empty table gives no rows; other columns are not read. Centroids are fitted on a bounded sample,
     every vector is stored in its lists whole, and lists of more than LIST_ROWS rows are split by vec_id, all parts of
-    which a query reads.
+    which a query reads. A query has k rows, or all other vectors if these are fewer: its lists go on until they hold
+    ENOUGH times k vectors, and one that still finds fewer than k is compared with all vectors, in blocks.
     """
     spark = vectors.sparkSession
 
@@ -152,26 +165,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             lists = assign(_matrix(b.column("v"), dim), model)
             at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64))
             which = pa.array(np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([which, b.column("vec_id").take(at), b.column("v").take(at)], ["list", "vec_id", "v"])
+            own = pa.array([i == 0 for x in lists for i in range(len(x))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([which, b.column("vec_id").take(at), b.column("v").take(at), own], ["list", "vec_id", "v", "own"])
+
+    postings = cut(stored.mapInArrow(post, "list int, vec_id long, v array<double>, own boolean"))
+    # CENTROIDS rows at most; a vector counts as held by its nearest centroid's list alone
+    sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("count"), F.count_distinct(F.when(F.col("own"), F.col("vec_id"))).alias("held")).collect()
+    held = np.zeros(len(model.points), np.int64)
+    held[[r["list"] for r in sizes]] = [r["held"] for r in sizes]
+    need = ENOUGH * k + 1
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [model.search(q, PROBE) for q in _matrix(b.column("v"), dim)]
+            lists = [model.search(q, PROBE, held, need) for q in _matrix(b.column("v"), dim)]
             at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64))
             which = pa.array([c for x in lists for c in x], pa.int32())
             yield pa.RecordBatch.from_arrays([which, b.column("vec_id").take(at), b.column("v").take(at)], ["list", "query_id", "v"])
 
-    postings = cut(stored.mapInArrow(post, "list int, vec_id long, v array<double>"))
-    sizes = postings.groupBy("list").count().collect()  # CENTROIDS rows at most
     parts = {r["list"]: math.ceil(r["count"] / LIST_ROWS) for r in sizes}
     several = {c: p for c, p in parts.items() if p > 1}
     count = F.coalesce(F.create_map(*[F.lit(x) for kv in several.items() for x in kv])[F.col("list")], F.lit(1)) if several else F.lit(1)
-    left = postings.withColumn("part", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
+    left = postings.drop("own").withColumn("part", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
     right = asked.mapInArrow(probe, "list int, query_id long, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
     pairs = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = cut(ranked(pairs))
+    full = best.groupBy("query_id").count().filter(F.col("count") >= k)
+    short = cut(asked.withColumnRenamed("vec_id", "query_id").join(full, "query_id", "left_anti"))
+    few = short.count()
+    if not few:
+        return best
+    blocks, turns = max(partitions(spark), math.ceil(n / BLOCK)), math.ceil(few / BLOCK)
+    every = stored.withColumn("list", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    each = short.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int")).withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    compared = every.groupBy("list", "part").cogroup(each.groupBy("list", "part")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
+    return best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(ranked(compared))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
