@@ -99,3 +99,20 @@ def test_decisions_do_not_depend_on_the_size_of_batches():
         state = d.state()
     assert out == [tuple(r)[1:] for r in whole.itertuples(index=False)]
     assert whole["fired"].sum() == 6 and whole["repeat"].sum() == 5
+
+
+def test_streams_read_folders_of_part_files(spark, tmp_path):
+    from weldsight.config import SCALED, TERMINAL_CODES
+    from weldsight.plans.queries import decision_input, stream_decisions, stream_tumbling
+    from weldsight.streaming.alarms import batch_decisions
+
+    one = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{one}/events.parquet")
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    rows = {}
+    for query in (stream_tumbling, stream_decisions):
+        rows[query] = sorted(map(tuple, query(spark, one).collect()))
+        assert rows[query] and sorted(map(tuple, query(spark, str(tmp_path)).collect())) == rows[query]
+    frame = decision_input(events).toPandas()
+    want = [batch_decisions(own, 21_600, 43_200, SCALED.cooldown_s, SCALED.repeat_s, tuple(TERMINAL_CODES)) for _, own in frame.groupby("gun")]
+    assert rows[stream_decisions] == sorted(tuple(r) for f in want for r in f.itertuples(index=False))

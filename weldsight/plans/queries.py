@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -254,18 +255,33 @@ QUERIES |= {"iforest_score": iforest_score, "pca_score": pca_score, "gbt_upper_b
 
 
 # streaming, run to completion over what the folder holds
-def _stream(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query = frame(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream, be it one file or a folder of part files.
+
+    All files make one micro-batch: part files need not be in the order of time, and smaller batches would make the
+    readings of later ones late. Sorts and groupings of a batch spill, so its size is bounded by disk alone.
+    """
+    path = f"{sf_dir}/events.parquet"
+    stored = spark.read.parquet(path)
+    files = stored.inputFiles()
+    source = spark.readStream.schema(stored.schema)
+    if len(files) == 1 and files[0].endswith("/events.parquet"):
+        return source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return source.parquet(path)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names, a temporary one only where none is named."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/weldsight-checkpoints"
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed by the end of the stream."""
-    name = f"tumbling_{uuid.uuid4().hex}"
-    rows = _stream(spark, sf_dir, name, lambda s: streaming.tumbling(s, "1 hour", "0 seconds"))
+    frame, folder = streaming.tumbling(_source(spark, sf_dir), "1 hour", "0 seconds"), _folder(spark, "tumbling")
+    query = frame.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(frame.schema).parquet(f"{folder}/rows")
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(w.start AS TIMESTAMP_NTZ))")
     return rows.select(start.alias("start_us"), "event_type", "n", (F.round("mean", 6) + 0.0).alias("mean"))
 
@@ -278,13 +294,14 @@ WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) GROUP BY s
 
 def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Online decisions over the event stream; tests hold them against the same machine's rows at once."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _stream(spark, sf_dir, f"decisions_{uuid.uuid4().hex}", lambda s: streaming.online_decisions(decision_input(s), 21_600, 43_200, P.cooldown_s, P.repeat_s, tuple(TERMINAL_CODES)))
-    finally:
-        spark.conf.set(key, before)
+    folder = _folder(spark, "decisions")
+    sink = streaming.OnlineDecisions(folder, 21_600, 43_200, P.cooldown_s, P.repeat_s, tuple(TERMINAL_CODES))
+    source = decision_input(_source(spark, sf_dir))
+    query = source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if sink.last is None:
+        return spark.createDataFrame([], streaming.OUTPUT)
+    return sink.decided(spark)
 
 
 def decision_input(events: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Fixed value: how late a reading may come; it is the time that a machine's buffer holds.
 WATERMARK = "30 minutes"
@@ -18,6 +18,10 @@ STATE = T.StructType([
     T.StructField("last", T.LongType()), T.StructField("since", T.LongType()), T.StructField("code", T.StringType()),
     T.StructField("fired_at", T.LongType()), T.StructField("codes", T.StringType()),
 ])
+READING = ("gun", "t", "event_id", "alarm", "code")
+KEPT = "state struct<last:bigint,since:bigint,code:string,fired_at:bigint,codes:string>"
+_INT, _LONG, _TEXT = pa.int32(), pa.int64(), pa.string()
+_OUT = pa.schema([("gun", _INT), ("t", _LONG), *[(c, _INT) for c in ("alarm", "lasting", "sustained", "fired", "repeat")], ("severity", _TEXT), ("state", pa.struct([("last", _LONG), ("since", _LONG), ("code", _TEXT), ("fired_at", _LONG), ("codes", _TEXT)]))])
 
 
 class Decider:
@@ -48,28 +52,65 @@ class Decider:
         return t, alarm, lasting, sustained, fired, repeat, level
 
 
-class _Processor(StatefulProcessor):
-    def __init__(self, limits: tuple[int, int, int, int], terminal: tuple[str, ...]):
-        self.limits, self.terminal = limits, terminal
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("machine", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        decider = Decider(*self.limits, self.kept.get() if self.kept.exists() else None)
-        batch = pd.concat(list(rows)).sort_values(["t", "event_id"]).drop_duplicates("t", keep="last")
-        out = [(int(key[0]), *d) for t, alarm, code in zip(batch["t"], batch["alarm"], batch["code"], strict=True) if (d := decider.feed(int(t), int(alarm), code, code in self.terminal))]
-        self.kept.update(decider.state())
-        yield pd.DataFrame(out, columns=["gun", "t", "alarm", "lasting", "sustained", "fired", "repeat", "severity"])
-
-    def close(self) -> None:
-        pass
-
-
-def online_decisions(readings: DataFrame, step: int, sustain: int, cooldown: int, repeat: int, terminal: tuple[str, ...]) -> DataFrame:
-    """Decisions for a stream with gun, t, event_id, alarm and code. Needs the RocksDB state store."""
-    processor = _Processor((step, sustain, cooldown, repeat), terminal)
-    return readings.groupBy("gun").transformWithStateInPandas(processor, OUTPUT, "append", "None")
+def _feed(limits: tuple[int, int, int, int], terminal: tuple[str, ...]):
+    """Rows by gun and time, each gun's state before them, to decisions and the gun's state after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gun, decider = None, None
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if row["gun"] != gun:
+                    if decider is not None:
+                        out.append((gun, *[None] * 7, dict(zip(STATE.fieldNames(), decider.state(), strict=True))))
+                    gun, decider = row["gun"], Decider(*limits)
+                if row["state"] is not None:
+                    decider = Decider(*limits, tuple(row["state"][f] for f in STATE.fieldNames()))
+                elif (d := decider.feed(row["t"], row["alarm"], row["code"], row["code"] in terminal)) is not None:
+                    out.append((gun, *d, None))
+            yield _batch(out)
+        if decider is not None:
+            yield _batch([(gun, *[None] * 7, dict(zip(STATE.fieldNames(), decider.state(), strict=True)))])
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_OUT.names, r, strict=True)) for r in rows], schema=_OUT)
+
+
+class OnlineDecisions:
+    """A foreachBatch sink of readings (gun, t, event_id, alarm, code) that keeps one state per gun between batches.
+
+    Of readings of one time the largest event_id counts. Spark sorts a batch by gun and time, and the machine sees it
+    Arrow batch by Arrow batch, so that no task holds a gun's readings. Each epoch writes its decisions and states
+    below ``folder`` and reads those of the epoch before, so that a retry writes the same.
+    """
+
+    def __init__(self, folder: str, step: int, sustain: int, cooldown: int, repeat: int, terminal: tuple[str, ...]):
+        self.folder, self.limits, self.terminal = folder, (step, sustain, cooldown, repeat), terminal
+        self.last: int | None = None
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*READING)
+        states = spark.read.schema(f"{OUTPUT}, {KEPT}").parquet(self._at("out", epoch - 1)).filter("state IS NOT NULL").select("gun", "state") if epoch else None
+        last = F.max(F.struct(F.col("event_id").isNull().alias("none"), "event_id", "alarm", "code")).alias("_r")
+        once = rows.groupBy("gun", "t").agg(last).select("gun", "t", "_r.alarm", "_r.code")
+        fed = once.withColumn("state", F.lit(None).cast(STATE))
+        if states is not None:
+            fed = fed.unionByName(states, allowMissingColumns=True)
+        # a gun's state has no time and comes first
+        ordered = fed.repartition("gun").sortWithinPartitions("gun", F.asc_nulls_first("t"))
+        ordered.mapInArrow(_feed(self.limits, self.terminal), f"{OUTPUT}, {KEPT}").write.mode("overwrite").parquet(self._at("out", epoch))
+        self.last = epoch
+
+    def _at(self, what: str, epoch: int) -> str:
+        return f"{self.folder}/{what}/epoch={epoch}"
+
+    def decided(self, spark: SparkSession) -> DataFrame:
+        """All decisions of a stream that wrote at least one epoch."""
+        return spark.read.schema(f"{OUTPUT}, {KEPT}").parquet(f"{self.folder}/out").filter("state IS NULL").drop("state", "epoch")
 
 
 def batch_decisions(readings: pd.DataFrame, step: int, sustain: int, cooldown: int, repeat: int, terminal: tuple[str, ...]) -> pd.DataFrame:
