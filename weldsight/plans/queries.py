@@ -301,6 +301,7 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     query.awaitTermination()
     if sink.last is None:
         return spark.createDataFrame([], streaming.OUTPUT)
+    sink.finish(spark)
     return sink.decided(spark)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: how late a reading may come; it is the time that a machine's buffer holds.
 WATERMARK = "30 minutes"
+BUFFER_S = 1800
 
 OUTPUT = "gun int, t bigint, alarm int, lasting int, sustained int, fired int, repeat int, severity string"
 STATE = T.StructType([
@@ -82,8 +83,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class OnlineDecisions:
     """A foreachBatch sink of readings (gun, t, event_id, alarm, code) that keeps one state per gun between batches.
 
-    Of readings of one time the largest event_id counts. Spark sorts a batch by gun and time, and the machine sees it
-    Arrow batch by Arrow batch, so that no task holds a gun's readings. Each epoch writes its decisions and states
+    Readings up to BUFFER_S older than the gun's newest wait in a buffer, and are decided in the order of time when a
+    reading that much newer comes, or at ``finish``; what comes after later readings of its gun were decided is left
+    out. Of readings of one time the largest event_id counts. Spark sorts a batch by gun and time, and the machine sees it
+    Arrow batch by Arrow batch, so that no task holds a gun's readings. Each epoch writes its decisions, states and buffer
     below ``folder`` and reads those of the epoch before, so that a retry writes the same.
     """
 
@@ -92,12 +95,23 @@ class OnlineDecisions:
         self.last: int | None = None
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*READING)
+        self._decide(batch.sparkSession, batch.select(*READING), epoch, BUFFER_S)
+
+    def finish(self, spark: SparkSession) -> None:
+        """Decides what is still in the buffer, at the end of a stream."""
+        if self.last is not None:
+            self._decide(spark, None, self.last + 1, 0)
+
+    def _decide(self, spark: SparkSession, rows: DataFrame | None, epoch: int, late: int) -> None:
+        if epoch:
+            waiting = spark.read.parquet(self._at("readings", epoch - 1)).filter("NOT ready").select(*READING)
+            rows = waiting if rows is None else rows.unionByName(waiting)
         states = spark.read.schema(f"{OUTPUT}, {KEPT}").parquet(self._at("out", epoch - 1)).filter("state IS NOT NULL").select("gun", "state") if epoch else None
         last = F.max(F.struct(F.col("event_id").isNull().alias("none"), "event_id", "alarm", "code")).alias("_r")
-        once = rows.groupBy("gun", "t").agg(last).select("gun", "t", "_r.alarm", "_r.code")
-        fed = once.withColumn("state", F.lit(None).cast(STATE))
+        once = rows.groupBy("gun", "t").agg(last).select("gun", "t", "_r.event_id", "_r.alarm", "_r.code")
+        newest = rows.groupBy("gun").agg(F.max("t").alias("newest"))
+        once.join(newest, "gun").withColumn("ready", F.col("t") <= F.col("newest") - late).drop("newest").write.mode("overwrite").parquet(self._at("readings", epoch))
+        fed = spark.read.parquet(self._at("readings", epoch)).filter("ready").select("gun", "t", "alarm", "code").withColumn("state", F.lit(None).cast(STATE))
         if states is not None:
             fed = fed.unionByName(states, allowMissingColumns=True)
         # a gun's state has no time and comes first
