@@ -202,6 +202,16 @@ def test_main_text(spark):
     assert html_content.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_around_controls_and_formulas(spark):
+    story = "<article class=post><h1>A fine day</h1><p>First paragraph of the story, with many words and more text, as stories have.</p><p>Second paragraph of it, a little longer, so that it reads like one.</p></article>"
+    want = "A fine day\nFirst paragraph of the story, with many words and more text, as stories have.\nSecond paragraph of it, a little longer, so that it reads like one."
+    broken = ["<button>Menu", "<select><option>One<option>Two", "<svg><g>", "<object data=x>", "<button class=share>Share</button>", "<select><option>One</select>", "<noscript>"]
+    rows = [(i, "u", f"<body><nav><ul><li><a href=/>Home</a></ul></nav>{b}{story}<footer>&copy; me</footer>") for i, b in enumerate(broken)]
+    rows.append((99, "u", f"<body>{story.replace('many words', '<math><mi>x</mi><mo>+</mo><mn>2</mn></math>')}"))
+    got = {r.page_id: r.text for r in html_content.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want for i in range(len(broken))} | {99: want.replace("many words", "x+2")}
+
+
 def test_marginals_by_brute_force():
     tree = html_content.Tree("<div class=ad><p>a, b.<a>c</a></p></div><p>text here")
     forest = html_content.Forest.of([tree])

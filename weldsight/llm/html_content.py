@@ -21,12 +21,14 @@ TRAIN_PAGES, STEPS = 500, 150
 
 #: Kinds of elements as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title template iframe".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mpadded mphantom mtable mtr mtd merror semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section table ul dd dt td th tr tbody thead tfoot".split())
+#: Controls and drawings, and the starts that end an unclosed one; foreignobject keeps those inside it.
+ENDED_BY = {"button": CLOSES_P - {"div"}, "select": CLOSES_P, "svg": CLOSES_P, "foreignobject": frozenset()}
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-TAGS = ("text", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "fieldset", "blockquote", "pre", "table", "tr", "td", "th", "tbody", "thead", "figure", "figcaption", "dl", "dt", "dd", "body", "html", "address", "details", "dialog", "menu", "search")
+TAGS = ("text", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "fieldset", "blockquote", "pre", "table", "tr", "td", "th", "tbody", "thead", "figure", "figcaption", "dl", "dt", "dd", "body", "html", "address", "details", "dialog", "menu", "search", "button", "select", "option", "svg")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.S)
 _NAME = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -74,6 +76,7 @@ class Tree:
         stack: list[tuple[str, int]] = [("html", 0)]
         run: list[str] = []
         in_link, linked = 0, 0
+        controls: list[int] = []
 
         def flush() -> None:
             nonlocal linked
@@ -90,6 +93,8 @@ class Tree:
             nonlocal in_link
             flush()
             del stack[to:]
+            while controls and controls[-1] >= to:
+                controls.pop()
             in_link = 0
 
         at, lower = 0, None
@@ -141,6 +146,8 @@ class Tree:
             if name in ("html", "body") and len(stack) == 1:
                 self.kinds[0] |= {"seen"}
                 continue
+            if controls and name in ENDED_BY[stack[controls[-1]][0]]:
+                pop(controls[-1])
             if name in CLOSES_P and stack[-1][0] == "p":
                 pop(len(stack) - 1)
             if name in PEERS:
@@ -152,6 +159,8 @@ class Tree:
                     elif stack[i][0] in FENCES[name]:
                         break
             if not attributes.endswith("/"):
+                if name in ENDED_BY:
+                    controls.append(len(stack))
                 stack.append((name, self._node(stack[-1][1], name, attributes)))
         flush()
 

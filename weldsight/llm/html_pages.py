@@ -24,6 +24,7 @@ class _Writer:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.apart = random.Random(-seed - 1)
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -52,6 +53,20 @@ class _Writer:
         mark = " data-label" if label else ""
         return f"<p{mark}>{text}" + ("</p>" if self.r.random() < 0.85 else "")
 
+    def control(self, parts: list[str], rate: float) -> None:
+        """Adds a control without content to the parts, drawn apart from the rest of the page."""
+        r = self.apart
+        if r.random() >= rate:
+            return
+        self.r, kept = r, self.r
+        made = r.choice([
+            lambda: self.tag("button", self.words(1, 4), r.choice(["", "share"])),
+            lambda: self.tag("select", "".join(self.tag("option", self.words(1, 3)) for _ in range(r.randint(2, 9)))),
+            lambda: self.tag("svg", self.tag("text", self.words(1, 4))),
+        ])()
+        parts.insert(r.randint(0, len(parts)), made)
+        self.r = kept
+
     def article(self) -> str:
         r, parts = self.r, []
         if r.random() < 0.85:
@@ -73,6 +88,7 @@ class _Writer:
         if r.random() < 0.12:
             line = self.words(1, 4)
             parts.append("".join(f"<p data-label>{line if r.random() < 0.7 else self.words(1, 6)}</p>" for _ in range(r.choice([5, 12, 30, 80]))))
+        self.control(parts, 0.25)
         inside = "".join(parts)
         if r.random() < 0.3:
             inside = self.tag("div", inside, "content", label=True)
@@ -105,6 +121,8 @@ class _Writer:
             after.append(self.tag("aside" if r.random() < 0.5 else "div", self.tag("h3", self.words(1, 3)) + (self.links(2, 8) if r.random() < 0.6 else f"<p>{self.words(5, 40)}</p>"), "side"))
         if r.random() < 0.9:
             after.append(self.tag("footer", f"&copy; {self.words(2, 25)}") if r.random() < 0.75 else self.tag("div", f"<p>{self.words(2, 25)}</p>", "footer"))
+        self.control(before, 0.3)
+        self.control(after, 0.3)
         body = "".join(before) + self.article() + "".join(after)
         for _ in range(r.choice([0, 0, 1, 2])):
             body = f'<div{r.choice(["", " class=wrapper", " id=page", " class=container"])}>{body}</div>'
