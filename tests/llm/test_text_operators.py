@@ -270,6 +270,17 @@ def test_language(spark, empty):
     assert {r.lang for r in langid.identify(pages, empty).collect()} == {None}
 
 
+def test_rare_languages_are_learned_beside_large_ones(spark):
+    names = [f"l{i:02d}" for i in range(52)]
+    letters = lambda i, n: " ".join(f"{chr(0x4E00 + 40 * i + j % 17)}{chr(0x4E00 + 40 * i + j % 7)}ab" for j in range(n))
+    rare = [(i, letters(i, 30), names[i]) for i in range(52)]
+    many = [(1000 + i, letters(60, 2), "zz") for i in range(10_000)]
+    docs = spark.createDataFrame([*rare, *many], "doc_id long, text string, lang string")
+    languages, model = langid.learn_languages(docs)
+    assert languages == [*names, "zz"]
+    assert all(model[:, langid._trigrams(letters(i, 20))].sum(1).argmax() == i for i in range(52))
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from weldsight.llm.common import cut, table
 
-#: Labelled documents for the text model, and languages, at most; cells of its hashed trigrams.
-TRAIN_DOCS, LANGUAGES, CELLS = 6_000, 48, 1 << 16
+#: Labelled documents of each language for the text model, about and at most; cells of its hashed trigrams.
+TRAIN_DOCS, CELLS = 1_500, 1 << 16
 #: Trigrams that a text counts for at most, and the pseudo-counts of hints, domains and hosts.
 EVIDENCE, SMOOTH_HINT, SMOOTH_HOST = 40.0, 2.0, 5.0
 
@@ -38,31 +38,30 @@ def _visible(page: str) -> str:
 
 def _train(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), CELLS), np.int64)
+        index = {lang: i for i, lang in enumerate(languages)}
         for b in batches:
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                np.add.at(counts[languages.index(lang)], _trigrams(text), 1)
-        at, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cell, pa.int32()), pa.array(counts[at, cell])], ["l", "cell", "n"])
+            texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
+            keys = [_trigrams(text) + index[lang] * CELLS for text, lang in zip(texts, langs, strict=True)]
+            key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // CELLS, pa.int32()), pa.array(key % CELLS, pa.int32()), pa.array(n, pa.int64())], ["l", "cell", "n"])
 
     return run
 
 
 def learn_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of the cells) from at most ``train_docs`` labelled documents.
+    """(languages, log probabilities of the cells) from about ``train_docs`` labelled documents of each at most.
 
-    Rows without a language or text are left out; only the LANGUAGES with the most rows are kept.
+    Rows without a language or text are left out; every language with a row is kept. A language with more rows gives
+    those whose hash is below a threshold from its own count.
     """
     own = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    common = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in common)
+    sizes = own.groupBy("lang").count()
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # a row a language
     if not languages:
         return [], np.zeros((0, CELLS))
-    rows = sum(r["count"] for r in common)
-    chosen = own.filter(F.col("lang").isin(languages))
-    if rows > train_docs:
-        chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_docs / rows))
-    found = chosen.mapInArrow(_train(languages), "l int, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toPandas()
+    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) < F.lit(float(train_docs << 40)) / F.col("count")
+    chosen = own.join(F.broadcast(sizes), "lang").filter((F.col("count") <= train_docs) | drawn)
+    found = chosen.select("text", "lang").mapInArrow(_train(languages), "l int, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), CELLS))
     counts[found["l"], found["cell"]] = found["n"]
     smooth = counts + 0.5
