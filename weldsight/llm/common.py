@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Rows from which a key can count as one that holds many.
+MANY = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +49,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def lookup(rows: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``named``, which has one small row for each key, also where few keys hold most rows.
+
+    Keys with over a quarter of a partition's share of the rows, hence at most 4 for each partition, are looked up in
+    a broadcast table; the others are shuffled. Both frames are read more than once, so callers cut them first.
+    """
+    least = max(MANY, rows.count() // (4 * partitions(rows.sparkSession)) + 1)
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least).select(key)
+    keys = [r[0] for r in many.collect() if r[0] is not None]  # 4 for each partition at most
+    if not keys:
+        return rows.join(named, key, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in keys], many.schema))
+    hot = rows.join(few, key, "left_semi").join(F.broadcast(named.join(few, key, "left_semi")), key, how)
+    return hot.unionByName(rows.join(few, key, "left_anti").join(named, key, how))
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of ``rows`` for the jobs that run inside: what executors hold of long texts at a time."""

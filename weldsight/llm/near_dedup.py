@@ -11,17 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, mix64, ragged, table, unit
+from weldsight.llm.common import cut, lookup, mix64, ragged, table, trim, unit
 
 WORDS, THRESHOLD = 5, 0.8
+#: Jaccard similarity reaches 0.8 just if WHOLE times the symmetric difference is at most the sum of both sizes.
+WHOLE = 9
 #: A pair at the threshold meets in one band at least with probability 1 - (1 - 0.8**4)**20 > 0.99997.
 BANDS, BAND_ROWS = 20, 4
 REGISTERS = BANDS * BAND_ROWS
-#: Bands that a pair shares before its texts are compared in later rounds: a pair at the threshold shares two at least
-#: with probability over 0.9996. Rounds of comparing a bucket's rows with members of its largest class, and these.
-SHARED_BANDS, ROUNDS, MEMBERS = 2, 1, 6
-#: Bucket rows from which a bucket that still holds several classes is split by the rows' other bands.
-LARGE_BUCKET = 4096
+#: Slots by hash from which a region's consensus takes one member each; rows of a region that one salt of it holds.
+MEMBERS, SALT_ROWS = 32, 500
 
 _U = np.uint64
 _STEP, _LEVEL = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
@@ -119,7 +118,7 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return mix64(keys)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about ``most`` bytes of text, one row at least."""
     for b in batches:
         ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy().astype(np.int64))
@@ -130,15 +129,20 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator
             at = end
 
 
+def _digests(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    raw, ends = hashes.tobytes(), 8 * np.cumsum(sizes)
+    return [xxhash.xxh3_128_digest(raw[e - 8 * s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _texts(batches):
         hashes, sizes = shingles(b.column("text"))
-        raw, ends = hashes.tobytes(), 8 * np.cumsum(sizes)
-        bags = [xxhash.xxh3_128_digest(raw[e - 8 * s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        bags = _digests(hashes, sizes)
         keys = _band_keys(bag_minhash(hashes, sizes)).view(np.int64)
         filled = sizes > 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * BANDS)]), pa.int32()), pa.array(keys[filled].reshape(-1)))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "bag", "n", "bands"])
+    trim()
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +154,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
         start = np.flatnonzero(first)
         copy = np.arange(len(hashes)) - np.repeat(start, np.diff(np.append(start, len(hashes))))
-        elements = (mix64(hashes + copy.astype(_U) * _STEP) >> _U(32)).astype(np.uint32).view(np.int32)
+        elements = mix64(hashes + copy.astype(_U) * _STEP).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(elements))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["rep", "elements"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_digests(hashes, sizes), pa.binary()), lists], ["rep", "bag", "elements"])
+    trim()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,10 +165,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("new"), F.col("root").alias("old"))
+        near = lookup(both, labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        step = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("new"), F.col("root").alias("old")))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        now = cut(step.join(jump, "new").select("node", F.least("new", "far").alias("root"), "old"))
+        now = cut(lookup(step, jump, "new").select("node", F.least("new", "far").alias("root"), "old"))
         labels = now.select("node", "root")
         if now.filter("root <> old").isEmpty():
             return labels
@@ -173,17 +178,20 @@ def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """The classes after more edges: the components of the classes' roots."""
     for side in ("a", "b"):
         named = classes.select(F.col("node").alias(side), F.col("root").alias("_r"))
-        edges = edges.join(named, side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
-    roots = components(edges.filter("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    every = classes.unionByName(roots.select(F.col("root").alias("node"), "root").join(classes, "node", "left_anti"))
+        edges = cut(lookup(edges, named, side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r"))
+    between = edges.filter("a <> b")
+    if between.isEmpty():
+        return classes
+    roots = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = cut(classes.unionByName(roots.select(F.col("root").alias("node"), "root").join(classes, "node", "left_anti")))
     # dealt anew, or the parts of every union would add up
-    return cut(every.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")).repartition("node"))
+    return cut(lookup(every, roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")).repartition("node"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """(a, b, j) of the pairs: the exact overlap of their multisets over the size of their union."""
-    right = bags.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
-    left = bags.select(F.col("rep").alias("a"), F.col("elements").alias("ea"))
+    right = bags.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    left = bags.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     both = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("ea", "eb")).cast("double")
     return both.select("a", "b", (shared / (F.size("ea") + F.size("eb") - shared)).alias("j"))
@@ -194,40 +202,74 @@ def _alike(n: str, m: str):
     return F.least(n, m) >= F.greatest(n, m) * THRESHOLD
 
 
-def _likely(a: str, b: str):
-    return F.size(F.array_intersect(a, b)) >= SHARED_BANDS
+def _rooted(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (key, rep, n, root, main) of the buckets that hold several classes; main is the one with the most rows."""
-    placed = buckets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+def _regions(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (main, node, n): a bucket that holds several classes belongs to the region of the one with the most rows."""
+    placed = _rooted(buckets, classes)
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    return cut(placed.join(mixed.select("key", F.col("m.root").alias("main")), "key").select("key", "rep", "n", "root", "main", "rows"))
+    return cut(placed.join(mixed.select("key", F.col("m.root").alias("main")), "key").select("main", "node", "n", (F.col("root") == F.col("main")).alias("member")).distinct())
+
+
+def _consensus(rows: DataFrame, bags: DataFrame) -> DataFrame:
+    """(main, common): the elements that at least half of some members of a region's main class have."""
+    chosen = rows.filter("member").groupBy("main", F.pmod(F.xxhash64("node"), F.lit(MEMBERS)).alias("slot")).agg(F.min("node").alias("node"))
+    counted = chosen.join(bags, "node").select("main", F.explode("elements").alias("e")).groupBy("main", "e").agg(F.count(F.lit(1)).alias("c"))
+    asked = chosen.groupBy("main").agg(F.count(F.lit(1)).alias("members"))
+    return counted.join(asked, "main").filter(F.col("c") * 2 >= F.col("members")).groupBy("main").agg(F.collect_list("e").alias("common"))
+
+
+def _differences(rows: DataFrame, bags: DataFrame) -> DataFrame:
+    """(main, node, n, diff, slack): where a multiset differs from its region's consensus.
 
+    With D the difference, |x ^ y| <= |Dx| + |Dy|, and J >= 0.8 holds just if 9 |x ^ y| <= nx + ny. The slack is
+    n - 9 |D|: two rows whose slacks sum to 0 or more are linked for certain, others just if 18 |Dx & Dy| makes up for
+    what is missing. Large regions are salted.
+    """
+    wide = rows.groupBy("main").agg(F.floor(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("last"))
+    common = _consensus(rows, bags).join(wide, "main").withColumn("salt", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+    salted = lookup(rows, wide, "main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
+    both = salted.join(bags, "node").join(common, ["main", "salt"])
+    diff = F.concat(F.array_except("elements", "common"), F.array_except("common", "elements"))
+    return cut(both.select("main", "node", "n", diff.alias("diff")).withColumn("slack", F.col("n") - WHOLE * F.size("diff")))
+
+
+def _certain(diffs: DataFrame) -> DataFrame:
+    """Links (a, b) of every row to the one nearest to its region's consensus where the slacks suffice: what slacks
+    link at all is connected by these."""
+    top = diffs.groupBy("main").agg(F.max_by("node", F.struct("slack", "node")).alias("top"), F.max("slack").alias("most"))
+    return cut(lookup(diffs.select("main", "node", "slack"), top, "main").filter((F.col("slack") + F.col("most") >= 0) & (F.col("node") != F.col("top"))).select(F.col("top").alias("a"), F.col("node").alias("b")))
 
-def _against_main(rows: DataFrame, bands: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a bucket's rows outside its main class with some members of that, others each turn."""
-    members = F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(turn * MEMBERS + i))) for i in range(MEMBERS)])
-    chosen = rows.filter("root = main").groupBy("key").agg(F.array_distinct(members).alias("members"))
-    pairs = rows.filter("root <> main").join(chosen, "key").select(F.col("rep").alias("a"), F.explode("members").alias("b")).distinct()
-    one = bands.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ba"))
-    two = bands.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb"))
-    return pairs.join(one, "a").join(two, "b").filter(_alike("na", "nb") & _likely("ba", "bb")).select("a", "b")
 
+def _uncertain(diffs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of a region that need common differences.
 
-def _crossing(rows: DataFrame, bands: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a bucket and SHARED_BANDS bands, unless they were compared before. A pair
-    comes from one of its buckets alone; a bucket that was split names its band in ``first``."""
-    own = rows.join(bands.select("rep", "bands"), "rep")
-    a = own.filter("root <> main").select("key", "first", "main", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bands").alias("ba"))
-    b = own.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bands").alias("bb"))
-    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
-    shared = F.array_intersect("ba", "bb")
-    alone = F.col("first").isNull() | (F.array_min(shared) == F.col("first"))
-    joined = a.join(b, (a.key == b.key) & (F.col("ra") != F.col("rb")) & once & _alike("na", "nb") & (F.size(shared) >= SHARED_BANDS) & alone)
-    pairs = joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    One side is always outside the class of the region's nearest row. A pair must share so many differences that each
+    side's rarest ones hold one of them (a prefix filter); differences that no other class can share are left out.
+    Every surviving pair is counted exactly.
+    """
+    rows = cut(_rooted(diffs, classes))
+    top = rows.groupBy("main").agg(F.max_by("root", F.struct("slack", "node")).alias("core"), F.max("slack").alias("most"))
+    placed = cut(lookup(rows.drop("diff"), top, "main").withColumn("outside", F.col("root") != F.col("core")))
+    limits = placed.filter("outside").groupBy("main").agg(F.max("slack").alias("out"))
+    held = cut(lookup(placed, limits, "main").select("main", "node", "root", "slack", "outside", F.when(F.col("outside"), F.col("most")).otherwise(F.col("out")).alias("other")))
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("other")) / (2 * WHOLE)))
+    single = cut(held.withColumn("need", need.cast("int")).join(rows.select("main", "node", F.explode("diff").alias("e")), ["main", "node"]))
+    shared = single.groupBy("main", "e").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("outside").alias("o")).filter("f > 1 AND r1 <> r2 AND o").select("main", "e", "f")
+    usable = single.join(shared, ["main", "e"]).groupBy("main", "node", "root", "slack", "outside", "need").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("u"))
+    ahead = usable.filter(F.size("u") >= F.col("need")).select("main", "node", "root", "slack", "outside", F.size("u").alias("size"), F.posexplode(F.slice("u", F.lit(1), F.size("u") - F.col("need") + 1)).alias("i", "s"))
+    lists = cut(ahead.select("main", F.col("s.e").alias("e"), "node", "root", "slack", "outside", (F.col("size") - F.col("i")).alias("rest")))
+    a = lists.filter("outside").select("main", "e", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("slack").alias("sa"), F.col("rest").alias("ta"))
+    b = lists.select("main", "e", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("slack").alias("sb"), F.col("rest").alias("tb"), F.col("outside").alias("ob"))
+    once = ~F.col("ob") | (F.col("a") < F.col("b"))
+    enough = F.least("ta", "tb") * (2 * WHOLE) >= -(F.col("sa") + F.col("sb"))
+    pairs = a.join(b, (a.main == b.main) & (a.e == b.e) & (F.col("ra") != F.col("rb")) & once & enough).select(a.main, "a", "b", "sa", "sb").distinct()
+    left, right = (rows.select("main", F.col("node").alias(x), F.col("diff").alias(f"d{x}")) for x in "ab")
+    counted = pairs.join(left, ["main", "a"]).join(right, ["main", "b"])
+    return cut(counted.filter(F.size(F.array_intersect("da", "db")) * (2 * WHOLE) >= -(F.col("sa") + F.col("sb"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -235,50 +277,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with a weighted Jaccard similarity of 0.8 or more over five-word shingles (words between white space, lower
     case, counted with their copies) are linked, and a class is what links connect. Null, empty and blank texts have
-    no shingles and are one class; texts of fewer than five words are one shingle. Repeated rows share a class, and rows with
-    one doc_id count as one document; a row
-    with a null doc_id has the class of its text's other rows, or none; an empty table gives no rows; other columns
-    are not read.
-
-    Texts with equal shingles are one representative. In every bucket of a band all representatives are compared with
-    the bucket's least one, then those outside the bucket's largest class with some of its members in turn; what is
-    left in buckets with several classes is compared across these.
+    no shingles and are one class; texts of fewer than five words are one shingle. Repeated rows share a class, and
+    texts with one doc_id are linked, as they are one document; a row with a null doc_id has the class of its text's
+    other rows, or none; an empty table gives no rows; other columns are not read.
+
+    Texts with equal shingles are one node. In every bucket of a band all nodes are compared with the bucket's least
+    one. Buckets that then hold several classes form regions, in which nodes are compared by where they differ from
+    the consensus of the region's largest class: that takes no row for each pair in a large group of near copies.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = cut(source.mapInArrow(_sign, "doc_id long, bag binary, n int, bands array<bigint>"))
     reps = cut(signed.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = signed.select("doc_id", "bag").join(reps.select("bag", "rep"), "bag")
-
-    rows = reps.filter("rep IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # a doc_id may be the least one of several texts: all but one of these are nodes by their digest
+    twice = cut(reps.filter("rep IS NOT NULL").groupBy("rep").agg(F.min("bag").alias("own"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep", "own"))
+    several = not twice.isEmpty()
+
+    def with_node(rows: DataFrame) -> DataFrame:
+        if not several:
+            return rows.withColumn("node", F.col("rep"))
+        node = F.when(F.col("own").isNull() | (F.col("own") == F.col("bag")), F.col("rep")).otherwise(F.xxhash64("bag"))
+        return rows.join(twice, "rep", "left").withColumn("node", node).drop("own")
+
+    reps = with_node(reps)
+    members = signed.select("doc_id", "bag").join(reps.select("bag", "node"), "bag").select("doc_id", "node")
+    versions = cut(members.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a"))
+
+    rows = reps.filter("rep IS NOT NULL").select("node", "n", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", "pivot")
     buckets = cut(rows.join(shared, "key"))
-    ids = buckets.select("rep").distinct()
-    bags = cut(source.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "text").mapInArrow(_bags, "rep long, elements array<int>").dropDuplicates(["rep"]))
-
-    pivots = reps.select(F.col("rep").alias("pivot"), F.col("n").alias("np"))
-    stars = buckets.filter("rep <> pivot").select("pivot", "rep", "n").distinct().join(pivots, "pivot").filter(_alike("n", "np"))
-    links = cut(_verified(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), bags))
-    classes = components(links.filter(F.col("j") >= THRESHOLD).select("a", "b"))
-    bands = reps.join(ids, "rep", "left_semi").select("rep", "n", "bands")
-    for turn in range(ROUNDS + 1):
-        rows = _open(buckets, classes)
-        if rows.isEmpty():
-            break
-        if turn < ROUNDS:
-            pairs = _against_main(rows, bands, turn)
-        else:
-            # texts that are linked share eight bands on average, so that a large bucket's rows meet again by another band
-            large = rows.filter(F.col("rows") > LARGE_BUCKET).join(bands.select("rep", F.explode("bands").alias("other")), "rep").filter("other <> key")
-            split = large.withColumn("key", F.xxhash64("key", "other")).drop("other").withColumn("first", F.lit(None).cast("long"))
-            small = rows.filter(F.col("rows") <= LARGE_BUCKET).withColumn("first", F.col("key"))
-            pairs = _crossing(small.unionByName(split), bands, links)
-        new = cut(_verified(pairs, bags))
-        links = links.unionByName(new)
-        more = new.filter(F.col("j") >= THRESHOLD).select("a", "b")
-        if not more.isEmpty():
-            classes = _joined(classes, more)
-    found = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+    ids = buckets.select("node").distinct().join(reps.select("node", "rep"), "node").select("rep").distinct() if several else buckets.select(F.col("node").alias("rep")).distinct()
+    texts = source.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "text")
+    bags = cut(with_node(texts.mapInArrow(_bags, "rep long, bag binary, elements array<bigint>")).select("node", "elements").dropDuplicates(["node"]))
+
+    pivots = reps.select(F.col("node").alias("pivot"), F.col("n").alias("np"))
+    stars = buckets.filter("node <> pivot").select("pivot", "node", "n").distinct().join(pivots, "pivot").filter(_alike("n", "np"))
+    links = cut(_verified(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")), bags).filter(F.col("j") >= THRESHOLD).select("a", "b"))
+    if not versions.isEmpty():
+        links = links.unionByName(members.join(versions, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")))
+    classes = components(links)
+    regions = _regions(buckets, classes)
+    if not regions.isEmpty():
+        diffs = _differences(regions, bags)
+        classes = _joined(classes, _certain(diffs))
+        classes = _joined(classes, _uncertain(diffs, classes))
+    if several:  # roots may be digests
+        classes = classes.join(reps.select("node", "rep"), "node")
+        names = classes.groupBy("root").agg(F.min("rep").alias("name"))
+        classes = classes.join(names, "root").select("node", F.col("name").alias("root"))
+    found = members.join(classes, "node", "left")
+    return found.select("doc_id", F.coalesce("root", "node").alias("class_id"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
