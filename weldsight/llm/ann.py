@@ -14,51 +14,56 @@ from pyspark.sql import functions as F
 
 from weldsight.llm.common import cut, partitions, table
 
-#: Vectors that centroids are fitted on, centroids, and rows of a list, at most.
-SAMPLE, CENTROIDS, LIST_ROWS = 20_000, 2048, 2000
-#: Vectors to a centroid aimed at; copies of a boundary vector at most, how much farther their centroids may be, and
-#: how far apart, in distances of the vector.
-PER_CENTROID, COPIES, BOUNDARY, APART = 100, 6, 1.2, 0.5
+#: Vectors that centroids are fitted on, centroids, and rows of a list's part, at most.
+SAMPLE, CENTROIDS, LIST_ROWS = 20_000, 2048, 10_000
+#: Copies of a boundary vector at most, how much farther their centroids may be, and how far apart, in distances of the
+#: vector.
+COPIES, BOUNDARY, APART = 3, 1.15, 0.5
 #: Lists whose centroid is up to this many times as far as the nearest are searched; neighbours in the centroid graph.
-PROBE, DEGREE = 1.22, 24
-#: The lists of a query hold at least this many times k distinct vectors; rows, and queries, that one block compares.
-ENOUGH, BLOCK = 5, 20_000
+PROBE, DEGREE = 1.17, 24
+#: The lists of a query hold at least ENOUGH times k distinct vectors. Those that hold NEAR times k are searched first,
+#: and the others then return only what is nearer. Rows, and queries, that one block compares.
+ENOUGH, NEAR, BLOCK = 5, 100, 20_000
 
 
 @dataclass
 class Centroids:
-    """Centroids with a graph of their nearest neighbours."""
+    """Centroids with a graph that links each to its nearest ones, both ways: else none may lead to a distant one."""
 
     points: np.ndarray
-    links: np.ndarray
+    links: list[np.ndarray]
 
     def search(self, query: np.ndarray, ratio: float, held: np.ndarray, need: int) -> list[int]:
-        """Best-first walk over the graph: the centroids found within ``ratio`` times the least distance.
+        """Best-first walk over the graph: the nearest centroids up to the one by which these hold ``need`` vectors,
+        and those within ``ratio`` times its distance.
 
-        While the vectors ``held`` by these are fewer than ``need``, the next-nearest are added until none is left.
+        A query in a tight group that owns a centroid thus measures the ratio by the next one, not by a distance of 0.
         """
         start = np.unique(np.linspace(0, len(self.points) - 1, min(len(self.points), 32)).astype(int))
         dist = dict(zip(start.tolist(), np.sqrt(((self.points[start] - query) ** 2).sum(1)).tolist(), strict=True))
         heap = [(d, c) for c, d in dist.items()]
         heapq.heapify(heap)
-        least, have = min(dist.values()), 0
+        reach, have = math.inf, 0
         while heap:
             d, c = heapq.heappop(heap)
-            if d > ratio * least * 1.05 and have >= need:
+            if d > ratio * reach * 1.05:
                 break
             have += held[c]
+            if have >= need:
+                reach = min(reach, d)
             new = [x for x in self.links[c].tolist() if x not in dist]
             if new:
                 for x, far in zip(new, np.sqrt(((self.points[new] - query) ** 2).sum(1)).tolist(), strict=True):
                     dist[x] = far
-                    least = min(least, far)
                     heapq.heappush(heap, (far, x))
-        out, have = [], 0
+        out, reach, have = [], math.inf, 0
         for d, c in sorted((d, c) for c, d in dist.items()):
-            if d > ratio * least and have >= need:
+            if d > ratio * reach:
                 break
             out.append(c)
             have += held[c]
+            if have >= need:
+                reach = min(reach, d)
         return out
 
 
@@ -82,8 +87,10 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -
     degree = min(DEGREE, k - 1)
     between = _squared(points, points)
     np.fill_diagonal(between, np.inf)
-    links = np.argsort(between, axis=1)[:, :degree] if degree else np.zeros((k, 0), int)
-    return Centroids(points, links)
+    near = np.argsort(between, axis=1)[:, :degree]
+    linked = np.zeros((k, k), bool)
+    np.put_along_axis(linked, near, True, 1)
+    return Centroids(points, [np.flatnonzero(row) for row in linked | linked.T])
 
 
 def assign(vectors: np.ndarray, centroids: Centroids) -> list[np.ndarray]:
@@ -109,22 +116,29 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _closest(k: int, dim: int):
+    """The k nearest of a part for each query, and none beyond the query's bound: those that matrix products put near
+    enough are measured exactly."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
     def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not stored.num_rows or not asked.num_rows:
             return schema.empty_table()
         ids = stored.column("vec_id").to_numpy()
         vectors, queries = (_matrix(t.column("v").combine_chunks(), dim) for t in (stored, asked))
+        bounds, norms = asked.column("bound").to_numpy(), (vectors * vectors).sum(1)
         out_q, out_v, out_s = [], [], []
-        for qid, q in zip(asked.column("query_id").to_pylist(), queries, strict=True):
-            score = np.sqrt(((vectors - q) ** 2).sum(1))
-            score[ids == qid] = np.inf
-            at = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
-            at = at[np.isfinite(score[at])]
-            at = at[np.lexsort((ids[at], score[at]))][:k]
-            out_q.append(np.full(len(at), qid))
-            out_v.append(ids[at])
-            out_s.append(score[at])
+        for qid, q, bound in zip(asked.column("query_id").to_pylist(), queries, bounds.tolist(), strict=True):
+            about = norms - 2 * (vectors @ q)  # squared distances but for the query's own norm
+            about[ids == qid] = np.inf
+            own = float(q @ q)
+            cut_at = min(np.partition(about, k - 1)[k - 1] if len(about) > k else np.inf, bound * bound - own)
+            at = np.flatnonzero((about <= cut_at + 1e-9 * (own + norms.max())) & np.isfinite(about))
+            score = np.sqrt(((vectors[at] - q) ** 2).sum(1))
+            order = np.lexsort((ids[at], score))[:k]
+            order = order[score[order] <= bound]
+            out_q.append(np.full(len(order), qid))
+            out_v.append(ids[at][order])
+            out_s.append(score[order])
         return pa.table([np.concatenate(x) for x in (out_q, out_v, out_s)], schema=schema)
 
     return run
@@ -138,12 +152,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     smaller vec_id; an empty table gives no rows; other columns are not read. Centroids are fitted on a bounded sample,
     every vector is stored in its lists whole, and lists of more than LIST_ROWS rows are split by vec_id, all parts of
     which a query reads. A query has k rows, or all other vectors if these are fewer: its lists go on until they hold
-    ENOUGH times k vectors, and one that still finds fewer than k is compared with all vectors, in blocks.
+    ENOUGH times k vectors, and one that still finds fewer than k is compared with all vectors, in blocks. The number of
+    lists grows with the root of the vectors. A query's nearest lists bound what its other lists return, so that the
+    rows between the two steps do not grow with the lists.
     """
     spark = vectors.sparkSession
+    kind = "float" if all(d.schema["embedding"].dataType.simpleString() == "array<float>" for d in (vectors, queries)) else "double"
 
     def usable(df: DataFrame) -> DataFrame:
-        e = F.transform("embedding", lambda x: x.cast("double"))
+        e = F.col("embedding") if kind == "float" else F.transform("embedding", lambda x: x.cast("double"))
         rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
         good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
         return rows.filter(good)
@@ -157,7 +174,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = usable(queries).filter(F.size("v") == dim)
     picked = stored.sample(fraction=min(1.0, 1.2 * SAMPLE / n), seed=3) if n > SAMPLE else stored
     sample = np.array([r.v for r in picked.select("v").limit(SAMPLE).collect()])
-    model = fit_centroids(sample, max(1, min(CENTROIDS, len(sample) // 8 or 1, n // PER_CENTROID)))
+    model = fit_centroids(sample, max(1, min(CENTROIDS, len(sample) // 8 or 1, math.isqrt(n))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in ((b, i) for b in batches for i in range(0, b.num_rows, 2048)):
@@ -168,7 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             own = pa.array([i == 0 for x in lists for i in range(len(x))], pa.bool_())
             yield pa.RecordBatch.from_arrays([which, b.column("vec_id").take(at), b.column("v").take(at), own], ["list", "vec_id", "v", "own"])
 
-    postings = cut(stored.mapInArrow(post, "list int, vec_id long, v array<double>, own boolean"))
+    postings = cut(stored.mapInArrow(post, f"list int, vec_id long, v array<{kind}>, own boolean"))
     # CENTROIDS rows at most; a vector counts as held by its nearest centroid's list alone
     sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("count"), F.count_distinct(F.when(F.col("own"), F.col("vec_id"))).alias("held")).collect()
     held = np.zeros(len(model.points), np.int64)
@@ -178,34 +195,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [model.search(q, PROBE, held, need) for q in _matrix(b.column("v"), dim)]
+            first = [c for x in lists for c in (np.cumsum(held[x]) - held[x] < NEAR * k).tolist()]
             at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64))
             which = pa.array([c for x in lists for c in x], pa.int32())
-            yield pa.RecordBatch.from_arrays([which, b.column("vec_id").take(at), b.column("v").take(at)], ["list", "query_id", "v"])
-
-    parts = {r["list"]: math.ceil(r["count"] / LIST_ROWS) for r in sizes}
-    several = {c: p for c, p in parts.items() if p > 1}
-    count = F.coalesce(F.create_map(*[F.lit(x) for kv in several.items() for x in kv])[F.col("list")], F.lit(1)) if several else F.lit(1)
-    left = postings.drop("own").withColumn("part", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
-    right = asked.mapInArrow(probe, "list int, query_id long, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
-    pairs = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
+            yield pa.RecordBatch.from_arrays([which, b.column("vec_id").take(at), b.column("v").take(at), pa.array(first, pa.bool_())], ["list", "query_id", "v", "first"])
 
+    parts = F.broadcast(spark.createDataFrame([(r["list"], math.ceil(r["count"] / LIST_ROWS)) for r in sizes], "list int, parts int"))
+    left = postings.drop("own").join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    probed = cut(asked.mapInArrow(probe, f"list int, query_id long, v array<{kind}>, first boolean"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
 
     def ranked(pairs: DataFrame) -> DataFrame:
         best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    best = cut(ranked(pairs))
+    def search(stored_: DataFrame, asked_: DataFrame) -> DataFrame:
+        return stored_.groupBy("list", "part").cogroup(asked_.groupBy("list", "part")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
+
+    def in_lists(asked_: DataFrame) -> DataFrame:
+        each = asked_.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return search(left, each.select("list", "part", "query_id", "v", "bound"))
+
+    nearest_lists = cut(in_lists(probed.filter("first").withColumn("bound", F.lit(float("inf")))))
+    bounds = ranked(nearest_lists).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    others = probed.filter("not first").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    best = cut(ranked(nearest_lists.unionByName(in_lists(others))))
     full = best.groupBy("query_id").count().filter(F.col("count") >= k)
-    short = cut(asked.withColumnRenamed("vec_id", "query_id").join(full, "query_id", "left_anti"))
+    short = cut(asked.withColumnRenamed("vec_id", "query_id").withColumn("bound", F.lit(float("inf"))).join(full, "query_id", "left_anti"))
     few = short.count()
     if not few:
         return best
     blocks, turns = max(partitions(spark), math.ceil(n / BLOCK)), math.ceil(few / BLOCK)
     every = stored.withColumn("list", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
     each = short.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int")).withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    compared = every.groupBy("list", "part").cogroup(each.groupBy("list", "part")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
-    return best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(ranked(compared))
+    return best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(ranked(search(every, each)))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
