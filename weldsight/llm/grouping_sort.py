@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Sequence
 
-def suffix_array(seq: list[int]) -> list[int]:
+
+def _filled(n: int, value: int) -> array:
+    return array("i", [value]) * n
+
+
+def suffix_array(seq: Sequence[int]) -> array:
     """Starts of the suffixes of ``seq`` in ascending order; a suffix comes after its own prefixes.
 
     First, suffixes are grouped by their first symbol, and groups are taken from the largest to the smallest: each
@@ -14,20 +21,22 @@ def suffix_array(seq: list[int]) -> list[int]:
     """
     n = len(seq) + 1  # with an end that is smaller than any symbol
     order = sorted(range(n - 1), key=seq.__getitem__)
-    at = [n - 1, *order]
-    place, group = [0] * n, [0] * n
+    at = array("i", [n - 1])
+    at.extend(order)
+    del order
+    place, group = _filled(n, 0), _filled(n, 0)
     start, before = 0, None
     for k, i in enumerate(at):
         if k and (k == 1 or seq[i] != before):
             start = k
         before = seq[i] if k else None
         place[i], group[i] = k, start
-    size = [0] * (n + 1)
+    size = _filled(n + 1, 0)
     for g in group:
         size[g] += 1
 
-    smaller = [-1] * n  # the pointers
-    skip = [-1] * n  # shortcuts over suffixes of larger groups
+    smaller = _filled(n, -1)  # the pointers
+    skip = _filled(n, -1)  # shortcuts over suffixes of larger groups
     high = n - 1
     while high >= 0:
         g = group[at[high]]
@@ -68,29 +77,29 @@ def suffix_array(seq: list[int]) -> list[int]:
                 size[new] += 1
         high = g - 1
 
-    free = list(range(n + 1))  # the next free place of a group
-    placed = [False] * n
-    out = [-1] * n
+    free = array("i", range(n + 1))  # the next free place of a group
+    placed = bytearray(n)
+    out = _filled(n, -1)
     out[0] = n - 1
-    placed[n - 1] = True
+    placed[n - 1] = 1
     for k in range(n):
         j = out[k] - 1
         while j >= 0 and not placed[j]:
             g = group[j]
             out[free[g]] = j
             free[g] += 1
-            placed[j] = True
+            placed[j] = 1
             j = smaller[j]
     return out[1:]
 
 
-def common_prefixes(seq: list[int], order: list[int]) -> list[int]:
+def common_prefixes(seq: Sequence[int], order: Sequence[int]) -> array:
     """Length of the prefix that each suffix of the array shares with the one before it; 0 for the first."""
     n = len(seq)
-    rank = [0] * n
+    rank = _filled(n, 0)
     for k, i in enumerate(order):
         rank[i] = k
-    out, h = [0] * n, 0
+    out, h = _filled(n, 0), 0
     for i in range(n):
         if rank[i]:
             j = order[rank[i] - 1]

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, mix64, partitions, small_batches, table, text_buffers
+from weldsight.llm.common import cut, mix64, partitions, small_batches, table, text_buffers, trim
 from weldsight.llm.grouping_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 32
 #: Rows of an anchor (copies of texts included) beyond which its strings are compared by their digests in a shuffle
 #: instead of being sorted in one task; symbols that are sorted together.
 HOT, SYMBOLS = 50_000, 30_000
+#: Bytes of text whose anchors are found together; longer texts go in windows of so many.
+WINDOW = 1_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,36 +65,54 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(size: int, window: int, length: int = LENGTH) -> Iterator[tuple[int, int]]:
+    """Windows of a text that share length - 1 bytes, so that each string lies in one of them."""
+    for at in range(0, max(size - length + 1, 1), window):
+        yield at, min(size, at + window + length - 1)
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    names = ["key", "pos", "h"]
     for whole in batches:
-        sizes = np.diff(text_buffers(whole.column("text"))[0])
-        cuts, at = [], 0
-        while at < len(sizes):  # parts of 1 MB, as their arrays take a hundred times that
-            end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), 1_000_000, "right")))
-            cuts.append((at, end))
+        offsets, data = text_buffers(whole.column("text"))
+        keys = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        at, n = 0, len(keys)
+        while at < n:  # parts of a window's size, as their arrays take a hundred times that
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + window, "right")) - 1)
+            if end == at + 1:
+                last = -1
+                for first, stop in _windows(int(offsets[end] - offsets[at]), window):
+                    place, h = anchors(data[offsets[at] + first : offsets[at] + stop], np.array([stop - first]))
+                    place, new = place + first, place + first > last  # windows that follow one another share an anchor at most
+                    last = int(place[-1]) if len(place) else last
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[at]] * int(new.sum()), pa.binary()), pa.array(place[new].astype(np.int32)), pa.array(h[new].view(np.int64))], names)
+            else:
+                place, h = anchors(data[offsets[at] : offsets[end]], offsets[at + 1 : end + 1] - offsets[at])
+                doc = np.searchsorted(offsets[at + 1 : end + 1] - offsets[at], place, "right") + at
+                columns = [pa.array(keys, pa.binary()).take(pa.array(doc)), pa.array((place + offsets[at] - offsets[doc]).astype(np.int32)), pa.array(h.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names)
             at = end
-        for at, end in cuts:
-            offsets, data = text_buffers(whole.column("text").slice(at, end - at))
-            keys = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            place, h = anchors(data, offsets[1:])
-            doc = np.searchsorted(offsets[1:], place, "right")
-            columns = [pa.array(keys, pa.binary()).take(pa.array(doc)), pa.array((place - offsets[doc]).astype(np.int32)), pa.array(h.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "pos", "h"])
+    trim()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each anchor that strings through it can have; equal ones of a text are one row with all places."""
-    for b in _parts(batches, 200):
+    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary())
+    names = ("h", "hot", "key", "places", "left", "context")
+    for b in _parts(batches, 50):
         rows: list[tuple] = []
-        for key, text, spots in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spots").to_pylist(), strict=True):
+        for i, (key, spots) in enumerate(zip(b.column("key").to_pylist(), b.column("spots").to_pylist(), strict=True)):
+            text = b.column("text")[i].as_buffer()
             own: dict[tuple, list[int]] = {}
             for s in spots:
                 left = min(s["pos"], LENGTH - GRAM)
-                own.setdefault((s["h"], s["hot"], left, text[s["pos"] - left : s["pos"] + LENGTH]), []).append(s["pos"])
+                own.setdefault((s["h"], s["hot"], left, text[s["pos"] - left : s["pos"] + LENGTH].to_pybytes()), []).append(s["pos"])
+                if len(own) == 2000:  # of a long text, whose equal contexts then take several rows
+                    yield pa.RecordBatch.from_arrays([pa.array([(h, hot, key, p, m, c)[j] for (h, hot, m, c), p in own.items()], t) for j, t in enumerate(kinds)], names)
+                    own = {}
             rows.extend((h, hot, key, places, left, context) for (h, hot, left, context), places in own.items())
-        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary())
-        names = ("h", "hot", "key", "places", "left", "context")
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+    trim()
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -114,9 +133,9 @@ class _Side:
         for k, i in enumerate(self.order):
             self.most[i] = max(self.lcp[k - 1] if k else 0, self.lcp[k] if k < len(self.lcp) else 0)
 
-    def paths(self, first: int) -> tuple[list[list[tuple[int, int]]], int]:
-        """For each string the inner nodes from the root to it as (symbol, depth), and the next free symbol: two
-        strings have common nodes up to the depth to which they agree."""
+    def paths(self) -> tuple[list[array], list[int]]:
+        """For each string the inner nodes from the root to it, and the depth of each node: two strings have common
+        nodes up to the depth to which they agree."""
         depth, parent, stack = [0], [-1], [0]
         owner = [0] * len(self.order)
         for k, common in enumerate(self.lcp, 1):
@@ -132,14 +151,14 @@ class _Side:
             owner[k] = stack[-1]
             if depth[owner[k - 1]] < common:
                 owner[k - 1] = stack[-1]
-        out: list[list[tuple[int, int]]] = [[] for _ in self.order]
+        out = [array("i") for _ in self.order]
         for k, i in enumerate(self.order):
             node = owner[k]
             while node > 0:
-                out[i].append((first + node, depth[node]))
+                out[i].append(node)
                 node = parent[node]
             out[i].reverse()
-        return out, first + len(depth)
+        return out, depth
 
 
 class _Sorter:
@@ -149,7 +168,7 @@ class _Sorter:
         self.reset()
 
     def reset(self) -> None:
-        self.seq: list[int] = []
+        self.seq = array("i")
         self.rows: list[tuple] = []
         self.free = 1
 
@@ -167,28 +186,33 @@ class _Sorter:
             items = [x for x, ok in zip(items, able, strict=True) if ok]
         if len(items) < 2:
             return known
-        right, self.free = ahead.paths(self.free)
-        left, self.free = back.paths(self.free)
+        right, depth_right = ahead.paths()
+        left, depth_left = back.paths()
+        first_right, first_left = self.free, self.free + len(depth_right)
+        self.free += len(depth_right) + len(depth_left)
         for i, (_, places) in enumerate(items):
-            self.rows.append((len(self.seq), places, [d for _, d in left[i]], [d for _, d in right[i]]))
-            self.seq.extend(s for s, _ in left[i][::-1])
-            self.seq.extend(s for s, _ in right[i])
+            self.rows.append((len(self.seq), places, array("i", [depth_left[x] for x in left[i]]), array("i", [depth_right[x] for x in right[i]])))
+            self.seq.extend(array("i", [first_left + x for x in reversed(left[i])]))
+            self.seq.extend(array("i", [first_right + x for x in right[i]]))
             self.seq.append(self.free)
             self.free += 1
         return known
 
     def spans(self) -> list[tuple[bytes, int, int]]:
-        """Spans of the collected contexts: from each left distance, how far the best other one agrees to the right."""
+        """The span of each collected context: from each left distance, how far the best other one agrees to the right.
+
+        Every string of a context holds its anchor, so that what they cover together is one span.
+        """
         if not self.seq:
             return []
         order = suffix_array(self.seq)
         lcp = common_prefixes(self.seq, order)
-        best = [0] * len(self.seq)
+        best = array("i", bytes(4 * len(self.seq)))
         for k, i in enumerate(order):
             best[i] = max(lcp[k], lcp[k + 1] if k + 1 < len(lcp) else 0)
         out = []
         for at, places, lefts, rights in self.rows:
-            count = len(lefts)
+            count, reach, end = len(lefts), -1, 0
             for k in range(count, -1, -1):
                 beyond = best[at + count - k] - k
                 if beyond <= 0:
@@ -196,7 +220,9 @@ class _Sorter:
                 most = lefts[k - 1] if k else 0
                 least = max((lefts[k - 2] + 1 if k > 1 else 1) if k else 0, LENGTH - rights[beyond - 1])
                 if least <= most:
-                    out.extend((key, pos - most, pos - least + LENGTH) for key, pos in places)
+                    reach, end = max(reach, most), max(end, LENGTH - least)
+            if reach >= 0:
+                out.extend((key, pos - reach, pos + end) for key, pos in places)
         self.reset()
         return out
 
@@ -206,13 +232,6 @@ def _span_batch(spans: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], t) for i, t in enumerate(kinds)], ["key", "first", "end"])
 
 
-def _trim() -> None:
-    """Gives freed memory back, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor to spans of repeated strings."""
     sorter, spans = _Sorter(), []
@@ -227,13 +246,13 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(spans) > 20_000:
                     yield _span_batch(spans)
                     spans = []
-                    _trim()
+                    trim()
             contexts.setdefault((left, context), []).extend((key, p) for p in places)
     spans += sorter.add(contexts)
     spans += sorter.spans()
     yield _span_batch(spans)
     del spans, sorter, contexts
-    _trim()
+    trim()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +270,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _parts(batches, 200):
         rows = []
-        for key, text, spans in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
+        for i, (key, spans) in enumerate(zip(b.column("key").to_pylist(), b.column("spans").to_pylist(), strict=True)):
+            text = b.column("text")[i].as_buffer()
             kept, at, removed, count, reach = hashlib.sha256(), 0, 0, 0, -1
             for first, end in sorted((s["first"], s["end"]) for s in spans):
                 if first > reach:
