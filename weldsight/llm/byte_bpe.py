@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import ragged, table, text_buffers
+from weldsight.llm.common import ragged, table, text_buffers, trim
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes up to which a word goes to the query. One merge a step makes its cost grow with the square of a word's length,
@@ -27,22 +27,20 @@ LONGEST = 256
 KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 400_000, 400_000, 500_000
 
 # A row is one token of a word. Each step joins neighbouring tokens to the merges and contracts, in every word that
-# still has a merge, the leftmost pair of the least rank; a word without one is done. One thread keeps the order of
-# rows, so that the row after the current one is its right neighbour.
+# still has a merge, the leftmost pair of the least rank; a word without one is done.
 _CONTRACT_SQL = """
 WITH RECURSIVE s AS (
   SELECT w, pos, tok, 0 AS step, FALSE AS done FROM base
   UNION ALL
   (WITH pairs AS MATERIALIZED (
      SELECT p.w, p.pos, p.tok, p.step, (m.rank::BIGINT << 40) + p.pos AS key
-     FROM (SELECT w, pos, tok, step, CASE WHEN lead(w) OVER () = w THEN lead(tok) OVER () END AS follows
-           FROM s WHERE NOT done) p
+     FROM (SELECT w, pos, tok, step, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS follows FROM s WHERE NOT done) p
      LEFT JOIN merges m ON m.l = p.tok AND m.r = p.follows),
    least AS (SELECT w, min(key) AS best FROM pairs GROUP BY w)
    SELECT w, pos, CASE WHEN key = best THEN (key >> 40)::INTEGER ELSE tok END, step + 1, best IS NULL
-   FROM (SELECT pairs.w, pos, tok, step, key, best, lag(key) OVER () AS before, lag(pairs.w) OVER () AS word_before
+   FROM (SELECT pairs.w, pos, tok, step, key, best, lag(key) OVER (PARTITION BY pairs.w ORDER BY pos) AS before
          FROM pairs JOIN least ON pairs.w = least.w)
-   WHERE best IS NULL OR word_before IS DISTINCT FROM w OR before IS DISTINCT FROM best))
+   WHERE best IS NULL OR before IS DISTINCT FROM best))
 SELECT w, tok FROM s WHERE done ORDER BY w, pos
 """
 
@@ -72,11 +70,8 @@ class _Codec:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
-        unsafe = np.zeros(max(self.ranks.values()) + 1, bool)
-        unsafe[left[left > rank]] = True
-        unsafe[right[right > rank]] = True
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self._load("merges", {"l": left, "r": right, "rank": rank, "safe": ~unsafe[rank]})
+        self._load("merges", {"l": left, "r": right, "rank": rank})
         self._load("vocabulary", {"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
         self._forget()
 
@@ -186,9 +181,10 @@ class _Codec:
 _CODECS: dict[tuple[str, str], _Codec] = {}
 
 
-def _codec(path: str, pattern: str) -> _Codec:
+def _codec(path: str | None, pattern: str) -> _Codec:
+    """The worker's codec; a rank file that is not named is looked for where the worker runs."""
     if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = _Codec(path, pattern)
+        _CODECS[path, pattern] = _Codec(path or public_tokenizers.path(RANKS), pattern)
     return _CODECS[path, pattern]
 
 
@@ -209,13 +205,13 @@ def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str) -> Iterator[pa.RecordBatch]:
     for b in _blocks(batches, "text", 6_000_000):
         ids, sizes = _codec(path, pattern).encode(b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, sizes)], ["doc_id", "ids"])
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str) -> Iterator[pa.RecordBatch]:
     for b in _blocks(batches, "ids", 2_000_000):
         lists = b.column("ids")
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
@@ -246,13 +242,13 @@ def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = N
     is a token is that token. Null and empty texts have no ids; repeated rows and null identifiers stay as they are;
     an empty table gives no rows; other columns are not read.
     """
-    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
     return _source(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, path, pattern), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids and the decoded bytes; no ids (or null) give no bytes, and ids outside the vocabulary are an error."""
-    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
     return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path, pattern), "doc_id long, ids array<int>, decoded binary")
 
 
@@ -261,7 +257,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None
 
     bpe_encode and bpe_decode in one pass of one worker, so that bytes stay in the task. Nulls, repeated rows and
     empty tables are as in bpe_encode."""
-    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _digests(_decoded(_encoded(batches, path, pattern), path, pattern)):
@@ -269,7 +265,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None
         codec = _codec(path, pattern)
         if len(codec.words) > KEPT_WORDS // 2:  # idle workers stay small
             codec._forget()
-        pa.default_memory_pool().release_unused()
+        trim()
 
     ids = "ids array<int>, " if with_ids else ""
     return _source(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
