@@ -10,15 +10,13 @@ from weldsight.llm.common import table, written
 from weldsight.llm.exact_dedup import without_copies
 from weldsight.llm.mixing import SHARE, take
 from weldsight.llm.near_dedup import near_duplicates
-from weldsight.llm.toxicity import learn_toxicity, score_toxicity
+from weldsight.llm.toxicity import learn_toxicity, without_toxic
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents whose score is 0.5 or more. Null and empty texts stay; an empty table stays empty."""
     lexicon = learn_toxicity(docs, table(spark, sf_dir, "labels"))
-    named = docs.toDF(*[c if c == "text" else f"_{c}" for c in docs.columns])
-    kept = score_toxicity(named, lexicon, named.columns).filter("predicted = 0")
-    return kept.select(*named.columns).toDF(*docs.columns)
+    return without_toxic(docs, lexicon)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the least doc_id. Null doc_ids stay."""
-    others = near_duplicates(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs.doc_id.cast("long") == F.col("_other"), "left_anti")
+    others = near_duplicates(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("other")).distinct()
+    return docs.join(others, docs["doc_id"].cast("long") == others["other"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,9 +16,9 @@ from weldsight.llm.common import cut, partitions, table
 
 #: Vectors that centroids are fitted on, centroids, and rows of a list's part, at most.
 SAMPLE, CENTROIDS, LIST_ROWS = 20_000, 2048, 10_000
-#: Copies of a boundary vector at most, how much farther their centroids may be, and how far apart, in distances of the
-#: vector.
-COPIES, BOUNDARY, APART = 3, 1.15, 0.5
+#: Vectors to a centroid at least; copies of a boundary vector at most, how much farther their centroids may be, and
+#: how far apart, in distances of the vector.
+PER_CENTROID, COPIES, BOUNDARY, APART = 100, 3, 1.15, 0.5
 #: Lists whose centroid is up to this many times as far as the nearest are searched; neighbours in the centroid graph.
 PROBE, DEGREE = 1.17, 24
 #: The lists of a query hold at least ENOUGH times k distinct vectors. Those that hold NEAR times k are searched first,
@@ -174,7 +174,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = usable(queries).filter(F.size("v") == dim)
     picked = stored.sample(fraction=min(1.0, 1.2 * SAMPLE / n), seed=3) if n > SAMPLE else stored
     sample = np.array([r.v for r in picked.select("v").limit(SAMPLE).collect()])
-    model = fit_centroids(sample, max(1, min(CENTROIDS, len(sample) // 8 or 1, math.isqrt(n))))
+    model = fit_centroids(sample, max(1, min(CENTROIDS, len(sample) // 8 or 1, n // PER_CENTROID, math.isqrt(n))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in ((b, i) for b in batches for i in range(0, b.num_rows, 2048)):

@@ -13,10 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, partitions, table
+from weldsight.llm.common import cut, partitions, table, trim
 
 HEAD = 64
 SAMPLE_PER_RANGE = 60
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _keys(texts: pa.Array) -> list[bytes]:
@@ -27,11 +28,6 @@ def _keys(texts: pa.Array) -> list[bytes]:
     return out
 
 
-def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pc.ascii_lower(b.column(1))], ["doc_id", "text"])
-
-
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array(_keys(pc.ascii_lower(b.column(0))), pa.binary())], ["key"])
@@ -75,6 +71,7 @@ def _collapse(splitters: list[bytes]):
             held = (pa.array([texts[last].as_py()], texts.type), [ids.slice(last)])
         if held is not None:
             yield emit(held[0], pa.concat_arrays(held[1]), np.zeros(1, np.int64))
+        trim()
 
     return run
 
@@ -100,6 +97,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = pa.array([texts[len(texts) - 1].as_py()], texts.type)[0]
         arrays = [pa.array(gids, pa.int64()), ids, pa.array(keeps, pa.int64()), pa.array(leads), pa.array(shas)]
         yield pa.RecordBatch.from_arrays(arrays, ["gid", "ids", "keep_id", "lead", "text_sha256"])
+    trim()
 
 
 def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +121,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     splitters = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
     order = [F.asc("text"), F.desc_nulls_last("doc_id")]
-    local = source.mapInArrow(_lowered, "doc_id long, text string").sortWithinPartitions(*order)
+    local = source.withColumn("text", F.translate("text", _UPPER, _UPPER.lower())).sortWithinPartitions(*order)
     runs = local.mapInArrow(_collapse(splitters), "pid int, text string, ids array<bigint>").withColumn("top", F.col("ids")[0])
     ranged = runs.repartitionById(n, "pid").sortWithinPartitions(F.asc("text"), F.desc_nulls_last("top"))
     schema = "gid long, ids array<bigint>, keep_id long, lead boolean, text_sha256 string"
@@ -137,12 +135,14 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: exactly one of each group."""
-    stay = content_sort_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_digest"))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    keyed = docs.withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()).cast("binary"), 256))
-    same = (F.col("_sha") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of ``docs`` that stay, with all their columns, whatever these are named: exactly one of each group."""
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    stay = content_sort_dedup(docs).filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("digest"))
+    sha = F.sha2(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()).cast("binary"), 256)
+    same = (F.col("sha") == F.col("digest")) & F.col("id").eqNullSafe(F.col("keep"))
+    keyed = own.withColumn("sha", sha).withColumn("id", doc_id.cast("long"))
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["id", "sha"]).drop("id", "sha").toDF(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

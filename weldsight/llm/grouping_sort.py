@@ -10,7 +10,7 @@ def _filled(n: int, value: int) -> array:
     return array("i", [value]) * n
 
 
-def suffix_array(seq: Sequence[int]) -> array:
+def suffix_array(seq: Sequence[int]) -> list[int]:
     """Starts of the suffixes of ``seq`` in ascending order; a suffix comes after its own prefixes.
 
     First, suffixes are grouped by their first symbol, and groups are taken from the largest to the smallest: each
@@ -90,10 +90,10 @@ def suffix_array(seq: Sequence[int]) -> array:
             free[g] += 1
             placed[j] = 1
             j = smaller[j]
-    return out[1:]
+    return out[1:].tolist()
 
 
-def common_prefixes(seq: Sequence[int], order: Sequence[int]) -> array:
+def common_prefixes(seq: Sequence[int], order: Sequence[int]) -> list[int]:
     """Length of the prefix that each suffix of the array shares with the one before it; 0 for the first."""
     n = len(seq)
     rank = _filled(n, 0)
@@ -109,4 +109,4 @@ def common_prefixes(seq: Sequence[int], order: Sequence[int]) -> array:
             h = max(0, h - 1)
         else:
             h = 0
-    return out
+    return out.tolist()

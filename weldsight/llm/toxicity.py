@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import table
+from weldsight.llm.common import table, trim
 
 #: Letters of other scripts that look like Latin ones, digits and signs that stand for letters, and
 #: harmless phrases around words of the lexicon.
@@ -176,27 +176,42 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     return lexicon
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id if none are named) with score (0 to 1) and predicted (1 from 0.5 on).
+def _scored(texts: pa.Array, lexicon: Lexicon, automaton: ahocorasick.Automaton) -> np.ndarray:
+    return lexicon.scores(np.array([lexicon.features(t.as_py() or "", automaton) for t in texts]).reshape(len(texts), FEATURES))
+
+
+def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted (1 from 0.5 on) of every row.
 
     Scores depend on the text alone, read whole. Null texts count as empty and get the score of a text without any
-    hit; repeated rows get equal scores; an empty table gives no rows; columns that are not named are not read, and
-    ``keep`` must not hold score or predicted.
+    hit; repeated rows get equal scores; an empty table gives no rows; other columns are not read.
     """
-    keep = keep or ["doc_id"]
-
-    source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-            x = np.array([lexicon.features(t.as_py() or "", automaton) for t in b.column("text")]).reshape(b.num_rows, FEATURES)
-            score = lexicon.scores(x)
-            columns = [*[b.column(c) for c in keep], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
+            score = _scored(b.column("text"), lexicon, automaton)
+            columns = [b.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
+        trim()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under 0.5; only texts go to Python and back comes
+    one number a row."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = lexicon.automaton()
+        for texts in batches:
+            parts = [_scored(texts.slice(at, 500), lexicon, automaton) for at in range(0, len(texts), 500)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        trim()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return source.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.filter(score("text") < 0.5)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
