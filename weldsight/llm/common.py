@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-#: Rows from which a key can count as one that holds many.
-MANY = 1000
+#: Rows from which a key can count as one that holds many; narrow rows that are worth a task.
+MANY, TASK_ROWS = 1000, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A frame of so many narrow rows in no more tasks than they are worth."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of narrow rows, read in no more tasks than they are worth."""
+    out = cut(df)
+    return narrow(out, out.count())
+
+
 def lookup(rows: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``named``, which has one small row for each key, also where few keys hold most rows.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, lookup, mix64, ragged, table, trim, unit
+from weldsight.llm.common import cut, lookup, mix64, narrow, ragged, settled, table, trim, unit
 
 WORDS, THRESHOLD = 5, 0.8
 #: Jaccard similarity reaches 0.8 just if WHOLE times the symmetric difference is at most the sum of both sizes.
@@ -162,13 +162,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) reaches, by least labels and pointer jumps."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    n = labels.count()
     while True:
         near = lookup(both, labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("new"), F.col("root").alias("old")))
+        step = cut(narrow(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("new"), F.col("root").alias("old")), n))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        now = cut(lookup(step, jump, "new").select("node", F.least("new", "far").alias("root"), "old"))
+        now = cut(narrow(lookup(step, jump, "new").select("node", F.least("new", "far").alias("root"), "old"), n))
         labels = now.select("node", "root")
         if now.filter("root <> old").isEmpty():
             return labels
@@ -176,16 +177,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """The classes after more edges: the components of the classes' roots."""
+    rows = edges.count()
     for side in ("a", "b"):
         named = classes.select(F.col("node").alias(side), F.col("root").alias("_r"))
-        edges = cut(lookup(edges, named, side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r"))
+        edges = cut(narrow(lookup(edges, named, side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r"), rows))
     between = edges.filter("a <> b")
     if between.isEmpty():
         return classes
     roots = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    every = cut(classes.unionByName(roots.select(F.col("root").alias("node"), "root").join(classes, "node", "left_anti")))
-    # dealt anew, or the parts of every union would add up
-    return cut(lookup(every, roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")).repartition("node"))
+    every = settled(classes.unionByName(roots.select(F.col("root").alias("node"), "root").join(classes, "node", "left_anti")))
+    return settled(lookup(every, roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -211,7 +212,7 @@ def _regions(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     placed = _rooted(buckets, classes)
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    return cut(placed.join(mixed.select("key", F.col("m.root").alias("main")), "key").select("main", "node", "n", (F.col("root") == F.col("main")).alias("member")).distinct())
+    return settled(placed.join(mixed.select("key", F.col("m.root").alias("main")), "key").select("main", "node", "n", (F.col("root") == F.col("main")).alias("member")).distinct())
 
 
 def _consensus(rows: DataFrame, bags: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def _certain(diffs: DataFrame) -> DataFrame:
     """Links (a, b) of every row to the one nearest to its region's consensus where the slacks suffice: what slacks
     link at all is connected by these."""
     top = diffs.groupBy("main").agg(F.max_by("node", F.struct("slack", "node")).alias("top"), F.max("slack").alias("most"))
-    return cut(lookup(diffs.select("main", "node", "slack"), top, "main").filter((F.col("slack") + F.col("most") >= 0) & (F.col("node") != F.col("top"))).select(F.col("top").alias("a"), F.col("node").alias("b")))
+    return settled(lookup(diffs.select("main", "node", "slack"), top, "main").filter((F.col("slack") + F.col("most") >= 0) & (F.col("node") != F.col("top"))).select(F.col("top").alias("a"), F.col("node").alias("b")))
 
 
 def _uncertain(diffs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -251,13 +252,16 @@ def _uncertain(diffs: DataFrame, classes: DataFrame) -> DataFrame:
     side's rarest ones hold one of them (a prefix filter); differences that no other class can share are left out.
     Every surviving pair is counted exactly.
     """
-    rows = cut(_rooted(diffs, classes))
+    rows = settled(_rooted(diffs.select("main", "node", "slack"), classes))
     top = rows.groupBy("main").agg(F.max_by("root", F.struct("slack", "node")).alias("core"), F.max("slack").alias("most"))
-    placed = cut(lookup(rows.drop("diff"), top, "main").withColumn("outside", F.col("root") != F.col("core")))
+    placed = settled(lookup(rows, top, "main").withColumn("outside", F.col("root") != F.col("core")))
     limits = placed.filter("outside").groupBy("main").agg(F.max("slack").alias("out"))
-    held = cut(lookup(placed, limits, "main").select("main", "node", "root", "slack", "outside", F.when(F.col("outside"), F.col("most")).otherwise(F.col("out")).alias("other")))
-    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("other")) / (2 * WHOLE)))
-    single = cut(held.withColumn("need", need.cast("int")).join(rows.select("main", "node", F.explode("diff").alias("e")), ["main", "node"]))
+    other = F.when(F.col("outside"), F.col("most")).otherwise(F.col("out"))
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / (2 * WHOLE))).cast("int")
+    held = settled(lookup(placed, limits, "main").select("main", "node", "root", "slack", "outside", need.alias("need")))
+    if held.isEmpty():
+        return held.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    single = held.join(diffs.select("main", "node", "diff"), ["main", "node"]).select("main", "node", "root", "slack", "outside", "need", F.explode("diff").alias("e"))
     shared = single.groupBy("main", "e").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("outside").alias("o")).filter("f > 1 AND r1 <> r2 AND o").select("main", "e", "f")
     usable = single.join(shared, ["main", "e"]).groupBy("main", "node", "root", "slack", "outside", "need").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("u"))
     ahead = usable.filter(F.size("u") >= F.col("need")).select("main", "node", "root", "slack", "outside", F.size("u").alias("size"), F.posexplode(F.slice("u", F.lit(1), F.size("u") - F.col("need") + 1)).alias("i", "s"))
@@ -267,9 +271,9 @@ def _uncertain(diffs: DataFrame, classes: DataFrame) -> DataFrame:
     once = ~F.col("ob") | (F.col("a") < F.col("b"))
     enough = F.least("ta", "tb") * (2 * WHOLE) >= -(F.col("sa") + F.col("sb"))
     pairs = a.join(b, (a.main == b.main) & (a.e == b.e) & (F.col("ra") != F.col("rb")) & once & enough).select(a.main, "a", "b", "sa", "sb").distinct()
-    left, right = (rows.select("main", F.col("node").alias(x), F.col("diff").alias(f"d{x}")) for x in "ab")
+    left, right = (diffs.select("main", F.col("node").alias(x), F.col("diff").alias(f"d{x}")) for x in "ab")
     counted = pairs.join(left, ["main", "a"]).join(right, ["main", "b"])
-    return cut(counted.filter(F.size(F.array_intersect("da", "db")) * (2 * WHOLE) >= -(F.col("sa") + F.col("sb"))).select("a", "b"))
+    return settled(counted.filter(F.size(F.array_intersect("da", "db")) * (2 * WHOLE) >= -(F.col("sa") + F.col("sb"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -311,7 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pivots = reps.select(F.col("node").alias("pivot"), F.col("n").alias("np"))
     stars = buckets.filter("node <> pivot").select("pivot", "node", "n").distinct().join(pivots, "pivot").filter(_alike("n", "np"))
-    links = cut(_verified(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")), bags).filter(F.col("j") >= THRESHOLD).select("a", "b"))
+    links = settled(_verified(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")), bags).filter(F.col("j") >= THRESHOLD).select("a", "b"))
     if not versions.isEmpty():
         links = links.unionByName(members.join(versions, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")))
     classes = components(links)
