@@ -23,7 +23,7 @@ PER_CENTROID, COPIES, BOUNDARY, APART = 100, 3, 1.15, 0.5
 PROBE, DEGREE = 1.17, 24
 #: The lists of a query hold at least ENOUGH times k distinct vectors. Those that hold NEAR times k are searched first,
 #: and the others then return only what is nearer. Rows, and queries, that one block compares.
-ENOUGH, NEAR, BLOCK = 5, 100, 20_000
+ENOUGH, NEAR, BLOCK = 20, 100, 20_000
 
 
 @dataclass

@@ -10,8 +10,8 @@ from weldsight.llm.common import MANY, cut, partitions, slots, table
 SHARDS, ROUNDS = 16, 6
 #: Share by which quotas are exceeded in the first round; rows beyond a shard's size move on at the end.
 SLACK = 0.1
-#: Parts of a shard in which rows are numbered; rows of a group from which it is salted over a quarter of these.
-BUCKETS, HOT = 1024, 256
+#: Parts of a shard in which rows are numbered; rows of a cell from which it is salted over a quarter of these.
+BUCKETS, HOT = 1024, 32
 
 
 def _loads(state: DataFrame, label: str, shards: int) -> list[int]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, mix64, partitions, small_batches, table, text_buffers, trim
+from weldsight.llm.common import MANY, cut, mix64, partitions, small_batches, table, text_buffers, trim
 from weldsight.llm.grouping_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 32
@@ -26,16 +26,16 @@ _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of texts that lie one after the other in ``data``.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, first starts, last starts) of the anchors of texts that lie one after the other in ``data``.
 
     Every string of ``length`` bytes within a text has one anchor: the first of its grams with the least hash. Equal
-    strings have equal anchors at the same distance from their start.
+    strings have equal anchors at the same distance from their start. The strings of an anchor start side by side.
     """
     n = len(data)
     width = length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, m = _BYTES[data], 1
     while m < gram:
         h = (h[:-m] * _A) ^ (h[m:] * _B)
@@ -54,9 +54,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     inside = np.ones(starts, bool)
     for end in ends.tolist():
         inside[max(0, end - length + 1) : end] = False
-    at = (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # ascending
-    at = at[np.diff(at, prepend=-1) > 0]
-    return at, h[at]
+    begins = np.flatnonzero(inside)
+    at = (least[begins] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # ascending
+    new = np.flatnonzero(np.diff(at, prepend=-1) > 0)
+    lasts = np.append(new[1:], len(at)) - 1 if len(at) else new
+    return at[new], h[at[new]], begins[new], begins[lasts]
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -72,25 +74,27 @@ def _windows(size: int, window: int, length: int = LENGTH) -> Iterator[tuple[int
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    names = ["key", "pos", "h"]
+    """An anchor's place, its hash, and how far its strings reach to the left and right of it."""
+
+    def rows(keys: pa.Array, doc: np.ndarray, data: np.ndarray, ends: np.ndarray, shift: np.ndarray) -> pa.RecordBatch:
+        place, h, first, last = anchors(data, ends)
+        own = np.searchsorted(ends, place, "right")
+        columns = [(place - shift[own]).astype(np.int32), (place - first).astype(np.int16), (last + LENGTH - place).astype(np.int16), h.view(np.int64)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(doc[own])), *map(pa.array, columns)], ["key", "pos", "left", "right", "h"])
+
     for whole in batches:
         offsets, data = text_buffers(whole.column("text"))
-        keys = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        keys = pa.array([hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
         at, n = 0, len(keys)
         while at < n:  # parts of a window's size, as their arrays take a hundred times that
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + window, "right")) - 1)
             if end == at + 1:
-                last = -1
+                # an anchor of two windows has a row for each, which share no string of the full length
                 for first, stop in _windows(int(offsets[end] - offsets[at]), window):
-                    place, h = anchors(data[offsets[at] + first : offsets[at] + stop], np.array([stop - first]))
-                    place, new = place + first, place + first > last  # windows that follow one another share an anchor at most
-                    last = int(place[-1]) if len(place) else last
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[at]] * int(new.sum()), pa.binary()), pa.array(place[new].astype(np.int32)), pa.array(h[new].view(np.int64))], names)
+                    yield rows(keys, np.array([at]), data[offsets[at] + first : offsets[at] + stop], np.array([stop - first]), np.array([-first]))
             else:
-                place, h = anchors(data[offsets[at] : offsets[end]], offsets[at + 1 : end + 1] - offsets[at])
-                doc = np.searchsorted(offsets[at + 1 : end + 1] - offsets[at], place, "right") + at
-                columns = [pa.array(keys, pa.binary()).take(pa.array(doc)), pa.array((place + offsets[at] - offsets[doc]).astype(np.int32)), pa.array(h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                ends = offsets[at + 1 : end + 1] - offsets[at]
+                yield rows(keys, np.arange(at, end), data[offsets[at] : offsets[end]], ends, offsets[at:end] - offsets[at])
             at = end
     trim()
 
@@ -105,8 +109,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = b.column("text")[i].as_buffer()
             own: dict[tuple, list[int]] = {}
             for s in spots:
-                left = min(s["pos"], LENGTH - GRAM)
-                own.setdefault((s["h"], s["hot"], left, text[s["pos"] - left : s["pos"] + LENGTH].to_pybytes()), []).append(s["pos"])
+                context = text[s["pos"] - s["left"] : s["pos"] + s["right"]].to_pybytes()
+                own.setdefault((s["h"], s["hot"], s["left"], context), []).append(s["pos"])
                 if len(own) == 2000:  # of a long text, whose equal contexts then take several rows
                     yield pa.RecordBatch.from_arrays([pa.array([(h, hot, key, p, m, c)[j] for (h, hot, m, c), p in own.items()], t) for j, t in enumerate(kinds)], names)
                     own = {}
@@ -256,15 +260,18 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of all strings through very common anchors."""
-    for b in _parts(batches, 200):
+    """Digests of the strings through very common anchors, each once for its context: ``several`` says whether the text
+    has the context at several places, which are known spans then (rows without a digest)."""
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
+    for b in _parts(batches, 50):
         rows = []
         for key, places, left, context in zip(*[b.column(c).to_pylist() for c in ("key", "places", "left", "context")], strict=True):
-            for i in range(min(left, len(context) - LENGTH) + 1):
-                digest = xxhash.xxh3_128_digest(context[i : i + LENGTH])
-                rows.extend((digest, key, pos - left + i) for pos in places)
-        kinds = (pa.binary(), pa.binary(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["digest", "key", "first"])
+            several, first = len(places) > 1, places[0] - left
+            if several:
+                rows.extend((None, key, p - left, p - left + len(context), True) for p in places)
+            rows.extend((xxhash.xxh3_128_digest(context[i : i + LENGTH]), key, first + i, first + i + LENGTH, several) for i in range(len(context) - LENGTH + 1))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["digest", "key", "first", "end", "several"])
+    trim()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,19 +303,22 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """
     n = partitions(texts.sparkSession)
     long_ = texts.filter(F.octet_length("text") >= LENGTH)
-    rows = cut(long_.mapInArrow(_anchor_rows, "key binary, pos int, h long"))
+    rows = cut(long_.mapInArrow(_anchor_rows, "key binary, pos int, left smallint, right smallint, h long"))
     spot = F.xxhash64("key", "pos")
-    several = rows.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
-    spots = rows.join(several.select("h", (F.col("c") > hot).alias("hot")), "h")
-    by_text = cut(spots.groupBy("key").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("spots")))
+    several = cut(rows.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b").select("h", "c"))
+    # anchors with over a quarter of a partition's share, 4 for each partition at most, are looked up in a broadcast table
+    least = max(MANY, rows.count() // (4 * n) + 1)
+    common = F.broadcast(several.filter(F.col("c") >= least))
+    spots = rows.join(common, "h").unionByName(rows.join(common.select("h"), "h", "left_anti").join(several, "h"))
+    by_text = cut(spots.groupBy("key").agg(F.collect_set(F.struct("pos", "left", "right", "h", (F.col("c") > hot).alias("hot"))).alias("spots")))
     whole = long_.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     contexts = whole.join(by_text, "key").mapInArrow(_contexts, "h long, hot boolean, key binary, places array<int>, left int, context binary")
     if by_text.filter(F.exists("spots", lambda s: s["hot"])).isEmpty():
         spans = contexts.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_resolve, "key binary, first int, end int")
     else:
-        common = contexts.filter("hot").mapInArrow(_digests, "digest binary, key binary, first int")
-        twice = common.groupBy("digest").agg(F.min(F.struct("key", "first")).alias("a"), F.max(F.struct("key", "first")).alias("b")).filter("a <> b").select("digest")
-        hot_spans = common.join(twice, "digest").select("key", "first", (F.col("first") + LENGTH).alias("end"))
+        strings = cut(contexts.filter("hot").mapInArrow(_digests, "digest binary, key binary, first int, end int, several boolean"))
+        twice = strings.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("key", "first")).alias("a"), F.max(F.struct("key", "first")).alias("b"), F.max("several").alias("s")).filter("s OR a <> b").select("digest")
+        hot_spans = strings.join(twice, "digest", "left_semi").unionByName(strings.filter("digest IS NULL")).select("key", "first", "end")
         spans = contexts.filter("not hot").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_resolve, "key binary, first int, end int").unionByName(hot_spans)
     return cut(spans.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("spans")))
 
