@@ -24,7 +24,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: so that the same contraction of longer words (long runs without any break) keeps its pairs in a heap.
 LONGEST = 256
 #: Words kept encoded between tasks by a Python worker, and bytes or tokens handed to one query.
-KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 400_000, 400_000, 500_000
+KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 300_000, 400_000, 500_000
+#: Bytes of text, and ids, that a worker holds as single words at a time; blocks after which it gives memory back.
+TEXT_BYTES, IDS, TRIM = 3_000_000, 1_000_000, 16
 
 # A row is one token of a word. Each step joins neighbouring tokens to the merges and contracts, in every word that
 # still has a merge, the leftmost pair of the least rank; a word without one is done.
@@ -70,7 +72,7 @@ class _Codec:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._load("merges", {"l": left, "r": right, "rank": rank})
         self._load("vocabulary", {"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
         self._forget()
@@ -206,13 +208,13 @@ def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str) -> Iterator[pa.RecordBatch]:
-    for b in _blocks(batches, "text", 6_000_000):
+    for b in _blocks(batches, "text", TEXT_BYTES):
         ids, sizes = _codec(path, pattern).encode(b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, sizes)], ["doc_id", "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str) -> Iterator[pa.RecordBatch]:
-    for b in _blocks(batches, "ids", 2_000_000):
+    for b in _blocks(batches, "ids", IDS):
         lists = b.column("ids")
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         decoded = pa.array(_codec(path, pattern).decode(lists.flatten().to_numpy(zero_copy_only=False), sizes), pa.binary())
@@ -260,8 +262,10 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _digests(_decoded(_encoded(batches, path, pattern), path, pattern)):
+        for i, b in enumerate(_digests(_decoded(_encoded(batches, path, pattern), path, pattern))):
             yield b if with_ids else b.drop_columns("ids")
+            if i % TRIM == TRIM - 1:
+                trim()
         codec = _codec(path, pattern)
         if len(codec.words) > KEPT_WORDS // 2:  # idle workers stay small
             codec._forget()
