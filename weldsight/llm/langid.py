@@ -18,7 +18,8 @@ TRAIN_DOCS, CELLS = 1_500, 1 << 16
 #: Trigrams that a text counts for at most, and the pseudo-counts of hints, domains and hosts.
 EVIDENCE, SMOOTH_HINT, SMOOTH_HOST = 40.0, 2.0, 5.0
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>?", re.S | re.I)
+_OPEN = re.compile(r"<(?:!--|(script|style)\b)?", re.I)
+_CLOSE = {"script": re.compile(r"</script\b[^>]*>?", re.I), "style": re.compile(r"</style\b[^>]*>?", re.I)}
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 _PATH = re.compile(r"^[a-z][a-z0-9+.-]*://[^/?#]*/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:/|$)", re.I)
@@ -33,7 +34,25 @@ def _trigrams(text: str) -> np.ndarray:
 
 
 def _visible(page: str) -> str:
-    return html.unescape(_DROP.sub(" ", page))
+    """The text between tags, in one pass: what opens a comment that nothing ends counts as a tag, and a script or
+    style that nothing ends goes up to the end of the page."""
+    out, at, comments, tags = [], 0, True, True
+    while found := _OPEN.search(page, at):
+        out.append(page[at : found.start()])
+        at = -1
+        if found[0] == "<!--" and comments:
+            at = page.find("-->", found.end() - 2) + 3
+            comments = at > 2  # one search without a result is enough for the page
+            at = at if comments else -1
+        elif found[1]:
+            end = _CLOSE[found[1].lower()].search(page, found.end())
+            at = end.end() if end else len(page)
+        if at < 0:
+            at = page.find(">", found.start()) + 1 if tags else 0
+            tags = at > 0
+            at = at if tags else len(page)
+    out.append(page[at:])
+    return html.unescape(" ".join(out))
 
 
 def _train(languages: list[str]):
