@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -293,3 +294,72 @@ def test_pipeline(spark, docs, tmp_path):
         assert after.columns == docs.columns and after.count() <= now.count()
         now = after
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[:2] == ["doc_id", "n_tokens"]
+
+
+def _classes_by_brute_force(texts: dict[int, str]) -> dict[int, int]:
+    bags = {i: Counter(tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            shared = sum((bags[a] & bags[b]).values())
+            if shared >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - shared):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_near_dedup_of_a_large_group_by_brute_force(spark):
+    r = random.Random(9)
+    base = _words(3, 150).split()
+    texts = {}
+    for i in range(500):  # two to five edits put most pairs close to the threshold, on either side
+        words = list(base)
+        for _ in range(r.randint(2, 5)):
+            words[r.randrange(len(words))] = f"w{r.randrange(40)}"
+        texts[i] = " ".join(words)
+    texts |= {500 + i: _words(100 + i, 60) for i in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs).collect()}
+    assert got == _classes_by_brute_force(texts) and len(set(got.values())) > 21
+
+
+def test_near_dedup_of_a_document_with_two_texts(spark):
+    one, two = _words(1, 60), _words(2, 60)
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two), (4, two + " more"), (5, _words(5, 60)), (None, one)], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.class_id) for x in near_dedup.near_duplicates(docs).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+
+
+def test_large_groups_are_sharded(spark):
+    docs = spark.createDataFrame([(i, "one text" if i < 1000 else f"text {i // 2}") for i in range(3000)], "doc_id long, text string")
+    rows = sharding.shard(docs)
+    assert sorted({n for _, n in Counter(x.shard for x in rows.collect()).items()}) in ([187, 188], [187], [188])
+    assert sharding.cut_share(rows.withColumnRenamed("text_crc32", "hub").filter("doc_id >= 1000")) < 0.2
+
+
+def test_anchors_of_long_texts_in_windows():
+    text = (_words(8, 4000) + " " + _words(9, 4000)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([text.decode(), "short"])], ["text"])
+    starts = []
+    for window in (1 << 20, 3000):
+        rows = pa.Table.from_batches(list(substring_dedup._anchor_rows(iter([batch]), window))).to_pylist()
+        starts.append({(x["pos"], x["h"], s) for x in rows for s in range(x["pos"] - x["left"], x["pos"] + x["right"] - 399)})
+    assert starts[0] == starts[1] and len(starts[0]) == len(text) - 399
+
+
+def test_open_comments_are_read_once():
+    assert langid._visible("<!--x>" * 100_000).strip() == ""
+    assert langid._visible("a<!-- x > y -->b<script>c</script >d<!--e>f<style>g").split() == ["a", "b", "d", "f"]
+
+
+def test_columns_may_be_named_as_the_pipeline_names_its_own(spark):
+    docs = spark.createDataFrame([(1, "A b", 1, 1, 1, 1), (2, "a B", 2, 2, 2, 2)], "doc_id long, text string, keep int, digest int, sha int, other int")
+    kept = exact_dedup.without_copies(docs)
+    assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [(2, "a B", 2, 2, 2, 2)]
