@@ -10,8 +10,12 @@ from weldsight.operators.shape import by_gun, past
 
 
 def alarms(scored: DataFrame, thresholds: DataFrame, profile: Profile) -> DataFrame:
-    """alarm, and held where the gate (the share without welding) holds an alarm back."""
-    joined = scored.join(F.broadcast(thresholds.select("gun", "threshold")), "gun")  # one row for each gun
+    """alarm, and held where the gate (the share without welding) holds an alarm back.
+
+    Windows of the warm-up are judged by the threshold over all machines, later ones by their gun's own.
+    """
+    joined = scored.join(thresholds.select("gun", F.col("threshold").alias("_own"), "overall"), "gun")
+    joined = joined.withColumn("threshold", F.when(F.col("warmup") == 1, F.col("overall")).otherwise(F.col("_own"))).drop("_own", "overall")
     over = F.col("score") > F.col("threshold")
     gated = F.col("non_welding") > profile.gate
     return joined.withColumn("alarm", (over & ~gated).cast("int")).withColumn("held", (over & gated).cast("int"))
@@ -86,3 +90,10 @@ def severity(alarmed: DataFrame, fired: DataFrame, profile: Profile) -> DataFram
     rule = F.coalesce("fired", F.lit(0)) == 1
     level = F.when((F.col("sustained") == 1) | (rule & (F.col("repeat") == 0)), "critical").when((F.col("alarm") == 1) | rule, "warning").otherwise("normal")
     return joined.withColumn("severity", level).withColumn("fired", F.coalesce("fired", F.lit(0))).withColumn("repeat", F.coalesce("repeat", F.lit(0)))
+
+
+def rising(severities: DataFrame) -> DataFrame:
+    """Windows that hand a document on: the first of a critical stretch, and every trigger that is no repeat."""
+    before = F.lag("severity").over(by_gun("win"))
+    new = (F.col("severity") == "critical") & (F.coalesce(F.col("_before"), F.lit("normal")) != "critical")
+    return severities.withColumn("_before", before).filter(new | ((F.col("fired") == 1) & (F.col("repeat") == 0))).drop("_before")

@@ -28,7 +28,11 @@ def ewma(df: DataFrame, key: str, order: str, column: str, half_life: float) ->
 
 
 def cusum(df: DataFrame, key: str, order: str, column: str, k: float = 0.5) -> DataFrame:
-    return _fold(df, key, order, column, lambda v, x: F.greatest(F.lit(0.0), F.coalesce(v, F.lit(0.0)) + x - k), "cusum")
+    """Sums of what exceeds ``k``, never below 0: the running total less its least value so far."""
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    total = df.withColumn("_total", F.sum(F.col(column).cast("double") - k).over(so_far))
+    least = F.least(F.lit(0.0), F.min("_total").over(so_far))
+    return total.select(key, order, (F.col("_total") - least).alias("cusum"))
 
 
 def exp_smooth(df: DataFrame, key: str, order: str, column: str, weight: float = 0.8) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weldsight.config import Profile
 
 SCALED_COLUMNS = ("value", "k")
+SCORED_COLUMNS = ("value_mean", "k_mean", "value_std", "k_std")
 
 
 def normal(rows: DataFrame) -> DataFrame:
@@ -28,27 +29,43 @@ def zscore(rows: DataFrame, scaler: DataFrame, columns: tuple[str, ...] = SCALED
     return joined.select(*[((F.col(c) - F.col(f"{c}_mu")) / F.col(f"{c}_sd")).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def warmup_stats(windows: DataFrame, profile: Profile, columns: tuple[str, ...] = ("value_mean", "k_mean")) -> DataFrame:
-    """Per gun over its warm-up's normal welding windows: mean, deviation of the population with a floor, count."""
-    first = F.min("win").over(Window.partitionBy("gun"))
-    own = windows.withColumn("_first", first).filter((F.col("win") - F.col("_first")) * profile.window_slots * profile.slot_s < profile.warmup_s)
+def warmup_stats(rows: DataFrame, profile: Profile, columns: tuple[str, ...] = SCALED_COLUMNS) -> DataFrame:
+    """Per gun: mean, deviation of the population with a floor, and count of its warm-up's normal welding readings.
+
+    warm_end is the first slot after the warm-up. own tells whether the readings suffice to scale the gun by itself;
+    a gun without enough of them (or none) keeps the scaling over all machines.
+    """
+    length = profile.warmup_s // profile.slot_s
+    warm = rows.withColumn("_first", F.min("slot").over(Window.partitionBy("gun"))).filter(F.col("slot") < F.col("_first") + length)
+    ok = (F.col("error_active") == 0) & ~F.coalesce(F.col("nw").cast("boolean"), F.lit(False))
     stats = []
     for c in columns:
-        stats += [F.avg(c).alias(f"{c}_gm"), F.greatest(F.stddev_pop(c), F.lit(profile.std_floor)).alias(f"{c}_gs")]
-    return own.filter("error_active = 0 AND non_welding < 0.5").groupBy("gun").agg(*stats, F.count(F.lit(1)).alias("warm_n"))
+        used = F.when(ok, F.col(c))
+        stats += [F.avg(used).alias(f"{c}_gm"), F.greatest(F.stddev_pop(used), F.lit(profile.std_floor)).alias(f"{c}_gs")]
+    out = warm.groupBy("gun").agg(*stats, F.sum(ok.cast("long")).alias("warm_n"), (F.min("_first") + length).alias("warm_end"))
+    return out.withColumn("own", F.col("warm_n") >= profile.warmup_rows)
+
+
+def recentre(rows: DataFrame, stats: DataFrame, mode: str = "center", warm: bool = False, columns: tuple[str, ...] = SCALED_COLUMNS) -> DataFrame:
+    """Readings after the warm-up less their gun's mean (over its deviation if mode is scale), those of the warm-up as
+    they are. With ``warm`` only the warm-up's readings of guns that have statistics of their own, scaled as well."""
+    joined = rows.join(stats, "gun")  # every gun has a row
+    inside = F.col("slot") < F.col("warm_end")
+    if warm:
+        joined, use = joined.filter(inside & F.col("own")), F.lit(True)
+    else:
+        use = ~inside & F.col("own")
+    changed = {c: F.when(use, (F.col(c) - F.col(f"{c}_gm")) / (F.col(f"{c}_gs") if mode == "scale" else F.lit(1.0))).otherwise(F.col(c)) for c in columns}
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns])
 
 
-def center(windows: DataFrame, stats: DataFrame, profile: Profile, mode: str = "center", columns: tuple[str, ...] = ("value_mean", "k_mean")) -> DataFrame:
-    """Windows after the warm-up less their gun's mean (over its deviation if mode is scale); before it, and for guns
-    with too few windows, as they are. warmup marks the windows of the warm-up."""
-    first = F.min("win").over(Window.partitionBy("gun"))
-    joined = windows.join(stats, "gun", "left").withColumn("warmup", ((F.col("win") - first) * profile.window_slots * profile.slot_s < profile.warmup_s).cast("int"))
-    use = (F.coalesce("warm_n", F.lit(0)) >= profile.warmup_windows) & (F.col("warmup") == 0)
-    changed = {c: F.when(use, (F.col(c) - F.col(f"{c}_gm")) / (F.col(f"{c}_gs") if mode == "scale" else F.lit(1.0))).otherwise(F.col(c)) for c in columns}
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in [*windows.columns, "warmup"]])
+def mark_warmup(windows: DataFrame, stats: DataFrame, profile: Profile) -> DataFrame:
+    """warmup is 1 for windows that start in their gun's warm-up."""
+    joined = windows.join(stats.select("gun", "warm_end"), "gun")
+    return joined.withColumn("warmup", (F.col("win") * profile.window_slots < F.col("warm_end")).cast("int")).drop("warm_end")
 
 
-def distance_score(windows: DataFrame, columns: tuple[str, ...] = ("value_mean", "k_mean")) -> DataFrame:
+def distance_score(windows: DataFrame, columns: tuple[str, ...] = SCORED_COLUMNS) -> DataFrame:
     """A score in (0, 1) that grows with the distance from normal; nine places, so that ties are ties."""
     far = sum((F.abs(F.col(c)) for c in columns), F.lit(0.0)) / len(columns)
     return windows.withColumn("score", F.round(1 - F.exp(-far), 9))
@@ -58,11 +75,16 @@ def global_threshold(scored: DataFrame, q: float) -> DataFrame:
     return normal(scored).agg(F.percentile("score", F.lit(q)).alias("threshold"))
 
 
-def gun_threshold(scored: DataFrame, overall: DataFrame, profile: Profile) -> DataFrame:
-    """Per gun the larger of the overall threshold and its warm-up's quantile, if that has enough windows."""
-    own = scored.filter("warmup = 1 AND error_active = 0").groupBy("gun").agg(F.percentile("score", F.lit(profile.quantile)).alias("q"), F.count(F.lit(1)).alias("windows"))
-    guns = scored.select("gun").distinct().join(own, "gun", "left").join(F.broadcast(overall))
-    return guns.select("gun", F.when(F.col("windows") >= profile.warmup_windows, F.greatest("threshold", "q")).otherwise(F.col("threshold")).alias("threshold"), F.coalesce("windows", F.lit(0)).alias("windows"))
+def gun_threshold(scored: DataFrame, calibration: DataFrame, overall: DataFrame, profile: Profile) -> DataFrame:
+    """Per gun the larger of the overall threshold and the quantile of its scored calibration windows, if there are
+    enough of those; overall stays beside it for the warm-up.
+
+    ``calibration`` holds all windows of the warm-up, errors too, scaled by the gun's own statistics.
+    """
+    own = calibration.groupBy("gun").agg(F.percentile("score", F.lit(profile.quantile)).alias("q"), F.count(F.lit(1)).alias("windows"))
+    guns = scored.select("gun").distinct().join(own, "gun", "left").join(F.broadcast(overall.toDF("overall")))  # one row
+    own_or_all = F.when(F.col("windows") >= profile.warmup_windows, F.greatest("overall", "q")).otherwise(F.col("overall"))
+    return guns.select("gun", own_or_all.alias("threshold"), "overall", F.coalesce("windows", F.lit(0)).alias("windows"))
 
 
 def feature_reference(windows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

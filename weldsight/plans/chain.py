@@ -8,10 +8,10 @@ from weldsight.config import SCALED, Profile
 from weldsight.operators import alarms, features, normalise, shape, windows
 from weldsight.sources.events import sensor_view
 
-ATTRIBUTED = ["value_mean", "k_mean", "value_std", "k_std"]
+ATTRIBUTED = list(normalise.SCORED_COLUMNS)
 
 
-#: Feature windows that several queries of a session read: few rows, kept by session and folder.
+#: Windows, statistics and thresholds that several queries of a session read: few rows, kept for the folder read last.
 _KEPT: dict[tuple, DataFrame] = {}
 
 
@@ -30,28 +30,38 @@ class Chain:
     def rows(self) -> DataFrame:
         return features.featured(shape.shaped(self.sensor, self.p), self.p)
 
+    def scaled(self) -> DataFrame:
+        """Readings scaled over all machines."""
+        rows = self.rows()
+        return normalise.zscore(rows, normalise.scaler_fit(rows))
+
+    def gun_stats(self) -> DataFrame:
+        return self._kept("gun_stats", lambda: normalise.warmup_stats(self.scaled(), self.p))
+
+    def _windowed(self, rows: DataFrame) -> DataFrame:
+        return windows.filled_windows(windows.window_stats(rows, self.p), self.p)
+
     def windows(self) -> DataFrame:
-        def build() -> DataFrame:
-            rows = self.rows()
-            scaled = normalise.zscore(rows, normalise.scaler_fit(rows))
-            return windows.filled_windows(windows.window_stats(scaled, self.p), self.p)
+        return self._kept("windows", lambda: self._windowed(self.scaled()))
 
-        return self._kept("windows", build)
+    def recentred(self, mode: str = "center", warm: bool = False) -> DataFrame:
+        return normalise.mark_warmup(self._windowed(normalise.recentre(self.scaled(), self.gun_stats(), mode, warm)), self.gun_stats(), self.p)
 
     def scored(self) -> DataFrame:
-        def build() -> DataFrame:
-            w = self.windows()
-            return normalise.distance_score(normalise.center(w, normalise.warmup_stats(w, self.p), self.p))
+        return self._kept("scored", lambda: normalise.distance_score(self.recentred()))
 
-        return self._kept("scored", build)
+    def calibration(self) -> DataFrame:
+        return normalise.distance_score(self.recentred(warm=True))
 
     def _kept(self, name: str, build) -> DataFrame:
+        for old in [k for k in _KEPT if k[1:] != self.key]:  # one folder at a time
+            _KEPT.pop(old).unpersist()
         if (name, *self.key) not in _KEPT:
             _KEPT[name, *self.key] = build().persist()
         return _KEPT[name, *self.key]
 
     def thresholds(self, scored: DataFrame) -> DataFrame:
-        return normalise.gun_threshold(scored, normalise.global_threshold(scored, self.p.quantile), self.p)
+        return self._kept("thresholds", lambda: normalise.gun_threshold(scored, self.calibration(), normalise.global_threshold(scored, self.p.quantile), self.p))
 
     def alarmed(self) -> DataFrame:
         s = self.scored()

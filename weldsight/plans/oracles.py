@@ -4,6 +4,11 @@ from __future__ import annotations
 
 _PI2 = "(2 * 3.141592653589793 / 24)"
 
+_WINDOWS = """SELECT gun, class, segment, slot // 6 AS win, avg(value) AS value_mean, avg(k) AS k_mean, avg(error_share) AS error_share_mean, coalesce(stddev_samp(value), 0) AS value_std, coalesce(stddev_samp(k), 0) AS k_std,
+  coalesce(stddev_samp(error_share), 0) AS error_share_std, max(error_active) AS error_active, max(terminal_code) AS terminal_code, max(terminal_any) AS terminal_any, max(terminal_idx) AS terminal_idx, max(label) AS label,
+  avg(CASE WHEN nw THEN 1.0 ELSE 0 END) AS non_welding, min(ttf_s) AS ttf_s, count(*) AS n FROM {} GROUP BY ALL"""
+_SCORE = "round(1 - exp(-(abs(value_mean) + abs(k_mean) + abs(value_std) + abs(k_std)) / 4), 9)"
+
 STAGES = {
     "sensor": """SELECT CAST(user_id % 8 AS INT) AS gun, 'E0' || (user_id % 4 + 1) AS class, event_id, epoch_us(ts) AS us, value,
   CAST(json_extract_string(props, '$.k') AS INT) AS k,
@@ -34,19 +39,23 @@ STAGES = {
     "feats": f"SELECT *, sin((slot * 600 // 60 % 1440) / 60.0::DOUBLE * {_PI2}) AS hour_sin, cos((slot * 600 // 60 % 1440) / 60.0::DOUBLE * {_PI2}) AS hour_cos, CAST((slot * 600 // 86400 + 3) % 7 AS INT) AS dow FROM stated",
     "scaler": "SELECT avg(value) AS value_mu, stddev_samp(value) AS value_sd, avg(k) AS k_mu, stddev_samp(k) AS k_sd FROM feats WHERE label = 0 AND error_active = 0",
     "scaled": "SELECT feats.* REPLACE ((value - value_mu) / value_sd AS value, (k - k_mu) / k_sd AS k) FROM feats, scaler",
-    "win_all": """SELECT gun, class, segment, slot // 6 AS win, avg(value) AS value_mean, avg(k) AS k_mean, avg(error_share) AS error_share_mean, coalesce(stddev_samp(value), 0) AS value_std, coalesce(stddev_samp(k), 0) AS k_std,
-  coalesce(stddev_samp(error_share), 0) AS error_share_std, max(error_active) AS error_active, max(terminal_code) AS terminal_code, max(terminal_any) AS terminal_any, max(terminal_idx) AS terminal_idx, max(label) AS label,
-  avg(CASE WHEN nw THEN 1.0 ELSE 0 END) AS non_welding, min(ttf_s) AS ttf_s, count(*) AS n FROM scaled GROUP BY ALL""",
-    "wins": "SELECT *, CASE WHEN (win - min(win) OVER (PARTITION BY gun)) * 3600 < 432000 THEN 1 ELSE 0 END AS warmup FROM win_all WHERE n >= 3",
-    "warm": """SELECT gun, avg(value_mean) AS value_gm, greatest(stddev_pop(value_mean), 0.25) AS value_gs, avg(k_mean) AS k_gm, greatest(stddev_pop(k_mean), 0.25) AS k_gs, count(*) AS warm_n
-  FROM wins WHERE warmup = 1 AND error_active = 0 AND non_welding < 0.5 GROUP BY gun""",
-    "centred": """SELECT w.* REPLACE (CASE WHEN coalesce(warm_n, 0) >= 10 AND warmup = 0 THEN value_mean - value_gm ELSE value_mean END AS value_mean, CASE WHEN coalesce(warm_n, 0) >= 10 AND warmup = 0 THEN k_mean - k_gm ELSE k_mean END AS k_mean)
-  FROM wins w LEFT JOIN warm USING (gun)""",
-    "scored": "SELECT *, round(1 - exp(-(abs(value_mean) + abs(k_mean)) / 2), 9) AS score FROM centred",
+    "win_all": _WINDOWS.format("scaled"),
+    "wins": "SELECT * FROM win_all WHERE n >= 3",
+    # the warm-up is 432,000 s = 720 slots from a gun's first; 50 normal welding readings make its own statistics
+    "ends": "SELECT gun, min(slot) + 720 AS warm_end FROM scaled GROUP BY gun",
+    "warm": """SELECT e.gun, any_value(warm_end) AS warm_end, avg(value) AS value_gm, greatest(stddev_pop(value), 0.25) AS value_gs, avg(k) AS k_gm, greatest(stddev_pop(k), 0.25) AS k_gs, count(s.gun) AS warm_n
+  FROM ends e LEFT JOIN scaled s ON s.gun = e.gun AND slot < warm_end AND NOT nw AND error_active = 0 GROUP BY e.gun""",
+    "recentred": """SELECT s.* REPLACE (CASE WHEN slot >= warm_end AND warm_n >= 50 THEN value - value_gm ELSE value END AS value, CASE WHEN slot >= warm_end AND warm_n >= 50 THEN k - k_gm ELSE k END AS k)
+  FROM scaled s JOIN warm USING (gun)""",
+    "centred": f"SELECT w.*, CASE WHEN win * 6 < warm_end THEN 1 ELSE 0 END AS warmup FROM ({_WINDOWS.format('recentred')}) w JOIN ends USING (gun) WHERE n >= 3",
+    "rescaled": f"""SELECT * FROM ({_WINDOWS.format("(SELECT s.* REPLACE (CASE WHEN slot >= warm_end AND warm_n >= 50 THEN (value - value_gm) / value_gs ELSE value END AS value) FROM scaled s JOIN warm USING (gun))")}) WHERE n >= 3""",
+    "scored": f"SELECT *, {_SCORE} AS score FROM centred",
     "thr": "SELECT quantile_cont(score, 0.9) AS threshold FROM scored WHERE label = 0 AND error_active = 0",
-    "gun_q": "SELECT gun, quantile_cont(score, 0.9) AS q, count(*) AS windows FROM scored WHERE warmup = 1 AND error_active = 0 GROUP BY gun",
-    "gun_thr": "SELECT gun, CASE WHEN windows >= 10 THEN greatest(threshold, q) ELSE threshold END AS threshold, coalesce(windows, 0) AS windows FROM (SELECT DISTINCT gun FROM scored) LEFT JOIN gun_q USING (gun), thr",
-    "alarmed": "SELECT s.*, threshold, CASE WHEN score > threshold AND NOT non_welding > 0.5 THEN 1 ELSE 0 END AS alarm, CASE WHEN score > threshold AND non_welding > 0.5 THEN 1 ELSE 0 END AS held FROM scored s JOIN gun_thr USING (gun)",
+    "calibration": f"""SELECT gun, {_SCORE} AS score FROM ({_WINDOWS.format("(SELECT s.* REPLACE (value - value_gm AS value, k - k_gm AS k) FROM scaled s JOIN warm USING (gun) WHERE slot < warm_end AND warm_n >= 50)")}) WHERE n >= 3""",
+    "gun_q": "SELECT gun, quantile_cont(score, 0.9) AS q, count(*) AS windows FROM calibration GROUP BY gun",
+    "gun_thr": "SELECT gun, CASE WHEN windows >= 10 THEN greatest(threshold, q) ELSE threshold END AS threshold, threshold AS overall, coalesce(windows, 0) AS windows FROM (SELECT DISTINCT gun FROM scored) LEFT JOIN gun_q USING (gun), thr",
+    "judged": "SELECT s.*, CASE WHEN warmup = 1 THEN overall ELSE threshold END AS threshold FROM scored s JOIN gun_thr USING (gun)",
+    "alarmed": "SELECT *, CASE WHEN score > threshold AND NOT non_welding > 0.5 THEN 1 ELSE 0 END AS alarm, CASE WHEN score > threshold AND non_welding > 0.5 THEN 1 ELSE 0 END AS held FROM judged",
     "runs": """SELECT gun, min(win) AS first_win, max(win) AS last_win, count(*) AS windows, max(ttf_s) AS start_ttf, min(ttf_s) AS end_ttf, max(score) AS top_score
   FROM (SELECT *, win - row_number() OVER (PARTITION BY gun ORDER BY win) AS run FROM alarmed WHERE alarm = 1) GROUP BY gun, run HAVING count(*) >= 2""",
     "onsets": "SELECT * FROM (SELECT *, coalesce(lag(terminal_any) OVER (PARTITION BY gun ORDER BY win), 0) AS before FROM wins) WHERE terminal_any = 1 AND before = 0",
@@ -58,6 +67,7 @@ STAGES = {
     "severe": """SELECT l.*, CASE WHEN alarm_windows >= 2 THEN 1 ELSE 0 END AS sustained, CASE WHEN f.win IS NULL THEN 0 ELSE 1 END AS fired, coalesce(f.repeat, 0) AS repeat,
   CASE WHEN alarm_windows >= 2 OR (f.win IS NOT NULL AND f.repeat = 0) THEN 'critical' WHEN alarm = 1 OR f.win IS NOT NULL THEN 'warning' ELSE 'normal' END AS severity
   FROM lasting l LEFT JOIN fired f ON l.gun = f.gun AND l.win = f.win""",
+    "handed": "SELECT * EXCLUDE (earlier) FROM (SELECT *, lag(severity, 1, 'normal') OVER (PARTITION BY gun ORDER BY win) AS earlier FROM severe) WHERE (severity = 'critical' AND earlier <> 'critical') OR (fired = 1 AND repeat = 0)",
     "epis": """SELECT gun, class, code, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS slots, min(ttf_s) AS end_ttf FROM
   (SELECT *, sum(c) OVER (PARTITION BY gun ORDER BY slot ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT *, CASE WHEN code = lag(code) OVER (PARTITION BY gun ORDER BY slot) THEN 0 ELSE 1 END AS c FROM shaped))
   WHERE code <> '0' GROUP BY gun, class, code, e""",

@@ -66,13 +66,18 @@ add("zscore", "gun slot", "value k", lambda c: normalise.zscore(c.rows(), normal
 add("window_stats", _W, "value_mean k_mean error_share_mean value_std k_std error_share_std", lambda c: c.windows(), "SELECT * FROM wins")
 add("window_flags", f"{_W} error_active terminal_code terminal_any terminal_idx label ttf_s n", "non_welding", lambda c: c.windows(), "SELECT * FROM wins")
 add("underfilled_filter", "kept dropped", "", lambda c: windows.window_stats(c.rows(), P).agg(F.sum((F.col("n") >= P.min_samples).cast("int")).alias("kept"), F.sum((F.col("n") < P.min_samples).cast("int")).alias("dropped")), "SELECT CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN n < 3 THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM win_all")
-add("gun_warmup_stats", "gun warm_n", "value_gm value_gs k_gm k_gs", lambda c: normalise.warmup_stats(c.windows(), P).toDF("gun", "value_gm", "value_gs", "k_gm", "k_gs", "warm_n"), "SELECT * FROM warm")
+add("gun_warmup_stats", "gun warm_n", "value_gm value_gs k_gm k_gs", lambda c: c.gun_stats(), "SELECT * FROM warm")
 add("gun_center", "gun win warmup", "value_mean k_mean score", lambda c: c.scored(), "SELECT * FROM scored")
-add("gun_scale", "gun win", "value_mean", lambda c: normalise.center(c.windows(), normalise.warmup_stats(c.windows(), P), P, "scale"), "SELECT gun, win, CASE WHEN coalesce(warm_n, 0) >= 10 AND warmup = 0 THEN (value_mean - value_gm) / value_gs ELSE value_mean END AS value_mean FROM wins LEFT JOIN warm USING (gun)")
+add("gun_scale", "gun win", "value_mean value_std", lambda c: c.recentred("scale"), "SELECT gun, win, value_mean, value_std FROM rescaled")
 add("global_threshold", "", "threshold", lambda c: normalise.global_threshold(c.scored(), P.quantile), "SELECT * FROM thr")
-add("gun_threshold", "gun windows", "threshold", lambda c: c.thresholds(c.scored()), "SELECT * FROM gun_thr")
+add("gun_threshold", "gun windows", "threshold overall", lambda c: c.thresholds(c.scored()), "SELECT * FROM gun_thr")
 add("feature_reference", "", " ".join(ATTRIBUTED), lambda c: normalise.feature_reference(c.scored(), ATTRIBUTED), "SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in ATTRIBUTED) + " FROM scored WHERE label = 0 AND error_active = 0")
-add("score_z", "gun win", "score_z", lambda c: c.scored().join(F.broadcast(normalise.normal(c.scored()).agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")))).withColumn("score_z", (F.col("score") - F.col("m")) / F.col("s")), "SELECT gun, win, (score - m) / s AS score_z FROM scored, (SELECT avg(score) AS m, stddev_pop(score) AS s FROM scored WHERE label = 0 AND error_active = 0)")
+def _standardised(c: Chain) -> DataFrame:
+    s = c.scored()
+    return s.join(F.broadcast(normalise.normal(s).agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")))).withColumn("score_z", (F.col("score") - F.col("m")) / F.col("s"))  # one row
+
+
+add("score_z", "gun win", "score_z", _standardised, "SELECT gun, win, (score - m) / s AS score_z FROM scored, (SELECT avg(score) AS m, stddev_pop(score) AS s FROM scored WHERE label = 0 AND error_active = 0)")
 
 # alarms and rules
 _RUN = "gun first_win last_win windows start_ttf end_ttf"
@@ -171,7 +176,7 @@ add("symptom_match", "gun win symptom match", "", lambda c: handoff.symptom_matc
 
 
 def _events(c: Chain) -> DataFrame:
-    s = c.severities().filter("severity = 'critical'")
+    s = alarms.rising(c.severities())
     codes = F.array(*[F.lit(x) for x in TERMINAL_CODES])
     latest = F.when(F.col("terminal_idx") > 0, F.element_at(codes, F.greatest(F.col("terminal_idx"), F.lit(1))))
     return s.select("gun", "win", "fired", "repeat", F.when(F.col("fired") == 1, latest).alias("rule_code"), latest.alias("latest_code"))
@@ -182,7 +187,7 @@ def _documents(c: Chain) -> DataFrame:
     return handoff.documents(_events(c), found, handoff.symptom_match(found, ["gun", "win"]))
 
 
-_EVENTS = "SELECT gun, win, fired, repeat, CASE terminal_idx WHEN 1 THEN 'E01' WHEN 2 THEN 'E02' WHEN 3 THEN 'E03' WHEN 4 THEN 'E04' END AS cls FROM severe WHERE severity = 'critical'"
+_EVENTS = "SELECT gun, win, fired, repeat, CASE terminal_idx WHEN 1 THEN 'E01' WHEN 2 THEN 'E02' WHEN 3 THEN 'E03' WHEN 4 THEN 'E04' END AS cls FROM handed"
 _DOCS = f"""SELECT gun, win, md5(gun || '|' || win || '|' || CASE WHEN fired = 1 THEN 'rule' ELSE 'model' END) AS event_id, cls AS fault,
   CASE WHEN fired = 1 AND repeat = 0 AND cls IS NOT NULL THEN 'rule_trigger' WHEN cls IS NOT NULL THEN 'latest_error_code' END AS basis,
   coalesce(ids, CASE WHEN fired = 1 THEN 'P9' ELSE '' END) AS symptoms,
@@ -194,7 +199,7 @@ add("handoff_doc", "gun win event_id fault basis symptoms situations confidence"
 add("outbox_latest", "gun win event_id fault", "", lambda c: handoff.outbox(_documents(c), 20), f"SELECT * FROM ({_DOCS}) ORDER BY win DESC, gun LIMIT 20")
 
 # experiments
-_SERIES = "SELECT *, row_number() OVER (PARTITION BY gun ORDER BY win) AS i FROM scored"
+_SERIES = "SELECT *, (score - m) / s AS z, row_number() OVER (PARTITION BY gun ORDER BY win) AS i FROM scored, (SELECT avg(score) AS m, stddev_pop(score) AS s FROM scored WHERE label = 0 AND error_active = 0)"
 
 
 def _fold_sql(first: str, step: str, name: str) -> str:
@@ -204,7 +209,7 @@ def _fold_sql(first: str, step: str, name: str) -> str:
 _A = 1 - 0.5 ** (1 / 5)
 for _name, _build, _first, _step in (
     ("ewma", lambda c: experiments.ewma(c.scored(), "gun", "win", "score", 5), "CAST(score AS DOUBLE)", f"f.v * {1 - _A!r} + s.score * {_A!r}"),
-    ("cusum", lambda c: experiments.cusum(c.scored(), "gun", "win", "score"), "greatest(0.0::DOUBLE, score - 0.5::DOUBLE)", "greatest(0.0::DOUBLE, f.v + s.score - 0.5::DOUBLE)"),
+    ("cusum", lambda c: experiments.cusum(_standardised(c), "gun", "win", "score_z"), "greatest(0.0::DOUBLE, z - 0.5::DOUBLE)", "greatest(0.0::DOUBLE, f.v + s.z - 0.5::DOUBLE)"),
 ):
     add(_name, "gun win", _name, _build, "SELECT 1")
     ORACLES[_name] = _fold_sql(_first, _step, _name)
