@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from weldsight.config import Profile
-from weldsight.operators import alarms, experiments, normalise, windows
+from weldsight.operators import alarms, experiments, handoff, normalise, windows
 
 P = Profile(window_slots=6, warmup_s=120, warmup_rows=60, warmup_windows=10, quantile=0.9)
 COLUMNS = "gun class segment slot value k error_share error_active terminal_code terminal_any terminal_idx label nw ttf_s".split()
@@ -103,3 +103,11 @@ def test_cusum_never_falls_below_zero(spark):
     rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(xs)], "gun int, win long, z double")
     got = [r.cusum for r in experiments.cusum(rows, "gun", "win", "z").orderBy("win").collect()]
     assert got == pytest.approx(want)
+
+
+def test_drift_needs_a_window_without_welds(spark):
+    found = spark.createDataFrame([(0, w, 1, "c3", "unstable", 3.0, 0.5) for w in range(4)] + [(0, 0, 2, "c6", "high", 3.0, 0.4)], "gun int, win long, rank int, sensor string, direction string, deviation double, share double")
+    welds = spark.createDataFrame([(0, 0, 4), (0, 1, 0), (0, 2, None)], "gun int, win long, welds_in_window int")
+    key = ["gun", "win"]
+    assert sorted((r.win, r.symptom, r.match) for r in handoff.symptom_match(found, key, welds).collect()) == [(0, "P3", "partial"), (1, "P4", "full")]
+    assert [(r.win, r.symptom) for r in handoff.symptom_match(found, key).collect()] == [(0, "P3")]

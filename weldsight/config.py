@@ -20,6 +20,8 @@ SYMPTOMS = (
     ("P7", tuple(f"c{i}:{d}" for i in range(13, 19) for d in ("high", "low", "unstable")), (), (), ("S10",)),
     ("P8", ("error_share_10min:high",), (), (), ("S10",)),
 )
+#: Symptoms that need a window without welds.
+STANDSTILL = ("P4",)
 
 
 @dataclass(frozen=True)
