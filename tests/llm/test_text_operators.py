@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -200,9 +201,37 @@ def test_main_text(spark):
     got = {r.page_id: r for r in html_content.extract(pages).collect()}
     assert got[1].text == "A fine day & night\nFirst paragraph of the story, with bold words and more text.\nSecond one. Line two, still here."
     assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == got[4].text == ""
+    assert got[5].text == rows[4][2] and got[6].text == "deep"
     assert html_content.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_of_unnamed_pages_and_odd_end_tags(spark):
+    first, second = "First paragraph of the story, with many words and more text, as stories have.", "Second paragraph of it, a little longer, so that it reads like one."
+    story = f"<h1>A fine day</h1><p>{first}</p><p>{second}</p>"
+    links = "<div class=k1><a href=/>Home</a> <a href=/b>News</a></div>"
+    rows = [(1, f"<body><div class=b9>{story}</div>"), (2, f"<body>{links}<div class=k7>{story}</div>{links}"), (3, f"<body><div>{story}</div>")]
+    odd = ("<style>x</style foo>", "<script>a</scripts>leak</SCRIPT >", "<script>a</script\n>")
+    rows += [(10 + i, f"<p>{cafe} one, with a few words.</p>{odd[i % 3]}<p>{second}</p>") for i, cafe in enumerate(["Cafe"] * 3 + ["Café"] * 3)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_content.extract(pages).collect()}
+    assert all(got[i] == f"A fine day\n{first}\n{second}" for i in (1, 2, 3))
+    assert all(got[i] == f"{h[3:7]} one, with a few words.\n{second}" for i, h in rows[3:])
+
+
+def test_main_text_of_unseen_generated_pages():
+    weights, edges = html_content.train(html_content.labelled_pages(html_content.TRAIN_PAGES))
+    unseen = html_content.labelled_pages(200, seed=5)
+    want = ["\n".join(text for i, text in t.blocks.items() if t.label[i]) for t in map(html_content.Tree, unseen)]
+    got = html_content.main_texts([p.replace(" data-label", "") for p in unseen], weights, edges)
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 185
+
+
+def test_open_scripts_take_one_pass():
+    began = time.time()
+    html_content.Tree("<p>a</p>" + "<script></script " * 60_000)
+    assert time.time() - began < 20
+
+
 def test_main_text_around_controls_and_formulas(spark):
     story = "<article class=post><h1>A fine day</h1><p>First paragraph of the story, with many words and more text, as stories have.</p><p>Second paragraph of it, a little longer, so that it reads like one.</p></article>"
     want = "A fine day\nFirst paragraph of the story, with many words and more text, as stories have.\nSecond paragraph of it, a little longer, so that it reads like one."

@@ -33,12 +33,13 @@ TAGS = ("text", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "div"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.S)
 _NAME = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none", re.I)
 
 _BY_WORD = {"nav": "nav", "menu": "nav", "navbar": "nav", "navigation": "nav", "breadcrumb": "nav", "breadcrumbs": "nav", "header": "header", "masthead": "header", "topbar": "header", "footer": "footer", "copyright": "footer", "colophon": "footer", "sidebar": "side", "side": "side", "widget": "side", "related": "side", "rail": "side", "popular": "side", "recommended": "side", "ad": "ad", "ads": "ad", "advert": "ad", "advertisement": "ad", "sponsored": "ad", "sponsor": "ad", "promo": "ad", "banner": "ad", "cookie": "notice", "consent": "notice", "notice": "notice", "alert": "notice", "popup": "notice", "modal": "notice", "newsletter": "notice", "subscribe": "notice", "paywall": "notice", "gdpr": "notice", "comment": "comment", "comments": "comment", "reply": "comment", "replies": "comment", "disqus": "comment", "discussion": "comment", "responses": "comment", "share": "share", "social": "share", "tags": "share", "toolbar": "share", "pagination": "share", "content": "content", "article": "content", "post": "content", "entry": "content", "story": "content", "body": "content"}
 _KINDS = tuple(NAMES)
-_FEATURES = [f"tag:{t}" for t in TAGS] + ["tag:other"] + [f"name:{k}" for k in _KINDS] + [f"links:{i}" for i in range(4)] + [f"size:{i}" for i in range(6)] + [f"stops:{i}" for i in range(3)] + ["no name", "hidden"]
+_FEATURES = [f"tag:{t}" for t in TAGS] + ["tag:other"] + [f"name:{k}" for k in _KINDS] + [f"links:{i}" for i in range(4)] + [f"size:{i}" for i in range(6)] + [f"stops:{i}" for i in range(3)] + [f"share:{i}" for i in range(5)] + ["no name", "hidden"]
 _AT = {f: i for i, f in enumerate(_FEATURES)}
 #: Kinds of edges, by the child: a text in its element, a part of a page, a part of an article, or another element.
 _EDGE = {**dict.fromkeys(("nav", "aside", "header", "footer", "form", "fieldset", "dialog", "menu", "search"), 1), **dict.fromkeys(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "tbody", "tr", "td", "th", "figure", "figcaption", "dl", "dt", "dd"), 2), "text": 0}
@@ -97,7 +98,7 @@ class Tree:
                 controls.pop()
             in_link = 0
 
-        at, lower = 0, None
+        at = 0
         while True:
             m = _TOKEN.search(page, at)
             data = page[at : m.start() if m else len(page)]
@@ -114,14 +115,9 @@ class Tree:
             if name in RAW and not closing:
                 if attributes.endswith("/"):
                     continue
-                lower = page.lower() if lower is None and page.isascii() else lower
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if lower is None else None
-                if lower is not None:
-                    i = lower.find(f"</{name}", at)
-                    j = lower.find(">", i) if i >= 0 else -1
-                    at = j + 1 if j >= 0 else len(page)
-                else:
-                    at = end.end() if end else len(page)
+                end = _END[name].search(page, at)
+                close = page.find(">", end.end()) if end else -1
+                at = close + 1 if close >= 0 else len(page)
                 run.append(" ")
                 continue
             if name in VOID:
@@ -144,7 +140,7 @@ class Tree:
                 continue
             flush()
             if name in ("html", "body") and len(stack) == 1:
-                self.kinds[0] |= {"seen"}
+                self.label[0] |= "data-label" in attributes
                 continue
             if controls and name in ENDED_BY[stack[controls[-1]][0]]:
                 pop(controls[-1])
@@ -187,6 +183,8 @@ class Tree:
             share = linked[i] / chars[i] if chars[i] else 0.0
             f.append(_AT[f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3}"])
             f.append(_AT[f"size:{min(5, int(math.log(chars[i] + 1, 4)))}"])
+            part = chars[i] / chars[0] if chars[0] else 0.0
+            f.append(_AT[f"share:{0 if part < 0.05 else 1 if part < 0.3 else 2 if part < 0.6 else 3 if part < 1 else 4}"])
             dense = 100 * stops[i] / chars[i] if chars[i] else 0.0
             f.append(_AT[f"stops:{0 if dense == 0 else 1 if dense < 1.5 else 2}"])
             out.append(f)

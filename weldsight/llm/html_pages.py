@@ -25,6 +25,8 @@ class _Writer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.apart = random.Random(-seed - 1)
+        #: A third of the pages have names that say nothing, or none.
+        self.names = self.apart.choice(["known", "known", "known", "known", "odd", "none"])
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -37,7 +39,9 @@ class _Writer:
 
     def tag(self, name: str, inside: str, kind: str = "", label: bool = False) -> str:
         mark = ""
-        if kind and self.r.random() < 0.9:
+        if kind and self.names == "odd":
+            mark = f' class="{self.r.choice("bcdfghkmpqrxz")}{self.r.randint(0, 99)}"'
+        elif kind and self.names == "known" and self.r.random() < 0.9:
             mark = f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(NAMES[kind])}"'
         return f"<{name}{mark}{' data-label' if label else ''}>{inside}</{name}>"
 
@@ -83,7 +87,7 @@ class _Writer:
                 parts.append(self.tag("table", "".join(self.tag("tr", "".join(self.tag("td", self.words(1, 5), label=True) for _ in range(3)), label=True) for _ in range(3)), label=True))
             if r.random() < 0.05:
                 parts.append(self.tag("pre", self.words(3, 20), label=True))
-            if r.random() < 0.12:
+            if r.random() < 0.12 and self.names == "known":
                 parts.append(r.choice([lambda: self.tag("div", self.words(2, 15), "ad"), lambda: self.tag("div", self.words(3, 20), "notice"), lambda: self.tag("div", self.links(2, 5), "share"), lambda: self.tag("aside", self.words(5, 30), "side")])())
         if r.random() < 0.12:
             line = self.words(1, 4)
@@ -92,6 +96,8 @@ class _Writer:
         inside = "".join(parts)
         if r.random() < 0.3:
             inside = self.tag("div", inside, "content", label=True)
+        if self.bare:
+            return inside
         name = r.choice(["article", "article", "main", "div", "section"])
         return self.tag(name, inside, "content" if name in ("div", "section") or r.random() < 0.3 else "", label=True)
 
@@ -100,33 +106,43 @@ class _Writer:
         each = lambda: self.tag(r.choice(["div", "li", "article"]), self.tag("span", self.words(1, 2)) + self.paragraph(False), "comment")
         return self.tag(r.choice(["section", "div", "ol"]), self.tag("h3", self.words(1, 3)) + "".join(each() for _ in range(r.randint(1, 6))), "comment")
 
-    def page(self) -> str:
+    def plain(self) -> str:
+        """Text without elements around it."""
         r = self.r
+        text = r.choice(["\n\n", " ", "<br>", "<br><br>", "<hr>"]).join(self.words(*r.choice([(6, 20), (20, 60), (30, 120)])) for _ in range(r.choice([1, 1, 2, 4, 8])))
+        return f"<body data-label>{text}" if r.random() < 0.7 else f"<html data-label><head><title>{self.words(2, 9)}</title></head><body>{text}</body></html>"
+
+    def page(self) -> str:
+        r, told = self.r, self.names == "known"
+        if self.apart.random() < 0.06:
+            return self.plain()
+        self.bare = self.apart.random() < 0.1
         before, after = [], []
         if r.random() < 0.9:
             before.append(self.tag("nav", self.links(3, 9)) if r.random() < 0.7 else self.tag("div", self.links(3, 9), "nav"))
         if r.random() < 0.5:
             before.append(self.tag(r.choice(["header", "div"]), self.words(1, 8) + (self.links(2, 5) if r.random() < 0.5 else ""), "header"))
-        if r.random() < 0.5:
+        if told and r.random() < 0.5:
             before.append(self.tag("div", self.words(2, 30), "ad"))
-        if r.random() < 0.3:
+        if told and r.random() < 0.3:
             before.append(self.tag(r.choice(["div", "section"]), f"<p>{self.words(5, 40)}</p><a href='/ok'>{self.words(1, 2)}</a>", "notice"))
         if r.random() < 0.3:
             before.append(self.tag("aside" if r.random() < 0.5 else "div", self.words(1, 3) + self.links(2, 8), "side"))
-        if r.random() < 0.35:
+        if told and r.random() < 0.35:
             after.append(self.comments())
         if r.random() < 0.3:
             after.append(f"<form action='/s'><label>{self.words(1, 5)}</label><p>{self.words(2, 15)}</p></form>")
         if r.random() < 0.4:
-            after.append(self.tag("aside" if r.random() < 0.5 else "div", self.tag("h3", self.words(1, 3)) + (self.links(2, 8) if r.random() < 0.6 else f"<p>{self.words(5, 40)}</p>"), "side"))
+            after.append(self.tag("aside" if r.random() < 0.5 else "div", self.tag("h3", self.words(1, 3)) + (self.links(2, 8) if not told or r.random() < 0.6 else f"<p>{self.words(5, 40)}</p>"), "side"))
         if r.random() < 0.9:
-            after.append(self.tag("footer", f"&copy; {self.words(2, 25)}") if r.random() < 0.75 else self.tag("div", f"<p>{self.words(2, 25)}</p>", "footer"))
+            after.append(self.tag("footer", f"&copy; {self.words(2, 25)}") if not told or r.random() < 0.75 else self.tag("div", f"<p>{self.words(2, 25)}</p>", "footer"))
         self.control(before, 0.3)
         self.control(after, 0.3)
         body = "".join(before) + self.article() + "".join(after)
+        mark = " data-label" if self.bare else ""
         for _ in range(r.choice([0, 0, 1, 2])):
-            body = f'<div{r.choice(["", " class=wrapper", " id=page", " class=container"])}>{body}</div>'
-        return f"<html><head><title>{self.words(2, 9)}</title></head><body>{body}</body></html>"
+            body = f'<div{r.choice(["", " class=wrapper", " id=page", " class=container"])}{mark}>{body}</div>'
+        return f"<html><head><title>{self.words(2, 9)}</title></head><body{mark}>{body}</body></html>"
 
 
 def labelled_pages(count: int, seed: int = 17) -> list[str]:
