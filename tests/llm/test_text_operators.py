@@ -392,3 +392,21 @@ def test_columns_may_be_named_as_the_pipeline_names_its_own(spark):
     docs = spark.createDataFrame([(1, "A b", 1, 1, 1, 1), (2, "a B", 2, 2, 2, 2)], "doc_id long, text string, keep int, digest int, sha int, other int")
     kept = exact_dedup.without_copies(docs)
     assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [(2, "a B", 2, 2, 2, 2)]
+
+
+def test_exception_phrases_spare_each_of_their_words():
+    lexicon = toxicity.Lexicon({" scum": 2.0, " loser ": 1.5, " pond scum ": 0.0, " sore loser board ": 0.0})
+    automaton = lexicon.automaton()
+    hits = {t: lexicon.features(t, automaton)[4] for t in ("P0nd scum!", "scum pond", "a sore loser board", "sore loser", "pond scum scum", "")}
+    assert hits == {"P0nd scum!": 0.0, "scum pond": 1.0, "a sore loser board": 0.0, "sore loser": 1.0, "pond scum scum": 1.0, "": 0.0}
+    assert toxicity._phrases("old pond scum floats", lexicon, automaton) == {" pond scum ", " scum floats "}
+
+
+def test_phrases_of_clean_documents_are_learned_and_odd_labels_are_defined(spark):
+    rows = [(i, f"you are such a blargh today {i}") if i % 2 else (i, f"the blargh festival opens {i}" if i % 6 == 0 else f"quiet words {i}") for i in range(600)]
+    docs = spark.createDataFrame([*rows, (0, "the blargh festival opens, once more"), (None, "x"), (601, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)] + [(1, 0), (1, 1), (None, 1), (2, None), (9999, 1)], "doc_id long, toxic int")
+    learned = toxicity.learn_toxicity(docs, labels)
+    assert learned.weights[" blargh festival "] == 0.0 and learned.weights[" blargh "] > 0
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, learned).collect()}
+    assert all(got[i] == i % 2 for i in range(1, 600)) and got[601] == 0

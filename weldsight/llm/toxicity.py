@@ -25,8 +25,8 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "pond scum", "sore loser board")
 
-#: Labelled documents that the lexicon and the weights are fitted on, at most; entries of the lexicon, at most.
-TRAIN_DOCS, ENTRIES = 10_000, 6_000
+#: Labelled documents that the lexicon and the weights are fitted on, at most.
+TRAIN_DOCS = 10_000
 STEMS = range(4, 10)
 FEATURES = 6
 
@@ -54,7 +54,10 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Weights by entry: `` stem`` matches words that begin so, `` word `` the word or phrase alone; the longest counts."""
+    """Weights by entry: `` stem`` matches words that begin so, `` word `` the word alone; the longest counts.
+
+    A phrase of several words has no weight and spares every word inside it.
+    """
 
     weights: dict[str, float]
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
@@ -64,18 +67,21 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            found.add_word(entry, (len(entry), weight))
+            found.add_word(entry, (len(entry), weight, " " in entry.strip()))
         found.make_automaton()
         return found
 
     def features(self, text: str, automaton: ahocorasick.Automaton) -> list[float]:
         folded = fold(text)
         at: dict[int, tuple[int, float]] = {}
-        for end, (length, weight) in automaton.iter(folded) if len(automaton) else ():
+        spared: set[int] = set()
+        for end, (length, weight, phrase) in automaton.iter(folded) if len(automaton) else ():
             start = end - length
-            if length > at.get(start, (0, 0.0))[0]:
+            if phrase:
+                spared.update(start + i for i in range(length - 1) if folded[start + 1 + i] == " ")
+            elif length > at.get(start, (0, 0.0))[0]:
                 at[start] = (length, weight)
-        hits = [w for _, w in at.values() if w > 0]
+        hits = [w for start, (_, w) in at.items() if w > 0 and start not in spared]
         words = max(1, folded.count(" ") - 1)
         total, most = sum(hits), max(hits, default=0.0)
         return [math.log1p(total), total / math.sqrt(words), math.log1p(100 * total / words), most, float(len(hits) > 0), math.log1p(words)]
@@ -108,6 +114,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, ["entry", "toxic", "clean"])
 
 
+def _phrases(text: str, lexicon: Lexicon, automaton: ahocorasick.Automaton) -> set[str]:
+    """Pairs of neighbouring words of which one is a hit."""
+    folded = fold(text)
+    out = set()
+    for end, (length, weight, _) in automaton.iter(folded):
+        if weight > 0:
+            start = end - length + 1
+            stop = folded.find(" ", start + 1)
+            before, after = folded.rfind(" ", 0, start), folded.find(" ", stop + 1)
+            if before >= 0:
+                out.add(folded[before : stop + 1])
+            if after > stop:
+                out.add(folded[start : after + 1])
+    return out
+
+
 def _log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
@@ -130,7 +152,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
 
     Labels that are null or have no document are left out; of repeated labels the largest counts. The lexicon comes
     from grouped counts over two thirds of the rows and the calibration from the other third, so that chance entries
-    do not count for more than they are worth. Without labels of both kinds the lexicon is empty and scores are the
+    do not count for more than they are worth. Pairs of words around a hit that clean documents have and toxic ones
+    hardly join the given exception phrases. Of repeated documents the largest text counts. Without labels of both kinds the lexicon is empty and scores are the
     share of toxic labels.
     """
     spark = docs.sparkSession
@@ -142,6 +165,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
         return Lexicon({}, np.concatenate([[-35.0], np.zeros(FEATURES)]))
     picked = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int, calibrate boolean"))  # train_docs rows at most
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+    source = source.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"), F.max("calibrate").alias("calibrate"))
 
     counts = source.filter("not calibrate").select("text", "toxic").mapInArrow(_count, "entry string, toxic long, clean long")
     n_toxic = max(1, sum(r.toxic for r in ids if not r.calibrate))
@@ -150,22 +174,37 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     strength = (F.col("t") * n_clean - F.col("c") * n_toxic) / F.sqrt((F.col("t") + F.col("c") + 1) * F.lit(float(n_toxic)) * n_clean)
     whole = F.col("entry").endswith(" ")
     kept = summed.withColumn("z", strength).filter(((F.col("t") >= 3) & (F.col("z") >= 2.5)) | (whole & (F.col("c") >= 3) & (F.col("t") + F.col("c") >= 4)))
-    strong = kept.filter("t >= 3 and z >= 2.5").orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
+    strong = kept.filter("t >= 3 and z >= 2.5").collect()
     weights = {r.entry: w for r in strong if (w := _log_odds(r.t, r.c, n_toxic, n_clean)) > 0.7}
     heads = sorted({e[:5] for e in weights if not e.endswith(" ")})
     if heads:
-        innocent = kept.filter(whole & F.substring("entry", 1, 5).isin(heads)).filter("z < 2.5").orderBy(F.desc("c"), "entry").limit(ENTRIES).collect()
+        innocent = kept.filter(whole & F.substring("entry", 1, 5).isin(heads)).filter("z < 2.5").collect()
         weights |= {r.entry: 0.0 for r in innocent if _log_odds(r.t, r.c, n_toxic, n_clean) < 0.7}
-    weights |= {f" {' '.join(fold(p).split())} ": 0.0 for p in exceptions}
     lexicon = Lexicon(weights)
 
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, toxic, clean = lexicon.automaton(), Counter(), Counter()
+        for b in batches:
+            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                (toxic if label else clean).update(_phrases(text, lexicon, automaton))
+        keys = list(toxic | clean)
+        columns = [pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["entry", "toxic", "clean"])
+
+    learned = []
+    if weights:
+        pairs = source.filter("not calibrate").select("text", "toxic").mapInArrow(around, "entry string, toxic long, clean long")
+        learned = pairs.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("c >= 3").collect()
+    spared = [r.entry for r in learned if _log_odds(r.t, r.c, n_toxic, n_clean) < 0]
+    lexicon.weights |= dict.fromkeys([*spared, *(f" {' '.join(fold(p).split())} " for p in exceptions)], 0.0)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in batches:
             rows = [lexicon.features(t, automaton) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = source.filter("calibrate").select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").limit(2 * train_docs).collect()
+    rows = source.filter("calibrate").select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").collect()
     y = np.array([r.toxic for r in rows], float)
     if len(rows) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(rows) else n_toxic / (n_toxic + n_clean), 1e-6, 1 - 1e-6))
