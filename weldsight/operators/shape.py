@@ -16,8 +16,8 @@ def past(order: str = "slot"):
     return by_gun(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def future(order: str = "slot"):
-    return by_gun(order).rowsBetween(0, Window.unboundedFollowing)
+def whole(order: str = "slot"):
+    return by_gun(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def dedup_last(readings: DataFrame) -> DataFrame:
@@ -61,9 +61,12 @@ def last_segment(rows: DataFrame) -> DataFrame:
 
 
 def carry_non_welding(rows: DataFrame, columns: tuple[str, ...] = ("value", "k")) -> DataFrame:
-    """Readings while not welding are blank; the last welding one stands in, before the first the next."""
+    """Readings while not welding are blank; the last welding one stands in, before the first the next.
+
+    Where none came before, the next is the first of the whole series: a frame that is computed once, not for each row.
+    """
     blank = rows.select("*", *[F.when(~F.col("nw"), F.col(c)).alias(f"_{c}") for c in columns])
-    carried = [F.coalesce(F.last(f"_{c}", True).over(past()), F.first(f"_{c}", True).over(future())).alias(f"_{c}") for c in columns]
+    carried = [F.coalesce(F.last(f"_{c}", True).over(past()), F.first(f"_{c}", True).over(whole())).alias(f"_{c}") for c in columns]
     both = blank.select(*rows.columns, *carried)
     return both.select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns])
 
