@@ -95,6 +95,18 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def settled_in_place(spark: SparkSession):
+    """Plans inside keep their partitions as written down, so that a checkpoint is known to be dealt by its keys."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, on an array of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weldsight.llm import ann, byte_bpe, collocations, exact_dedup, html_content, langid, mixing, near_dedup, quality_rules, sharding, substring_dedup, toxicity
+from weldsight.llm import ann, byte_bpe, collocations, divergence, exact_dedup, html_content, langid, mixing, near_dedup, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_nearest": ann.op8_nearest,
     "op9_language": langid.op9_language,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_divergence": divergence.op11_divergence,
     "op12_quality_rules": quality_rules.op12_quality_rules,
     "op13_collocations": collocations.op13_collocations,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op6_mixing": mixing.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
     "op12_quality_rules": quality_rules.OP12_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
