@@ -49,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the folder that ``written`` made, once what was read from it is written or checkpointed itself."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def narrow(df: DataFrame, rows: int) -> DataFrame:
     """A frame of so many narrow rows in no more tasks than they are worth."""
     return df.coalesce(max(1, -(-rows // TASK_ROWS)))
