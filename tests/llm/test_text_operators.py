@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import time
 from collections import Counter
 
@@ -410,3 +411,56 @@ def test_phrases_of_clean_documents_are_learned_and_odd_labels_are_defined(spark
     assert learned.weights[" blargh festival "] == 0.0 and learned.weights[" blargh "] > 0
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, learned).collect()}
     assert all(got[i] == i % 2 for i in range(1, 600)) and got[601] == 0
+
+
+def _timed(limit, run, *args):
+    began = time.time()
+    out = run(*args)
+    assert time.time() - began < limit
+    return out
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "a_" * 500_000, "1" * 1_000_000, "ab1" * 300_000, "@" * 1_000_000, "é" * 1_000_000, "a@_" * 300_000, "$ " * 500_000])
+def test_long_words_are_folded_in_one_pass(text):
+    _timed(2, toxicity.fold, text)
+
+
+def test_folding_starts_after_the_last_underscore():
+    plain = re.compile(r"[^\W_]*[0134578@$][\w@$]*")  # the same words, found from every letter
+    r = random.Random(1)
+    for _ in range(3000):
+        text = "".join(r.choice("ab1@_ é$9-") for _ in range(r.randint(0, 14)))
+        assert toxicity._MIXED.sub(toxicity._spelled, text) == plain.sub(toxicity._spelled, text)
+    assert toxicity.fold("foo_b4r") == " foo bar " and toxicity.fold("foo_123") == " foo 123 "
+
+
+@pytest.mark.parametrize("page", ["<html " * 170_000, "<html lang" * 100_000, "<html lang=" + " " * 1_000_000, "<html lang  " * 90_000 + ">", '<html "' * 140_000])
+def test_declared_languages_are_read_in_one_pass(page):
+    assert _timed(2, langid._declared, page) == ""
+    _timed(5, langid._visible, page)
+
+
+def test_declared_language_is_that_of_the_first_html_tag():
+    pages = ["<HTML dir=ltr LANG = 'de-AT'>", "<html>x<html lang=fr>", "<html xml:lang=en>", "x", "<html lang=\"\">"]
+    assert [langid._declared(p) for p in pages] == ["de", "", "en", "", ""]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</span2>" * 100_000, "<div>" * 100_000 + "<li>x</li>" * 50_000, "<li><ul>" + "<div>" * 100_000 + "<li>x</li>" * 50_000, "<table><tr>" + "<div>" * 100_000 + "<td>x</td>" * 50_000, "<p>x</div>" * 100_000, "<option>" * 100_000, "<a href='" * 100_000])
+def test_broken_pages_are_parsed_in_one_pass(page):
+    _timed(20, html_content.Tree, page)
+
+
+def test_only_drawings_end_with_their_own_tag():
+    tree = html_content.Tree("<script src=/js/>alert(1);</script><div class=a/><p>one</p></div><svg><path d=x/><g/></svg><p>two<style type=a/>p{}</style> three")
+    assert list(tree.blocks.values()) == ["one", "two three"] and "path" not in tree.tags
+    rows = html_content.Tree("<table><tr><td>a<table><tr><td>b<tr><td>c</table><td>d<tr><td>e</table><ul><li>f<li>g<ul><li>h</ul><li>i</ul>")
+    assert list(rows.blocks.values()) == list("abcdefghi") and [rows.tags[rows.parent[i]] for i in rows.blocks] == ["td"] * 5 + ["li"] * 4
+
+
+def test_language_of_pages_that_mostly_share_a_host(spark, monkeypatch):
+    train = spark.createDataFrame([(i, (" the and of to" if i % 2 else " der und die zu") * 20, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    rows = [(i, f"http://{'big' if i % 3 else f'h{i}'}.com/x", "der und die zu" if i % 5 else "the and of") for i in range(400)] + [(1000, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = sorted(map(str, langid.identify(pages, train).collect()))
+    monkeypatch.setattr(langid, "BROADCAST_NUMBERS", 0)
+    assert sorted(map(str, langid.identify(pages, train).collect())) == first and len(first) == 401

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,9 +91,17 @@ class Tree:
                 run.clear()
             linked = 0
 
+        #: Where the open elements of each name are in the stack, so that no tag has to walk it.
+        places: defaultdict[str, list[int]] = defaultdict(list)
+
+        def nearest(names: tuple[str, ...]) -> int:
+            return max((places[n][-1] for n in names if places[n]), default=0)
+
         def pop(to: int) -> None:
             nonlocal in_link
             flush()
+            for open_name, _ in stack[to:]:
+                places[open_name].pop()
             del stack[to:]
             while controls and controls[-1] >= to:
                 controls.pop()
@@ -113,8 +122,6 @@ class Tree:
                 continue
             name, closing, attributes = m[2].lower(), bool(m[1]), m[3] or ""
             if name in RAW and not closing:
-                if attributes.endswith("/"):
-                    continue
                 end = _END[name].search(page, at)
                 close = page.find(">", end.end()) if end else -1
                 at = close + 1 if close >= 0 else len(page)
@@ -131,10 +138,8 @@ class Tree:
                     in_link = 0 if closing else 1
                 continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
+                if places[name]:
+                    pop(places[name][-1])
                 else:
                     flush()
                 continue
@@ -147,16 +152,15 @@ class Tree:
             if name in CLOSES_P and stack[-1][0] == "p":
                 pop(len(stack) - 1)
             if name in PEERS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in PEERS[name]:
-                        pop(i)
-                        if name != "tr":
-                            break
-                    elif stack[i][0] in FENCES[name]:
+                while (peer := nearest(PEERS[name])) > nearest(FENCES[name]):
+                    pop(peer)
+                    if name != "tr":
                         break
-            if not attributes.endswith("/"):
+            # only drawings have elements that end with their own tag
+            if not (attributes.endswith("/") and (name == "svg" or places["svg"])):
                 if name in ENDED_BY:
                     controls.append(len(stack))
+                places[name].append(len(stack))
                 stack.append((name, self._node(stack[-1][1], name, attributes)))
         flush()
 

@@ -11,16 +11,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, table
+from weldsight.llm.common import cut, lookup, table
 
 #: Labelled documents of each language for the text model, about and at most; cells of its hashed trigrams.
 TRAIN_DOCS, CELLS = 1_500, 1 << 16
 #: Trigrams that a text counts for at most, and the pseudo-counts of hints, domains and hosts.
 EVIDENCE, SMOOTH_HINT, SMOOTH_HOST = 40.0, 2.0, 5.0
 
+#: Sums up to which the table of a key is broadcast (8 bytes each); beyond it keys are looked up.
+BROADCAST_NUMBERS = 500_000
+
 _OPEN = re.compile(r"<(?:!--|(script|style)\b)?", re.I)
 _CLOSE = {"script": re.compile(r"</script\b[^>]*>?", re.I), "style": re.compile(r"</style\b[^>]*>?", re.I)}
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_HTML = re.compile(r"<html\b([^>]*)", re.I)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?\s*+([A-Za-z]{2,3})", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 _PATH = re.compile(r"^[a-z][a-z0-9+.-]*://[^/?#]*/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:/|$)", re.I)
 
@@ -55,6 +59,13 @@ def _visible(page: str) -> str:
     return html.unescape(" ".join(out))
 
 
+def _declared(page: str) -> str:
+    """The language of the page's first html tag."""
+    tag = _HTML.search(page)
+    lang = _LANG.search(tag[1]) if tag else None
+    return lang[1].lower() if lang else ""
+
+
 def _train(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {lang: i for i, lang in enumerate(languages)}
@@ -101,7 +112,7 @@ def _read(languages: list[str], model: np.ndarray):
                 host = m[1].lower() if (m := _HOST.match(url)) else ""
                 path = m[1].lower() if (m := _PATH.match(url)) else ""
                 hint = path if path in languages else host.rpartition(".")[2]
-                declared = m[1].lower() if (m := _DECLARED.search(page)) else ""
+                declared = _declared(page)
                 rows.append((host, ".".join(host.split(".")[-2:]), hint, declared, (p / p.sum()).tolist()))
             columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *columns, pa.array([r[4] for r in rows], pa.list_(pa.float64()))], ["page_id", "url", "host", "domain", "hint", "declared", "p"])
@@ -133,7 +144,9 @@ def identify(pages: DataFrame, docs: DataFrame, train_docs: int = TRAIN_DOCS) ->
 
     rows = read.join(F.broadcast(sums([], "_all")))  # one row
     for key in ("declared", "hint", "domain", "host"):
-        rows = rows.join(sums([key], f"_{key}"), key)
+        found = cut(sums([key], f"_{key}"))
+        # most pages share a few of these values
+        rows = rows.join(F.broadcast(found), key) if found.count() * k <= BROADCAST_NUMBERS else lookup(cut(rows), found, key)
 
     def log_hint(key: str, i: int) -> Column:
         own = F.greatest(F.col(f"_{key}")[i] - F.col("p")[i], F.lit(0.0))

@@ -32,7 +32,8 @@ FEATURES = 6
 
 _LOOKS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 _FOREIGN = re.compile("[ıɡɑͰ-ӿ！-～]")
-_MIXED = re.compile(r"[^\W_]*[0134578@$][\w@$]*")
+# only from the start of a run of letters, so that a long one is read once
+_MIXED = re.compile(r"(?<![^\W_])[^\W_]*[0134578@$][\w@$]*")
 _LETTER = re.compile(r"[^\W\d_]")
 _GAP = re.compile(r"[\W_]+")
 
