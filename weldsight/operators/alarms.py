@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weldsight.config import Profile
+from weldsight.operators.ordered import ordered_pass
 from weldsight.operators.shape import by_gun, past
 
 
@@ -59,18 +60,17 @@ def onsets(rows: DataFrame, order: str = "win") -> DataFrame:
 def cooled(onset: DataFrame, cooldown: int, order: str = "win") -> DataFrame:
     """Onsets that fire: each at least ``cooldown`` after the last that fired, in units of ``order``.
 
-    Order-dependent, so that it is a fold over the gun's onsets, which are few.
+    Each depends on the ones before, so that a gun's onsets are passed in order.
     """
-    events = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("t"), "terminal_idx", "ttf_s")))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<struct<t:bigint,terminal_idx:int,ttf_s:bigint>>)").alias("fired"))
 
-    def step(acc, x):
-        fires = acc["last"].isNull() | (x["t"] - acc["last"] >= cooldown)
-        one = F.array(F.struct(x["t"].alias("t"), x["terminal_idx"].cast("int").alias("terminal_idx"), x["ttf_s"].cast("long").alias("ttf_s")))
-        return F.struct(F.when(fires, x["t"]).otherwise(acc["last"]).alias("last"), F.when(fires, F.concat(acc["fired"], one)).otherwise(acc["fired"]).alias("fired"))
+    def step(last, row):
+        t, idx, ttf = row
+        if last is not None and t - last < cooldown:
+            return last, None
+        return t, (idx, ttf)
 
-    folded = onset.groupBy("gun").agg(F.aggregate(events, start, step)["fired"].alias("fired"))
-    return folded.select("gun", F.explode("fired").alias("f")).select("gun", F.col("f.t").alias(order), "f.terminal_idx", "f.ttf_s")
+    rows = onset.withColumn(order, F.col(order).cast("long")).withColumn("_t", F.col(order).cast("long")).withColumn("terminal_idx", F.col("terminal_idx").cast("int")).withColumn("ttf_s", F.col("ttf_s").cast("long"))
+    return ordered_pass(rows, "gun", order, ["_t", "terminal_idx", "ttf_s"], "terminal_idx int, ttf_s long", step)
 
 
 def repeats(fired: DataFrame, repeat_s: int, order: str = "win") -> DataFrame:

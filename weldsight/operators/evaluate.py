@@ -13,14 +13,79 @@ def _sides(scored: DataFrame) -> DataFrame:
     return scored.withColumn("pos", (F.col("label") == 1).cast("int")).filter("label = 1 OR error_active = 0")
 
 
+#: Ranges that scores are ranked in, ranges of a quantile's pass, and values that are looked at one by one in the end.
+RANGES, BINS, FEW = 64, 4096, 10_000
+
+
+def quantiles(rows: DataFrame, columns: list[str], q: float) -> dict[str, float | None]:
+    """Exact quantiles, linear between neighbours, by counted ranges: each pass counts BINS ranges of the one before
+    that holds the rank, until FEW values or a single one are left. Nulls do not count; no values give None."""
+    ends = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max), ("n", F.count))]).first()
+    out: dict[str, float | None] = {}
+    todo = {}
+    for i, c in enumerate(columns):
+        a, b, n = ends[f"a{i}"], ends[f"b{i}"], ends[f"n{i}"]
+        if not n or a == b:
+            out[c] = float(a) if n else None
+        else:
+            todo[c] = (float(a), float(b), 0, n, q * (n - 1))
+    while todo:
+        parts = []
+        for c, (a, b, _, n, _) in todo.items():
+            x = F.col(c).cast("double")
+            bin_ = F.least(F.lit(BINS - 1), F.floor((x - a) / ((b - a) / BINS)).cast("int")) if n > FEW else F.lit(-1)
+            parts.append(F.when(x.between(a, b), F.struct(F.lit(c).alias("c"), bin_.alias("bin"), x.alias("x"))))
+        held = rows.select(F.explode(F.array(*parts)).alias("p")).filter("p IS NOT NULL").select("p.*")
+        lists = held.groupBy("c", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.when(F.col("bin") == -1, F.array_sort(F.collect_list(F.when(F.col("bin") == -1, F.col("x"))))).alias("xs"))
+        found: dict[str, list] = {}
+        for r in lists.orderBy("c", "bin").collect():  # BINS rows a column at most, FEW values in a list
+            found.setdefault(r["c"], []).append(r)
+        after = {}
+        for c, (_, _, below, _, at) in todo.items():
+            low, high = int(at), min(int(at) + 1, int(at) + (at > int(at)))
+            values: dict[int, float] = {}
+            for r in found[c]:
+                if r["xs"]:
+                    values |= {k: r["xs"][k - below] for k in (low, high)}
+                    break
+                here = [k for k in (low, high) if below <= k < below + r["n"]]
+                if here and (r["a"] == r["b"] or (len(set(here)) == 1 and low != high)):
+                    # of two ranks in two ranges, the lower is the last of its own and the higher the first
+                    values |= {k: r["b"] if k == low else r["a"] for k in here}
+                elif here:
+                    after[c] = (r["a"], r["b"], below, r["n"], at)
+                    break
+                below += r["n"]
+            if c not in after:
+                out[c] = values[low] if low == high else (high - at) * values[low] + (at - low) * values[high]
+        todo = after
+    return out
+
+
+def quantile(rows: DataFrame, column: str, q: float) -> float | None:
+    return quantiles(rows, [column], q)[column]
+
+
+def _before(counts: DataFrame, by: list[str], values: list[str], down: bool = False) -> DataFrame:
+    """Adds ``_<value>``, its sum over the lower (with ``down`` higher) scores: sums of ranges, and ranks within each."""
+    edges = sorted(set(counts.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.01)))
+    ranged = counts.withColumn("_range", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("score"))) if edges else F.lit(0))
+    whole = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(v) for v in values])
+    order = lambda c: F.desc(c) if down else F.asc(c)
+    earlier = Window.partitionBy(*by).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
+    offsets = whole.select(*by, "_range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values])
+    inside = Window.partitionBy(*by, "_range").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.join(offsets, [*by, "_range"])
+    return ranked.select(*counts.columns, *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"_{v}") for v in values])
+
+
 def auroc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with ties at mid rank, over all rows or by keys; null without both sides.
 
-    Rows first become one for each score, so that ranks come from few rows."""
+    Rows first become one for each score; ranks come from ranges of scores, so that no task has all of them."""
     by = by or []
     counts = _sides(scored).groupBy(*by, "score").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    placed = _before(counts, by, ["n"]).withColumn("won", F.col("p") * (F.col("_n") + F.col("n") / 2.0))
     pairs = F.sum("p") * F.sum("n").cast("double")
     return placed.groupBy(*by).agg(F.when(pairs > 0, F.sum("won") / pairs).alias("auroc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
@@ -28,9 +93,8 @@ def auroc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 def auprc(scored: DataFrame) -> DataFrame:
     """Average precision: precision at each score, weighted by the recall it adds."""
     counts = _sides(scored).groupBy("score").agg(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("c"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.withColumn("tp", F.sum("p").over(down)).withColumn("seen", F.sum("c").over(down))
-    return steps.agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("auprc"))
+    steps = _before(counts, [], ["p", "c"], down=True)
+    return steps.agg((F.sum(F.col("p") * (F.col("_p") + F.col("p")) / (F.col("_c") + F.col("c"))) / F.sum("p")).alias("auprc"))
 
 
 def auroc_of_guns(scored: DataFrame) -> DataFrame:

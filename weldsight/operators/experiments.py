@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def _series(key: str, order: str, column: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).cast("double").alias("x"))))
+from weldsight.operators.ordered import ordered_pass
 
 
-def _fold(df: DataFrame, key: str, order: str, column: str, step, name: str) -> DataFrame:
-    """A running fold over each key's rows in order; ``step(previous or null, x)`` gives the next value."""
-    start = F.struct(F.lit(None).cast("double").alias("v"), F.expr("cast(array() as array<struct<o:bigint,v:double>>)").alias("all"))
+def _recurrence(df: DataFrame, key: str, order: str, column: str, keep: float, add: float, name: str) -> DataFrame:
+    """v = keep * v + add * x over each key's rows in order, from the first x on."""
 
-    def add(acc, e):
-        v = step(acc["v"], e["x"])
-        return F.struct(v.alias("v"), F.concat(acc["all"], F.array(F.struct(e["o"].cast("long").alias("o"), v.alias("v")))).alias("all"))
+    def step(v, row):
+        x = row[0]
+        v = x if v is None or x is None else v * keep + x * add
+        return v, (v,)
 
-    folded = df.groupBy(key).agg(F.aggregate(_series(key, order, column), start, add)["all"].alias("f"))
-    return folded.select(key, F.explode("f").alias("f")).select(key, F.col("f.o").alias(order), F.col("f.v").alias(name))
+    return ordered_pass(df.withColumn(column, F.col(column).cast("double")), key, order, [column], f"{name} double", step)
 
 
 def ewma(df: DataFrame, key: str, order: str, column: str, half_life: float) -> DataFrame:
     alpha = 1 - 0.5 ** (1 / half_life)
-    return _fold(df, key, order, column, lambda v, x: F.coalesce(v * (1 - alpha) + x * alpha, x), "ewma")
+    return _recurrence(df, key, order, column, 1 - alpha, alpha, "ewma")
 
 
 def cusum(df: DataFrame, key: str, order: str, column: str, k: float = 0.5) -> DataFrame:
@@ -37,7 +39,7 @@ def cusum(df: DataFrame, key: str, order: str, column: str, k: float = 0.5) -> D
 
 def exp_smooth(df: DataFrame, key: str, order: str, column: str, weight: float = 0.8) -> DataFrame:
     """Exponential smoothing from the first value on, divided by the weight as in the published curves."""
-    out = _fold(df, key, order, column, lambda v, x: F.coalesce(v * weight + x * (1 - weight), x), "smooth")
+    out = _recurrence(df, key, order, column, weight, 1 - weight, "smooth")
     return out.withColumn("debiased", F.col("smooth") / weight)
 
 
@@ -80,25 +82,86 @@ def by_maximum(rows: DataFrame, column: str, floor: float = 0.01) -> DataFrame:
     return rows.join(F.broadcast(top)).withColumn("scaled", F.when(F.col(column) != 0, F.col(column) / F.col("_b")).otherwise(floor)).drop("_b")
 
 
+def _undominated(x: np.ndarray) -> np.ndarray:
+    """Places of the rows that no other dominates: only rows of a smaller sum can, so that the front grows in that order."""
+    order = np.lexsort((*x.T[::-1], x.sum(1)))
+    front, kept = np.empty((0, x.shape[1])), []
+    for i in order:
+        worse = (front <= x[i]).all(1) & (front < x[i]).any(1)
+        if not worse.any():
+            kept.append(i)
+            front = np.vstack([front, x[i]])
+    return np.sort(np.array(kept, np.int64))
+
+
 def pareto_front(points: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Points that no other dominates (all objectives minimal). ``points`` is a bounded set of candidates: runs or
-    settings. Points that a better one of the same least first objective dominates go before the comparison."""
-    w = Window.partitionBy(objectives[0]).orderBy(*objectives[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    kept = points.withColumn("_best", F.min(objectives[1]).over(w)) if len(objectives) == 2 else points
-    kept = (kept.filter(F.col("_best").isNull() | (F.col("_best") >= F.col(objectives[1]))) if len(objectives) == 2 else kept).select(*points.columns)
-    other = kept.select(*[F.col(o).alias(f"_{o}") for o in objectives]).distinct()
-    weak, strict = F.lit(True), F.lit(False)
-    for o in objectives:
-        weak, strict = weak & (F.col(f"_{o}") <= F.col(o)), strict | (F.col(f"_{o}") < F.col(o))
-    return kept.join(other, weak & strict, "left_anti")
-
-
-def front_distance(points: DataFrame, front: DataFrame, objectives: list[str]) -> DataFrame:
-    """Mean distance of the points to the nearest of a small front (GD; swap the two for IGD)."""
-    far = F.sqrt(sum((F.pow(F.col(o) - F.col(f"_{o}"), 2) for o in objectives), F.lit(0.0)))
-    other = F.broadcast(front.select(*[F.col(o).alias(f"_{o}") for o in objectives]).limit(10_000))
-    near = points.withColumn("_id", F.monotonically_increasing_id()).join(other).groupBy("_id").agg(F.min(far).alias("d"))
-    return near.agg(F.avg("d").alias("distance"))
+    """Points that no other dominates (all objectives minimal); equal points stay together.
+
+    Each partition keeps its own front, and a quarter as many tasks merge fronts until one is left, which holds no more
+    than the fronts of the last four: the size of the answer, not of the points.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            x = np.column_stack([table.column(o).cast(pa.float64()).to_numpy() for o in objectives])
+            held = table.take(_undominated(x))
+        if held is not None:
+            yield from held.to_batches()
+
+    rows = points.select(key, *objectives).dropna(subset=objectives)
+    front, tasks = rows.mapInArrow(local, rows.schema), rows.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // 4)
+        front = front.repartition(tasks).mapInArrow(local, rows.schema)
+    return front
+
+
+def front_distance(points: DataFrame, front: DataFrame, objectives: list[str], block: int = 1024) -> DataFrame:
+    """Mean distance of the points to the nearest of a front (GD; swap the two for IGD), the front in blocks of rows."""
+    numbered = front.select(F.struct(*[F.col(o).cast("double").alias(f"_{o}") for o in objectives]).alias("f"), F.monotonically_increasing_id().alias("i"))
+    blocks = numbered.groupBy(F.expr(f"i div {block}").alias("b")).agg(F.collect_list("f").alias("fs")).select("fs")
+    far = F.array_min(F.transform("fs", lambda f: sum((F.pow(F.col(o) - f[f"_{o}"], 2) for o in objectives), F.lit(0.0))))
+    near = points.select(*objectives).withColumn("_id", F.monotonically_increasing_id()).crossJoin(blocks).groupBy("_id").agg(F.min(far).alias("d"))
+    return near.agg(F.avg(F.sqrt("d")).alias("distance"))
+
+
+def _swept(x: np.ndarray, reference: np.ndarray) -> float:
+    """Volume between points and reference: over the last objective in order, what the points so far cover in the others."""
+    x = x[(x < reference).all(1)]
+    if not len(x):
+        return 0.0
+    if x.shape[1] == 1:
+        return float(reference[0] - x.min())
+    x = x[np.argsort(x[:, -1], kind="stable")]
+    ends = np.append(x[1:, -1], reference[-1])
+    if x.shape[1] > 2:
+        return float(sum(_swept(x[: i + 1, :-1], reference[:-1]) * (ends[i] - x[i, -1]) for i in range(len(x)) if ends[i] > x[i, -1]))
+    least = np.minimum.accumulate(x[:, 0])
+    return float(((reference[0] - least) * (ends - x[:, 1])).sum())
+
+
+def hypervolume(points: DataFrame, by: str, objectives: list[str], reference: list[float]) -> DataFrame:
+    """Per key (a run or method) the volume that its points dominate up to the reference; points beyond it add nothing.
+
+    For two objectives the front is swept in order by windows. For more, a key's points come together in one task: a run
+    has as many as its steps.
+    """
+    inside = points.select(by, *[F.col(o).cast("double").alias(o) for o in objectives])
+    for o, r in zip(objectives, reference, strict=True):
+        inside = inside.filter(F.col(o) < r)
+    if len(objectives) == 2:
+        a, b = objectives
+        steps = inside.groupBy(by, a).agg(F.min(b).alias(b))
+        earlier = Window.partitionBy(by).orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
+        best = F.least(F.coalesce(F.min(b).over(earlier), F.lit(float(reference[1]))), F.lit(float(reference[1])))
+        area = F.greatest(F.lit(0.0), best - F.col(b)) * (reference[0] - F.col(a))
+        found = steps.select(by, area.alias("area")).groupBy(by).agg(F.sum("area").alias("hypervolume"))
+    else:
+        limit = np.array(reference, float)
+        found = inside.groupBy(by).applyInPandas(lambda k, f: pd.DataFrame({by: [k[0]], "hypervolume": [_swept(f[objectives].to_numpy()[_undominated(f[objectives].to_numpy())], limit)]}), f"{by} {dict(points.dtypes)[by]}, hypervolume double")
+    return points.select(by).distinct().join(found, by, "left").fillna(0.0, ["hypervolume"])
 
 
 def running_sum(df: DataFrame, key: str, order: str, column: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Trees, rows of a tree's sample, and seed of the isolation forest.
-TREES, SAMPLE, SEED = 100, 256, 42
+TREES, SAMPLE, SEED = 300, 256, 42
 TREE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int"
 
 
@@ -19,12 +19,47 @@ def _depth(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def iforest_fit(rows: DataFrame, features: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """The forest as a table of nodes. Each tree takes its rows by a seeded hash, so that every row is looked at once
-    and a tree's group holds about ``sample`` rows, and is grown in the task that has them."""
+class Forest:
+    """A forest's nodes as arrays, all trees one after the other; leaves lead to themselves."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        nodes = nodes.sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
+        start = nodes.groupby("tree").cumcount()  # place in the tree
+        first = np.arange(len(nodes)) - start.to_numpy()
+        leaf = nodes["feature"].to_numpy() < 0
+        here = np.arange(len(nodes))
+        self.feature = np.where(leaf, 0, nodes["feature"]).astype(np.int32)
+        self.split = nodes["split"].to_numpy(float)
+        self.left = np.where(leaf, here, nodes["left"] + first)
+        self.right = np.where(leaf, here, nodes["right"] + first)
+        self.roots = np.flatnonzero(start.to_numpy() == 0)
+        depth = np.zeros(len(nodes))
+        for i in here[~leaf]:  # parents come before children
+            depth[self.left[i]] = depth[self.right[i]] = depth[i] + 1
+        size = nodes["size"].to_numpy()
+        self.levels = int(depth.max(initial=0))
+        self.depth = depth + np.where(leaf, [_depth(n) for n in size], 0.0)
+        self.expected = max(sum(_depth(n) for n in size[self.roots]), 1e-9)
+
+    def score(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """2 to the minus mean depth over the expected depth, for each row of ``x``."""
+        out = []
+        for part in (x[at : at + rows] for at in range(0, len(x), rows)):
+            here = np.repeat(self.roots[:, None], len(part), axis=1)
+            own = np.arange(len(part))[None, :]
+            for _ in range(self.levels):
+                here = np.where(part[own, self.feature[here]] < self.split[here], self.left[here], self.right[here])
+            out.append(2.0 ** (-self.depth[here].sum(0) / self.expected))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def iforest_fit(rows: DataFrame, features: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
+    """The forest as a table of nodes. Each tree takes its rows by a seeded hash of ``key``, which names a row (the
+    features if it is not given, so that equal rows go together), so that every row is looked at once and a tree's group
+    holds about twice ``sample`` rows, and is grown in the task that has them."""
     share = min(1.0, 2.0 * sample / max(1, rows.count()))
-    key = F.xxhash64(*[F.col(c) for c in features])
-    picks = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("int").alias("tree"), F.pmod(F.xxhash64(key, t, F.lit(seed)), F.lit(1_000_000_007)).alias("rank"))), lambda s: s["rank"] < int(1_000_000_007 * share))
+    named = F.xxhash64(*[F.col(c) for c in key or features])
+    picks = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("int").alias("tree"), F.pmod(F.xxhash64(named, t, F.lit(seed)), F.lit(1_000_000_007)).alias("rank"))), lambda s: s["rank"] < int(1_000_000_007 * share))
     drawn = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.explode(picks).alias("p")).select("p.*", *[f"x{i}" for i in range(len(features))])
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -56,29 +91,19 @@ def iforest_fit(rows: DataFrame, features: list[str], trees: int = TREES, sample
     return drawn.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
 
 
-def iforest_score(rows: DataFrame, features: list[str], forest: DataFrame, name: str = "score") -> DataFrame:
-    """2 to the minus mean depth over the expected depth, for every row, by Arrow batches. The forest has at most
-    TREES times twice SAMPLE nodes."""
-    nodes = forest.orderBy("tree", "node").toPandas()
-    trees = [t.reset_index(drop=True) for _, t in nodes.groupby("tree")]
-    packed = [(t["feature"].to_numpy(), t["split"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(), np.array([_depth(n) for n in t["size"]]), int(t["size"].iloc[0])) for t in trees]
+def collected(forest: DataFrame) -> Forest:
+    """The forest on the driver: TREES times twice SAMPLE nodes at most."""
+    return Forest(forest.toPandas())
+
+
+def iforest_score(rows: DataFrame, features: list[str], forest: DataFrame | Forest, name: str = "score") -> DataFrame:
+    """The forest's score of every row, by Arrow batches."""
+    grown = forest if isinstance(forest, Forest) else collected(forest)
 
     @F.pandas_udf("double")
     def score(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in columns:
-            x = np.column_stack([c.to_numpy(float) for c in batch])
-            total = np.zeros(len(x))
-            expected = 0.0
-            for feature, at, left, right, extra, size in packed:
-                here, depth = np.zeros(len(x), int), np.zeros(len(x))
-                while (inner := feature[here] >= 0).any():
-                    go = np.flatnonzero(inner)
-                    n = here[go]
-                    here[go] = np.where(x[go, feature[n]] < at[n], left[n], right[n])
-                    depth[go] += 1
-                total += depth + extra[here]
-                expected += _depth(size)
-            yield pd.Series(2.0 ** (-total / max(expected, 1e-9)))
+            yield pd.Series(grown.score(np.column_stack([c.to_numpy(float) for c in batch])))
 
     return rows.withColumn(name, score(*[F.col(c).cast("double") for c in features]))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weldsight.config import Profile
+from weldsight.operators.evaluate import quantile, quantiles
 
 SCALED_COLUMNS = ("value", "k")
 SCORED_COLUMNS = ("value_mean", "k_mean", "value_std", "k_std")
@@ -72,7 +73,8 @@ def distance_score(windows: DataFrame, columns: tuple[str, ...] = SCORED_COLUMNS
 
 
 def global_threshold(scored: DataFrame, q: float) -> DataFrame:
-    return normal(scored).agg(F.percentile("score", F.lit(q)).alias("threshold"))
+    """One row with the quantile of the scores of normal windows, by counted ranges."""
+    return scored.sparkSession.createDataFrame([(quantile(normal(scored), "score", q),)], "threshold double")
 
 
 def gun_threshold(scored: DataFrame, calibration: DataFrame, overall: DataFrame, profile: Profile) -> DataFrame:
@@ -89,4 +91,5 @@ def gun_threshold(scored: DataFrame, calibration: DataFrame, overall: DataFrame,
 
 def feature_reference(windows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Medians of the columns over normal windows: what attribution puts in a feature's place."""
-    return normal(windows).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns])
+    medians = quantiles(normal(windows), list(columns), 0.5)
+    return windows.sparkSession.createDataFrame([tuple(medians[c] for c in columns)], ", ".join(f"{c} double" for c in columns))

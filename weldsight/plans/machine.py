@@ -33,14 +33,16 @@ def model_features(drop: tuple[str, ...] = ("c19",), drop_static: bool = False,
     return tuple(f for f in MODEL_FEATURES if f not in gone)
 
 
-def readings(raw: DataFrame) -> DataFrame:
+def readings(raw: DataFrame, rule_s: int = REAL.rule_s) -> DataFrame:
     """Valid readings in the shape the operators take. A file without a class in its name has that of its latest
-    terminal code, or none; class_source tells which."""
+    terminal code in its last ``rule_s`` seconds, or none; class_source tells which."""
     valid = validated(raw.withColumn("event_id", F.monotonically_increasing_id()))[0]
     timed = valid.withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', time)")).withColumn("c10", F.col("c10").cast("int"))
-    last = timed.filter(F.col("error").isin(list(TERMINAL_CODES))).groupBy("file").agg(F.max_by("error", F.struct("us", "event_id")).alias("_last"))
+    last = F.max(F.when(F.col("error").isin(list(TERMINAL_CODES)), F.struct("us", "event_id", "error")))
+    ends = timed.groupBy("file").agg(F.max("us").alias("_end"), last.alias("_l"))
+    near = ends.select("file", F.when(F.col("_end") - F.col("_l.us") <= rule_s * 1_000_000, F.col("_l.error")).alias("_last"))
     classes = F.create_map(*[F.lit(x) for kv in TERMINAL_CODES.items() for x in kv])
-    named = timed.join(last, "file", "left").withColumn("class_source", F.when(F.col("class").isNotNull(), "file name").when(F.col("_last").isNotNull(), F.concat(F.lit("terminal code "), "_last")))
+    named = timed.join(near, "file", "left").withColumn("class_source", F.when(F.col("class").isNotNull(), "file name").when(F.col("_last").isNotNull(), F.concat(F.lit("terminal code "), "_last")))
     slot = F.floor(F.col("us") / 1_000_000).cast("long").alias("slot")
     return named.select(F.col("file").alias("gun"), F.col("gun").alias("number"), F.coalesce("class", classes[F.col("_last")]).alias("class"), "class_source", "event_id", "us", slot, F.col("error").alias("code"), *SENSORS)
 
@@ -108,7 +110,8 @@ def training(wins: DataFrame, exclude_non_welding: bool = False) -> DataFrame:
 
 
 def preprocess(spark: SparkSession, source: str, target: str, split: str = "train", profile: Profile = REAL, mode: str = "global", max_missing: float = MAX_MISSING, scaler_from: str | None = None) -> None:
-    """Writes series (Parquet by split and file, 32-bit floats), manifest (CSV), config and scaler (JSON) below ``target``.
+    """Writes series (Parquet by split and file, 32-bit floats), manifest (CSV), config and scaler (JSON) below ``target``,
+    and beside them the readings: those that are valid, and the others as they came in ``quarantine``.
 
     Only the train split fits and writes a scaler. The test split reads scaler and config of ``scaler_from``, and takes
     the label window from there.
@@ -116,7 +119,10 @@ def preprocess(spark: SparkSession, source: str, target: str, split: str = "trai
     if split == "test":
         config = spark.read.json(f"{scaler_from}/preprocess_config.json").first()
         profile, mode = dataclasses.replace(profile, label_s=config.label_s), config.scale
-    rows = readings(read_machine_csv(spark, source))
+    raw = read_machine_csv(spark, source)
+    validated(raw)[1].write.mode("overwrite").parquet(f"{target}/quarantine")
+    readings(raw, profile.rule_s).write.mode("overwrite").parquet(f"{target}/readings")  # parsed once
+    rows = spark.read.parquet(f"{target}/readings")
     manifest(rows, max_missing).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{target}/manifest.csv")
     whole = series(rows, profile, max_missing=max_missing)
     whole.write.mode("overwrite").parquet(f"{target}/unscaled")  # shaped once, read for the scaler and for the scaling
@@ -134,3 +140,8 @@ def preprocess(spark: SparkSession, source: str, target: str, split: str = "trai
     stored.withColumn("split", F.lit(split)).write.mode("overwrite").partitionBy("split", "file").parquet(f"{target}/series")
     config = [(split, mode, profile.gap_slots, profile.label_s, max_missing)]
     spark.createDataFrame(config, "split string, scale string, gap_fill_limit int, label_s int, max_missing double").coalesce(1).write.mode("overwrite").json(f"{target}/preprocess_config.json")
+
+
+def read_series(spark: SparkSession, source: str) -> DataFrame:
+    """The scaled series below ``source``, keyed by file."""
+    return spark.read.parquet(f"{source}/series").withColumn("gun", F.col("file")).drop("file", "split")

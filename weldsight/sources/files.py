@@ -18,7 +18,7 @@ def with_file_parts(df: DataFrame, path) -> DataFrame:
     """file, class and gun from names like E01_0; a name without a class code has none."""
     name = F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
     cls = F.regexp_extract("file", r"^(E\d{2})_", 1)
-    return df.withColumn("file", name).withColumn("class", F.when(cls != "", cls)).withColumn("gun", F.regexp_extract("file", r"_(\d+)$", 1).cast("int"))
+    return df.withColumn("file", name).withColumn("class", F.when(cls != "", cls)).withColumn("gun", F.regexp_extract("file", r"_(\d+)$", 1).try_cast("int"))
 
 
 def read_machine_csv(spark: SparkSession, path: str) -> DataFrame:
