@@ -6,15 +6,60 @@ import pytest
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bounded_fill", "window_stats", "rule_triggers", "auroc", "gap_stats", "pareto_front"])
+@pytest.mark.parametrize("name", ["bounded_fill", "window_stats", "rule_triggers", "auroc", "auroc_by_class", "auprc", "global_threshold", "feature_reference", "ewma", "exp_smooth", "gap_stats", "symptom_match", "pareto_front", "front_distance", "hypervolume"])
 def test_equal_to_sql(spark, name):
     from weldsight.registry import ORACLES, QUERIES
 
     db = duckdb.connect()
-    for t in ("events", "supplier"):
+    for t in ("events", "supplier", "part"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), db.execute(ORACLES[name]).df()
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     key = lambda d: d[columns].astype(str).sort_values(columns).reset_index(drop=True)
     assert key(ours).equals(key(theirs))
+
+
+def test_forest_is_judged_by_its_own_thresholds(spark):
+    import numpy as np
+
+    from weldsight.config import SCALED as P
+    from weldsight.plans.chain import Chain
+    from weldsight.registry import QUERIES
+
+    rows = QUERIES["forest_alarms"](spark, DATA).toPandas()
+    states = Chain(spark, DATA).scored().select("gun", "win", "label", "error_active", "non_welding").toPandas()
+    both = rows.merge(states, on=["gun", "win"])
+    quiet = both[(both.label == 0) & (both.error_active == 0)]
+    overall = np.quantile(quiet.score, P.quantile)
+    assert len(both) == len(rows) > 100 and np.allclose(both.threshold[both.warmup == 1], overall) and (both.threshold >= overall - 1e-9).all()
+    over = both.score > both.threshold
+    assert ((both.alarm == 1) == (over & (both.non_welding <= P.gate))).all() and ((both.held == 1) == (over & (both.non_welding > P.gate))).all()
+
+
+def test_triggers_are_scored_by_models_of_other_machines(spark):
+    from weldsight.registry import QUERIES
+
+    rows = QUERIES["trigger_scores"](spark, DATA).toPandas()
+    fired = QUERIES["rule_triggers"](spark, DATA).toPandas()
+    assert len(rows) == len(fired) > 10 and rows.score.between(0, 1).all() and rows.near.nunique() == 2
+
+
+def test_online_scores_of_the_event_stream(spark):
+    from weldsight.plans import queries
+    from weldsight.streaming import serving
+
+    got = {(r.gun, r.request): r for r in queries.stream_scores(spark, DATA).collect()}
+    card = queries.serving_card(spark, DATA)
+    frame = queries.serving_input(spark.read.parquet(f"{DATA}/events.parquet"), card).toPandas().sort_values(["gun", "request", "arrival"], kind="stable")
+    assert len(got) == frame.groupby(["gun", "request"]).ngroups
+    for gun, own in frame.groupby("gun"):
+        m, buffer, warm = serving.Memory(), [], []
+        for request, part in own.groupby("request"):
+            buffer = [*buffer, *zip(part["t"], part["sensors"].map(list), part["code"])][-card.buffer :]
+            want, added = serving.serve(card, m, buffer, warm)
+            warm += added
+            r = got[gun, request]
+            assert (r.status, r.window_end, r.windows_scored, r.gun_norm, r.severity, r.hands_off) == tuple(want.get(c) for c in ("status", "window_end", "windows_scored", "gun_norm", "severity", "hands_off"))
+            assert want.get("anomaly_score") is None or abs(r.score - want["anomaly_score"]) < 1e-5
+    assert {r.gun_norm for r in got.values()} >= {"warming_up", "gun"} or {r.gun_norm for r in got.values()} >= {"warming_up", "global"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.config import CLASS_NAMES, CLASS_SITUATIONS, STANDSTILL, SYMPTOMS, TERMINAL_CODES
+from weldsight.config import CLASS_NAMES, CLASS_SITUATIONS, STANDSTILL, SYMPTOMS, TERMINAL_CODES, WEAK
 
 #: Smallest share and deviation of a finding, and findings of a document at most.
 MIN_SHARE, MIN_DEVIATION, MOST = 0.05, 1.0, 6
@@ -25,26 +25,27 @@ def sensor_findings(contributions: DataFrame, sensors: dict[str, str], key: list
 
 def rule_table(spark: SparkSession) -> DataFrame:
     """(symptom, part, sensor, direction) of every condition of the symptom rules."""
-    rows = [(i, part, *c.split(":")) for i, core, aux, _, _ in SYMPTOMS for part, conditions in (("core", core), ("aux", aux)) for c in conditions]
+    rows = [(i, part, *c.split(":")) for i, core, aux, _, _ in SYMPTOMS for part, conditions in (("core", core), ("aux", aux), ("weak", WEAK.get(i, ()))) for c in conditions]
     return spark.createDataFrame(rows, "symptom string, part string, sensor string, direction string")
 
 
 def symptom_match(findings: DataFrame, key: list[str], welds: DataFrame | None = None) -> DataFrame:
-    """Symptoms of each key: full with a core and, where the rule has one, an auxiliary condition, else partial.
+    """Symptoms of each key: full with a core and, where the rule has one, an auxiliary condition, else partial; partial
+    with a weak condition alone.
 
     ``welds`` (the key and welds_in_window) tells which keys stood still: only those can have the symptoms of
     STANDSTILL. Null counts and keys without a row are not known to stand still.
     """
     rules = rule_table(findings.sparkSession)
     needs_aux = F.col("symptom").isin([s[0] for s in SYMPTOMS if s[2]])
-    hits = findings.join(F.broadcast(rules), ["sensor", "direction"]).groupBy(*key, "symptom").agg(F.max((F.col("part") == "core").cast("int")).alias("core"), F.max((F.col("part") == "aux").cast("int")).alias("aux"))
-    full = (F.col("aux") == 1) | ~needs_aux
+    hits = findings.join(F.broadcast(rules), ["sensor", "direction"]).groupBy(*key, "symptom").agg(F.max((F.col("part") == "core").cast("int")).alias("core"), F.max((F.col("part") == "aux").cast("int")).alias("aux"), F.max((F.col("part") == "weak").cast("int")).alias("weak"))
+    full = (F.col("core") == 1) & ((F.col("aux") == 1) | ~needs_aux)
     if welds is None:
         hits = hits.filter(~F.col("symptom").isin(*STANDSTILL))
     else:
         still = welds.filter("welds_in_window = 0").select(*key, F.lit(True).alias("_still")).distinct()
         hits = hits.join(still, key, "left").filter(~F.col("symptom").isin(*STANDSTILL) | F.col("_still"))
-    return hits.filter("core = 1").select(*key, "symptom", F.when(full, "full").otherwise("partial").alias("match"))
+    return hits.filter("core = 1 OR weak = 1").select(*key, "symptom", F.when(full, "full").otherwise("partial").alias("match"))
 
 
 def fault_class(events: DataFrame) -> DataFrame:

@@ -157,6 +157,33 @@ def gbt_bound(rows: DataFrame, features: list[str], label: str, trees: int = 10,
     return scored.select(*rows.columns, "score"), dict(zip(features, model.featureImportances.toArray().tolist(), strict=True))
 
 
+def trigger_classifier(rows: DataFrame, features: list[str], label: str, machine: str = "gun", folds: int = 8) -> DataFrame:
+    """Adds ``score``: the probability that a trigger is a true one, from a model that has not seen its machine.
+
+    Machines are dealt to folds by a digest; each fold is scored by a logistic regression on the others. Where those have
+    one kind of label alone, or no rows, the score is their share of it (null without rows).
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(F.col(machine).cast("string")), F.lit(folds)))
+    vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(dealt)
+    sides = {r["_fold"]: (r["p"], r["n"]) for r in vectors.groupBy("_fold").agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).collect()}  # a row a fold
+    out = None
+    for fold in sides:
+        p, n = (sum(v[i] for k, v in sides.items() if k != fold) for i in (0, 1))
+        own = vectors.filter(F.col("_fold") == fold)
+        if 0 < p < n:
+            model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.1).fit(vectors.filter(F.col("_fold") != fold))
+            scored = model.transform(own).withColumn("score", vector_to_array("probability")[1])
+        else:
+            scored = own.withColumn("score", F.lit(p / n if n else None).cast("double"))
+        scored = scored.select(*rows.columns, "score")
+        out = scored if out is None else out.unionByName(scored)
+    return rows.withColumn("score", F.lit(None).cast("double")) if out is None else out
+
+
 def attribution(rows: DataFrame, features: list[str], reference: DataFrame, score, key: list[str], k: int = 8) -> DataFrame:
     """Top features of each row: how much its score falls with the feature at its reference. ``score`` maps columns by
     name to a score; shares are of the positive contributions."""

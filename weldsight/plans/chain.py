@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weldsight.config import SCALED, Profile
-from weldsight.operators import alarms, features, normalise, shape, windows
+from weldsight.operators import alarms, features, models, normalise, shape, windows
 from weldsight.sources.events import sensor_view
 
 ATTRIBUTED = list(normalise.SCORED_COLUMNS)
@@ -60,6 +61,19 @@ class Chain:
             _KEPT[name, *self.key] = build().persist()
         return _KEPT[name, *self.key]
 
+    #: Inputs of the forest: all window features.
+    FOREST = [f"{c}_{s}" for s in ("mean", "std") for c in windows.FEATURES]
+
+    def forest(self) -> models.Forest:
+        """Grown on normal windows, each drawn by its gun and number."""
+        return models.collected(models.iforest_fit(normalise.normal(self.scored()), self.FOREST, key=["gun", "win"]))
+
+    def forest_alarmed(self) -> DataFrame:
+        """Windows that the forest scores, judged as by the distance: own thresholds after the warm-up."""
+        grown = self.forest()
+        scored, calibration = (models.iforest_score(w.drop("score"), self.FOREST, grown).withColumn("score", F.round("score", 9)) for w in (self.scored(), self.recentred(warm=True)))
+        return alarms.alarms(scored, normalise.gun_threshold(scored, calibration, normalise.global_threshold(scored, self.p.quantile), self.p), self.p)
+
     def thresholds(self, scored: DataFrame) -> DataFrame:
         return self._kept("thresholds", lambda: normalise.gun_threshold(scored, self.calibration(), normalise.global_threshold(scored, self.p.quantile), self.p))
 

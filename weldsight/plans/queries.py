@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weldsight.config import SCALED as P
 from weldsight.config import TERMINAL_CODES
-from weldsight.operators import alarms, eda, evaluate, experiments, features, handoff, models, normalise, shape, windows
+from weldsight.operators import alarms, documents, eda, evaluate, experiments, features, handoff, models, normalise, shape, windows
 from weldsight.plans import oracles
 from weldsight.plans.chain import ATTRIBUTED, Chain
+from weldsight.plans.stored import shared_folder
 from weldsight.streaming import alarms as streaming
+from weldsight.streaming import serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,6 +228,10 @@ add_table("minmax", "part", "p_partkey", "minmax", lambda t: experiments.minmax(
 add_table("by_maximum", "part", "p_partkey", "scaled", lambda t: experiments.by_maximum(t, "p_size"), "SELECT p_partkey, CASE WHEN p_size <> 0 THEN p_size / max(p_size) OVER () ELSE 0.01 END AS scaled FROM part")
 add_table("pareto_front", "supplier", "s_suppkey", "", lambda t: experiments.pareto_front(t, "s_suppkey", ["s_nationkey", "s_acctbal"]), "SELECT s_suppkey FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey <= a.s_nationkey AND b.s_acctbal <= a.s_acctbal AND (b.s_nationkey < a.s_nationkey OR b.s_acctbal < a.s_acctbal))")
 
+add_table("front_distance", "supplier", "", "distance", lambda t: experiments.front_distance(t, experiments.pareto_front(t, "s_suppkey", ["s_nationkey", "s_acctbal"]), ["s_nationkey", "s_acctbal"]), "SELECT avg(sqrt(d)) AS distance FROM (SELECT min(pow(a.s_nationkey - f.s_nationkey, 2) + pow(a.s_acctbal - f.s_acctbal, 2)) AS d FROM supplier a, (SELECT * FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey <= a.s_nationkey AND b.s_acctbal <= a.s_acctbal AND (b.s_nationkey < a.s_nationkey OR b.s_acctbal < a.s_acctbal))) f GROUP BY a.s_suppkey)")
+_BRAND = "(SELECT DISTINCT p_brand, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part WHERE p_size < 51 AND p_retailprice < 1500)"
+add_table("hypervolume", "part", "p_brand", "hypervolume", lambda t: experiments.hypervolume(t, "p_brand", ["p_size", "p_retailprice"], [51.0, 1500.0]), f"SELECT p_brand, coalesce(v, 0) AS hypervolume FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN (SELECT p_brand, sum((51 - a) * (above - b)) AS v FROM (SELECT p_brand, a, b, coalesce(lag(b) OVER (PARTITION BY p_brand ORDER BY a), 1500) AS above FROM {_BRAND} x WHERE NOT EXISTS (SELECT 1 FROM {_BRAND} y WHERE y.p_brand = x.p_brand AND y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b))) GROUP BY p_brand) USING (p_brand)")
+
 # models
 _NODES = [(0, 0, 0, 0.0, 1, 2), (0, 1, 1, 0.0, 3, 4), (0, 2, -1, 0.0, -1, -1), (0, 3, -1, 0.0, -1, -1), (0, 4, -1, 0.0, -1, -1), (1, 0, 1, 0.5, 1, 2), (1, 1, -1, 0.0, -1, -1), (1, 2, 0, 1.0, 3, 4), (1, 3, -1, 0.0, -1, -1), (1, 4, -1, 0.0, -1, -1)]
 
@@ -239,9 +245,23 @@ add("forest_table_score", "gun win", "mean_depth", _table_score, "SELECT gun, wi
 
 
 def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Chain(spark, sf_dir).scored()
-    forest = models.iforest_fit(normalise.normal(w), ATTRIBUTED)
-    return models.iforest_score(w.drop("score"), ATTRIBUTED, forest).select("gun", "win", F.round("score", 6).alias("score"))
+    c = Chain(spark, sf_dir)
+    return models.iforest_score(c.scored().drop("score"), c.FOREST, c.forest()).select("gun", "win", F.round("score", 6).alias("score"))
+
+
+def forest_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the forest with thresholds, alarms and severities, as the main path has them."""
+    c = Chain(spark, sf_dir)
+    levels = alarms.severity(c.forest_alarmed(), alarms.triggers(c.windows(), P), P)
+    return levels.select("gun", "win", "warmup", "score", "threshold", "alarm", "held", "severity")
+
+
+def trigger_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trigger with the chance that it is a true one, by a model of the other machines."""
+    c = Chain(spark, sf_dir)
+    fired = alarms.triggers(c.windows(), P).select("gun", "win", "repeat")
+    rows = c.windows().join(fired, ["gun", "win"]).withColumn("near", (F.col("ttf_s") <= P.label_s).cast("int"))
+    return models.trigger_classifier(rows.select("gun", "win", "repeat", "near", *c.FOREST), c.FOREST, "near").select("gun", "win", "repeat", "near", F.round("score", 6).alias("score"))
 
 
 def pca_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +276,7 @@ def gbt_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("gun", "win", "label", F.round("score", 6).alias("score"))
 
 
-QUERIES |= {"iforest_score": iforest_score, "pca_score": pca_score, "gbt_upper_bound": gbt_upper_bound}
+QUERIES |= {"iforest_score": iforest_score, "forest_alarms": forest_alarms, "trigger_scores": trigger_scores, "pca_score": pca_score, "gbt_upper_bound": gbt_upper_bound}
 
 
 # streaming, run to completion over what the folder holds
@@ -276,9 +296,8 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names, a temporary one only where none is named."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/weldsight-checkpoints"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that spark.checkpoint.dir names."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,3 +338,48 @@ def decision_input(events: DataFrame) -> DataFrame:
 
 
 QUERIES["stream_decisions"] = stream_decisions
+
+
+#: Slots of a request: half a day.
+REQUEST_SLOTS = 72
+
+
+def serving_card(spark: SparkSession, sf_dir: str) -> serving.Card:
+    """The chain's scaler, forest and threshold for online scoring of the event table."""
+    c = Chain(spark, sf_dir)
+    scaler = normalise.scaler_fit(c.rows()).first()
+    grown = c.forest()
+    scored = models.iforest_score(normalise.normal(c.scored()).drop("score"), c.FOREST, grown)
+    medians = evaluate.quantiles(scored, c.FOREST, 0.5)
+    numbers = scored.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
+    return serving.Card(
+        profile=P, inputs=windows.FEATURES, held=("value", "k"), counters={}, duty=("duty_roll", "value", 50.0), share="error_share", welding=("nw", -1.0, 0.5),
+        scaler={x: (scaler[f"{x}_mu"], scaler[f"{x}_sd"]) for x in normalise.SCALED_COLUMNS}, centred=normalise.SCALED_COLUMNS, forest=grown,
+        threshold=evaluate.quantile(scored, "score", P.quantile), reference=np.array([medians[x] for x in c.FOREST]), score_mean=numbers["m"], score_std=numbers["s"] or 1.0,
+    )
+
+
+def serving_input(events: DataFrame, card: serving.Card) -> DataFrame:
+    """The event table's readings as requests of half a day for each machine."""
+    k, us = F.get_json_object("props", "$.k").cast("int"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    codes = F.array(*[F.lit(c) for c in TERMINAL_CODES])
+    code = F.when(F.col("event_type") == "error", codes[F.pmod(k, F.lit(4))]).when(F.col("event_type") == "signup", "E003").otherwise("0")
+    rows = events.select((F.col("user_id") % 8).alias("gun"), us.alias("arrival"), F.floor(us / (P.slot_s * 1_000_000)).cast("long").alias("t"), "value", k.alias("k"), (F.col("event_type") == "view").cast("int").alias("nw"), code.alias("code"), F.lit("").alias("control"))
+    return serving.requests(rows.withColumn("request", F.floor(F.col("t") / REQUEST_SLOTS)), card)
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online scores of the event stream, a row for each request; tests hold them against the same steps outside Spark."""
+    card = serving_card(spark, sf_dir)
+    rows = serving.run(serving_input(_source(spark, sf_dir), card), card, _folder(spark, "scores"))
+    return rows.select("gun", "request", "status", "history", "window_start", "window_end", "windows_scored", F.round("anomaly_score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "gun_norm", "alarm_held", "consecutive_alarms", "rule_triggered", "rule_repeat", "severity", "hands_off")
+
+
+def handoff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested documents of the online results that hand off."""
+    card = serving_card(spark, sf_dir)
+    rows = serving.run(serving_input(_source(spark, sf_dir), card), card, _folder(spark, "handoffs"))
+    return documents.nested(rows, slot_s=P.slot_s, window_s=P.window_slots * P.slot_s)
+
+
+QUERIES |= {"stream_scores": stream_scores, "handoff_documents": handoff_documents}
