@@ -464,3 +464,60 @@ def test_language_of_pages_that_mostly_share_a_host(spark, monkeypatch):
     first = sorted(map(str, langid.identify(pages, train).collect()))
     monkeypatch.setattr(langid, "BROADCAST_NUMBERS", 0)
     assert sorted(map(str, langid.identify(pages, train).collect())) == first and len(first) == 401
+
+
+@pytest.mark.parametrize("pairs", [1 << 21, 500])
+def test_nearest_of_many_queries_by_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(ann, "PAIRS", pairs)
+    monkeypatch.setattr(ann, "LIST_ROWS", 60)  # several parts a list
+    monkeypatch.setattr(ann, "PER_CENTROID", 100)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(900, 6)), rng.normal(size=(30, 1, 6)).repeat(20, 1).reshape(-1, 6) + rng.normal(size=(600, 6)) * 0.05])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(vectors, vectors.filter("vec_id % 4 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    far = np.sqrt(((x[::4, None] - x[None]) ** 2).sum(2))
+    hits = 0
+    for n, q in enumerate(range(0, 1500, 4)):
+        far[n, q] = np.inf
+        want = np.lexsort((np.arange(1500), far[n]))[:10]
+        assert len(got[q]) == 10 and [s for _, s in got[q]] == sorted(s for _, s in got[q])
+        assert all(s == pytest.approx(far[n, v], rel=1e-12) for v, s in got[q])
+        hits += len({v for v, _ in got[q]} & set(want.tolist()))
+    assert len(got) == 375 and hits >= 0.95 * 3750
+
+
+def test_pipeline_drops_what_each_stage_is_for(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        rows.append((i, f"{_words(i, 60)} {'you worthless moron' if bad else 'a quiet day'} {_words(-i - 1, r.randint(40, 80))}", "de" if i % 7 == 0 else "en", f"s{i % 3}", 0))
+        labels.append((i, 1, int(bad)))
+    base = rows[601 - 600][1]  # a clean text
+    edited = base.split()
+    edited[30] = "CHANGED"
+    rows += [(700, base.upper(), "en", "s0", 0), (701, " ".join(edited), "en", "s0", 0), (702, base + " and more", "en", "s1", 0), (703, None, "en", "s0", 0), (704, f"{_words(99_999, 50)} you worthless moron {_words(99_998, 50)}", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).checkpoint()
+        left[name] = {x.doc_id for x in now.select("doc_id").collect()}
+    toxic = {i for i in range(600) if i % 6 == 0} | {704}
+    everything = {x[0] for x in rows}
+    assert left["toxicity"] == everything - toxic
+    assert left["exact_dedup"] == everything - toxic - {1}  # 700 has the same text and the larger id
+    texts = {i: t or "" for i, t, *_ in rows if i in left["exact_dedup"]}
+    classes = _classes_by_brute_force({i: t for i, t in texts.items() if i in (700, 701, 702) or i % 50 == 1})
+    assert classes[701] == classes[700] == classes[702]
+    assert left["near_dedup"] == left["exact_dedup"] - {701, 702}
+    assert left["mixing"] <= left["near_dedup"] and 0.35 * len(left["near_dedup"]) < len(left["mixing"]) < 0.65 * len(left["near_dedup"])
+    out = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == left["mixing"]
+    sha = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t, *_ in rows}
+    assert all(out[i].decoded_sha256 == sha[i] for i in out)

@@ -115,31 +115,53 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+#: Distances that are held at a time.
+PAIRS = 1 << 21
+
+
+def _answers(ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, qids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of each query's k nearest in a part: one product for all queries, and exact distances
+    for those that it puts near enough."""
+    own = (queries * queries).sum(1)
+    about = norms - 2 * (queries @ vectors.T)  # squared distances but for the query's own norm
+    about[ids == qids[:, None]] = np.inf
+    cut_at = bounds * bounds - own
+    if len(ids) > k:
+        cut_at = np.minimum(cut_at, np.partition(about, k - 1, axis=1)[:, k - 1])
+    row, at = np.nonzero((about <= (cut_at + 1e-9 * (own + norms.max()))[:, None]) & np.isfinite(about))
+    score = np.sqrt(((vectors[at] - queries[row]) ** 2).sum(1))
+    order = np.lexsort((ids[at], score, row))
+    row, at, score = row[order], at[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = (place < k) & (score <= bounds[row])
+    return qids[row[kept]], ids[at[kept]], score[kept]
+
+
 def _closest(k: int, dim: int):
-    """The k nearest of a part for each query, and none beyond the query's bound: those that matrix products put near
-    enough are measured exactly."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        if not stored.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        ids = stored.column("vec_id").to_numpy()
-        vectors, queries = (_matrix(t.column("v").combine_chunks(), dim) for t in (stored, asked))
-        bounds, norms = asked.column("bound").to_numpy(), (vectors * vectors).sum(1)
-        out_q, out_v, out_s = [], [], []
-        for qid, q, bound in zip(asked.column("query_id").to_pylist(), queries, bounds.tolist(), strict=True):
-            about = norms - 2 * (vectors @ q)  # squared distances but for the query's own norm
-            about[ids == qid] = np.inf
-            own = float(q @ q)
-            cut_at = min(np.partition(about, k - 1)[k - 1] if len(about) > k else np.inf, bound * bound - own)
-            at = np.flatnonzero((about <= cut_at + 1e-9 * (own + norms.max())) & np.isfinite(about))
-            score = np.sqrt(((vectors[at] - q) ** 2).sum(1))
-            order = np.lexsort((ids[at], score))[:k]
-            order = order[score[order] <= bound]
-            out_q.append(np.full(len(order), qid))
-            out_v.append(ids[at][order])
-            out_s.append(score[order])
-        return pa.table([np.concatenate(x) for x in (out_q, out_v, out_s)], schema=schema)
+    """The k nearest of a part for each query, and none beyond the query's bound. A part's vectors come before the queries
+    that read it; these pass Arrow batch by Arrow batch, so that any number of queries may read a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, part = None, [], None
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("list", "part", "asks")])
+            starts = np.append(0, np.flatnonzero((np.diff(key) != 0).any(0)) + 1) if b.num_rows else []
+            for start, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                rows = b.slice(start, end - start)
+                ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"), dim)
+                if now != (now := tuple(key[:2, start])):
+                    held, part = [], None
+                if not key[2, start]:
+                    held.append((ids, v))
+                    continue
+                if part is None and held:
+                    part = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    part.append((part[1] * part[1]).sum(1))
+                bounds = rows.column("bound").to_numpy()
+                step = max(1, PAIRS // len(part[0])) if part else 0
+                for at in range(0, len(ids), step) if part else ():
+                    some = slice(at, at + step)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _answers(*part, ids[some], v[some], bounds[some], k)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -210,7 +232,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     def search(stored_: DataFrame, asked_: DataFrame) -> DataFrame:
-        return stored_.groupBy("list", "part").cogroup(asked_.groupBy("list", "part")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
+        rows = stored_.select("list", "part", F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "v", F.lit(0.0).alias("bound"))
+        both = rows.unionByName(asked_.select("list", "part", F.lit(1).alias("asks"), F.col("query_id").alias("id"), "v", "bound"))
+        ordered = both.repartition("list", "part").sortWithinPartitions("list", "part", "asks")
+        return ordered.mapInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
 
     def in_lists(asked_: DataFrame) -> DataFrame:
         each = asked_.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
