@@ -145,3 +145,17 @@ def test_shuffled_micro_batches_decide_as_sorted_readings(spark, tmp_path):
     assert before < len(got) == 600
     sink._decide(spark, spark.createDataFrame([(0, 0, 9999, 1, "E029")], "gun int, t long, event_id long, alarm int, code string"), 7, 0)
     assert sink.decided(spark).count() == 600
+
+
+def test_a_forest_is_small_when_it_is_sent(spark):
+    import pickle
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    names = [f"x{i}" for i in range(46)]
+    rows = spark.createDataFrame(pd.DataFrame(r.normal(size=(1500, 46)), columns=names).assign(id=range(1500)))
+    grown = models.collected(models.iforest_fit(rows, names, key=["id"]))
+    sent = pickle.dumps(grown)
+    x = r.normal(size=(50, 46))
+    assert len(grown.roots) == 300 and len(sent) < 1_000_000 and np.array_equal(pickle.loads(sent).score(x), grown.score(x))

@@ -63,3 +63,14 @@ def test_online_scores_of_the_event_stream(spark):
             assert (r.status, r.window_end, r.windows_scored, r.gun_norm, r.severity, r.hands_off) == tuple(want.get(c) for c in ("status", "window_end", "windows_scored", "gun_norm", "severity", "hands_off"))
             assert want.get("anomaly_score") is None or abs(r.score - want["anomaly_score"]) < 1e-5
     assert {r.gun_norm for r in got.values()} >= {"warming_up", "gun"} or {r.gun_norm for r in got.values()} >= {"warming_up", "global"}
+
+
+def test_a_rewritten_folder_gives_its_new_rows(spark, tmp_path):
+    from weldsight.registry import QUERIES
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    counts = []
+    for some in (events, events.filter("event_id % 3 = 0")):
+        some.write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        counts.append(QUERIES["window_stats"](spark, str(tmp_path)).count())
+    assert counts[1] < counts[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,26 +21,39 @@ def _depth(n: float) -> float:
 
 
 class Forest:
-    """A forest's nodes as arrays, all trees one after the other; leaves lead to themselves."""
+    """A forest's nodes as arrays, all trees one after the other; leaves lead to themselves.
+
+    It is pickled compressed: TREES trees of SAMPLE rows come to under 1 MB, above which Spark would send a function as a
+    broadcast variable, which stateful stream processors cannot read on the driver.
+    """
 
     def __init__(self, nodes: pd.DataFrame):
         nodes = nodes.sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
-        start = nodes.groupby("tree").cumcount()  # place in the tree
-        first = np.arange(len(nodes)) - start.to_numpy()
-        leaf = nodes["feature"].to_numpy() < 0
+        start = nodes.groupby("tree").cumcount().to_numpy()  # place in the tree
         here = np.arange(len(nodes))
-        self.feature = np.where(leaf, 0, nodes["feature"]).astype(np.int32)
-        self.split = nodes["split"].to_numpy(float)
-        self.left = np.where(leaf, here, nodes["left"] + first)
-        self.right = np.where(leaf, here, nodes["right"] + first)
-        self.roots = np.flatnonzero(start.to_numpy() == 0)
-        depth = np.zeros(len(nodes))
+        leaf = nodes["feature"].to_numpy() < 0
+        left, right = (np.where(leaf, 0, nodes[c] - start) for c in ("left", "right"))  # as steps from the node
+        self.__setstate__((np.flatnonzero(start == 0), nodes["feature"].to_numpy(), left, right, nodes["size"].to_numpy(), nodes["split"].to_numpy(float)[here[~leaf]]))
+
+    def __getstate__(self) -> tuple:
+        here, inner = np.arange(len(self.left)), self.left != np.arange(len(self.left))
+        parts = (self.roots, np.where(inner, self.feature, -1), self.left - here, self.right - here, self.size)
+        return (*[zlib.compress(x.astype("<i4").tobytes(), 9) for x in parts], self.split[inner].astype("<f8").tobytes())
+
+    def __setstate__(self, state: tuple) -> None:
+        if isinstance(state[0], bytes):
+            state = (*[np.frombuffer(zlib.decompress(x), "<i4") for x in state[:5]], np.frombuffer(state[5], "<f8"))
+        self.roots, feature, left, right, self.size, split = state
+        here, leaf = np.arange(len(feature)), feature < 0
+        self.feature, self.left, self.right = np.where(leaf, 0, feature).astype(np.int32), here + left, here + right
+        self.split = np.zeros(len(here))
+        self.split[~leaf] = split
+        depth = np.zeros(len(here))
         for i in here[~leaf]:  # parents come before children
             depth[self.left[i]] = depth[self.right[i]] = depth[i] + 1
-        size = nodes["size"].to_numpy()
         self.levels = int(depth.max(initial=0))
-        self.depth = depth + np.where(leaf, [_depth(n) for n in size], 0.0)
-        self.expected = max(sum(_depth(n) for n in size[self.roots]), 1e-9)
+        self.depth = depth + np.where(leaf, [_depth(n) for n in self.size], 0.0)
+        self.expected = max(sum(_depth(n) for n in self.size[self.roots]), 1e-9)
 
     def score(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
         """2 to the minus mean depth over the expected depth, for each row of ``x``."""

@@ -16,6 +16,14 @@ ATTRIBUTED = list(normalise.SCORED_COLUMNS)
 _KEPT: dict[tuple, DataFrame] = {}
 
 
+def _written(spark: SparkSession, path: str) -> tuple:
+    """When the files at a path were written and how long they are: a folder that is rewritten is another one."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getModificationTime(), f.getLen()) for f in files.listStatus(at)))
+
+
 class Chain:
     """Stages as lazy frames; each is asked for by name."""
 
@@ -23,7 +31,7 @@ class Chain:
         self.p = profile
         self.sensor = sensor_view(spark, sf_dir, profile)
         self.spark = spark
-        self.key = (spark.sparkContext.applicationId, sf_dir, profile)
+        self.key = (spark.sparkContext.applicationId, sf_dir, profile, _written(spark, f"{sf_dir}/events.parquet"))
 
     def grid(self) -> DataFrame:
         return shape.carry_code(shape.grid_align(shape.dedup_last(self.sensor)))
