@@ -25,5 +25,9 @@ def sensor_view(spark: SparkSession, sf_dir: str, profile: Profile = SCALED) ->
         (F.col("event_type") == "view").alias("nw"),
         (F.col("event_type") == "purchase").cast("int").alias("buy"),
     )
-    arrival = Window.partitionBy("gun").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("slot", F.floor(F.col("us") / (profile.slot_s * 1_000_000)).cast("long")).withColumn("buys", F.sum("buy").over(arrival)).drop("buy")
+    rows = rows.withColumn("slot", F.floor(F.col("us") / (profile.slot_s * 1_000_000)).cast("long"))
+    # the running count is that of the slots before and a gun's readings within its slot: only slots are summed by gun
+    earlier = Window.partitionBy("gun").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("gun", "slot").agg(F.sum("buy").alias("_n")).select("gun", "slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    arrival = Window.partitionBy("gun", "slot").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, ["gun", "slot"]).withColumn("buys", F.col("_before") + F.sum("buy").over(arrival)).drop("buy", "_before")
