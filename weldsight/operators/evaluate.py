@@ -90,11 +90,12 @@ def auroc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     return placed.groupBy(*by).agg(F.when(pairs > 0, F.sum("won") / pairs).alias("auroc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
-def auprc(scored: DataFrame) -> DataFrame:
-    """Average precision: precision at each score, weighted by the recall it adds."""
-    counts = _sides(scored).groupBy("score").agg(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("c"))
-    steps = _before(counts, [], ["p", "c"], down=True)
-    return steps.agg((F.sum(F.col("p") * (F.col("_p") + F.col("p")) / (F.col("_c") + F.col("c"))) / F.sum("p")).alias("auprc"))
+def auprc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Average precision, over all rows or by keys: precision at each score, weighted by the recall it adds."""
+    by = by or []
+    counts = _sides(scored).groupBy(*by, "score").agg(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("c"))
+    steps = _before(counts, by, ["p", "c"], down=True)
+    return steps.groupBy(*by).agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * (F.col("_p") + F.col("p")) / (F.col("_c") + F.col("c"))) / F.sum("p")).alias("auprc"))
 
 
 def auroc_of_guns(scored: DataFrame) -> DataFrame:
