@@ -6,24 +6,49 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import SparkSession, Window
+from pyspark.sql import functions as F
 
 from weldsight.config import REAL
-from weldsight.plans import machine
+from weldsight.plans import exploration, machine
 
 PROFILE = dataclasses.replace(REAL, label_s=600)
 
 
+N = 7200
+#: Fixed values of the fixture: each column's kind and numbers. "normal" takes mean and deviation, "chance" a probability,
+#: "pressed" a probability of a normal value and 0 else, "counter" the probability of a step, "switch" that of on.
+COLUMNS = {
+    "c1": ("normal", 2, 0.5), "c2": ("pressed", 0.3, 2400, 50), "c3": ("normal", 140, 2), "c4": ("chance", 0.3), "c5": ("normal", 480, 3), "c6": ("normal", -65, 3), "c7": ("constant", 222.3),
+    "c8": ("constant", 4309), "c9": ("constant", 132), "c10": ("switch", 0.9), "c11": ("counter", 0.3), "c12": ("counter", 0.5), "c13": ("constant", 14.99), "c14": ("constant", 2200),
+    "c15": ("constant", 150), "c16": ("constant", 1.6), "c17": ("constant", 1), "c18": ("chance", 0.3), "c19": ("normal", 1.02e9, 5e4),
+}
+#: Fixed values of what is planted, by second: a ramp of c5 up to a height, blocks without welding, states, missing readings.
+RAMP, IDLE, STATE, TERMINAL = (6600, 40.0), (1530, 1800), (3000, 3300), 6900
+MISSING = [(100, 102), (500, 501), (2400, 2490)]
+
+
+def _column(i, kind, *numbers):
+    """A column of its kind, from a seed of its own."""
+    at, chance, bell = F.col("id"), lambda p: (F.rand(i) < p).cast("int"), lambda mean, sd: mean + sd * F.randn(1000 + i)
+    if kind == "counter":
+        return F.sum(chance(numbers[0])).over(Window.orderBy(at))
+    made = {"normal": bell, "chance": chance, "constant": F.lit, "pressed": lambda p, *n: F.when(F.rand(i) < p, bell(*n)).otherwise(0.0), "switch": lambda p: F.when(F.rand(i) < p, "on").otherwise("off")}
+    return made[kind](*numbers)
+
+
 def synthetic(folder, name, code, seed):
-    r, n = np.random.default_rng(seed), 7200
-    at = np.arange(n)
-    normal = lambda mean, sd: r.normal(mean, sd, n)
-    data = {"time": pd.date_range("2024-01-01 06:00:00", periods=n, freq="s").strftime("%Y-%m-%dT%H:%M:%SZ")}
-    data |= {"c1": normal(2, 0.5), "c2": np.where(r.random(n) < 0.3, normal(2400, 50), 0), "c3": normal(140, 2), "c4": r.random(n) < 0.3, "c5": normal(480, 3) + np.clip((at - (n - 600)) / 600, 0, 1) * 40, "c6": normal(-65, 3), "c7": 222.3, "c8": 4309, "c9": 132}
-    data |= {"c10": np.where(r.random(n) < 0.9, "on", "off"), "c11": np.cumsum(r.random(n) < 0.3), "c12": np.cumsum(r.random(n) < 0.5), "c13": 14.99, "c14": 2200, "c15": 150, "c16": np.where((at >= 1530) & (at < 1800), 0, 1.6), "c17": 1, "c18": r.random(n) < 0.3, "c19": normal(1.02e9, 5e4)}
-    data["error"] = np.where(at >= n - 300, code, np.where((at >= 3000) & (at < 3300), "E003", "0"))
-    frame = pd.DataFrame(data).astype({"c4": int, "c18": int}).drop([100, 101, 500, *range(2400, 2490)])
+    """One machine's two hours up to its failure, with the state code of its class at the end."""
+    spark, at = SparkSession.active(), F.col("id")
+    rows = spark.range(0, N, 1, 1).select("id", *[_column(100 * seed + i, *kind).alias(c) for i, (c, kind) in enumerate(COLUMNS.items())])
+    rows = rows.withColumn("c5", F.col("c5") + F.when(at >= RAMP[0], (at - RAMP[0]) / (N - RAMP[0]) * RAMP[1]).otherwise(0.0))
+    rows = rows.withColumn("c16", F.when(at.between(IDLE[0], IDLE[1] - 1), 0.0).otherwise(F.col("c16")))
+    rows = rows.withColumn("error", F.when(at >= TERMINAL, code).when(at.between(STATE[0], STATE[1] - 1), "E003").otherwise("0"))
+    for a, b in MISSING:
+        rows = rows.filter(~at.between(a, b - 1))
+    frame = rows.withColumn("time", F.date_format(F.timestamp_seconds(at + 1704088800), "yyyy-MM-dd'T'HH:mm:ss'Z'")).toPandas().sort_values("id")
     os.makedirs(folder, exist_ok=True)
-    frame.to_csv(f"{folder}/{name}.csv", index=False)
+    frame[["time", *COLUMNS, "error"]].to_csv(f"{folder}/{name}.csv", index=False)
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +107,30 @@ def test_inputs_and_scale_modes(spark, made):
     assert machine.scaled(rows, None, "none") is rows
     high = machine.non_welding(spark.createDataFrame([(0.0,), (1.6,), (9.0,), (None,)], "c16 double"), high=5.0)
     assert [r.nw for r in high.collect()] == [True, False, True, False]
+
+
+def test_tables_of_the_files(spark, made):
+    exploration.explore(spark, f"{made}/out", f"{made}/eda", PROFILE)
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{made}/eda/{name}")
+    files = {r.gun: r for r in read("file_summary").collect()}
+    one, few = files["E01_0"], files["E02_2"]
+    assert len(one) >= 40 and (one.n_raw_rows, one.n_grid, one.n_gaps, one.longest_gap, one.gaps_over_1h, one.discarded) == (7107, 7200, 3, 90, 0, 0)
+    assert (one.n_error_episodes, one.n_error_codes, one.last_code, one.last_code_end_s, one.last_code_duration_s, one.last_codes) == (2, 2, "E012", 0, 300, "E012")
+    assert one.top_code == "E012" and one.missing_rate == pytest.approx(93 / 7200) and one.outlier_rate == pytest.approx(270 / 7107) and one.error_state_share == pytest.approx(600 / 7200)
+    raw = pd.read_csv(f"{made}/in/E01_0.csv")
+    assert one.welds_total == raw.c11.iloc[-1] - raw.c11.iloc[0] and one.welds_per_hour == pytest.approx(one.welds_total / (7199 / 3600)) and one.nunique_c1 == raw.c1.nunique() and one.nunique_c7 == 1
+    assert (few.discarded, few.n_gaps, few.n_error_episodes, few.last_code, few.top_code) == (1, 2, 0, None, None)  # '' in a CSV is read as null
+    classes = {r["class"]: r for r in read("class_summary").collect()}
+    assert set(classes) == {"E01", "E02", "E04"} and classes["E02"].discarded == 1 and classes["E01"].outlier_rate == pytest.approx(one.outlier_rate)
+    gaps = {r["class"]: r for r in read("gap_stats").collect()}
+    assert (gaps["E01"].n, gaps["E01"].max, gaps["E01"].p50, gaps["all"].n) == (3, 90, 2, 8)
+    near = {r["class"]: r for r in read("codes_in_last10min_by_class").collect()}
+    assert (near["E01"].E012, near["E01"].E003, near["E04"].E029, near["E02"].E012) == (1, 0, 1, 0)
+    last = {r["class"]: r for r in read("last_code_by_class").collect()}
+    assert (last["E02"].none, last["E04"].E029, last["E01"].none) == (1, 1, 0)
+    episodes = {(r["class"], r.code): r for r in read("error_code_stats_by_class").collect()}
+    assert (episodes["E04", "E003"].episodes, episodes["E04", "E003"].median_duration_s, episodes["E04", "E029"].min_ttf_end_h) == (1, 300, 0)
+    hours = read("hourly_ttf_profile_by_file").filter("gun = 'E01_0'").orderBy("ttf_h").collect()
+    assert [(r.ttf_h, r.n) for r in hours] == [(0, 3600), (1, 3507)] and hours[0].c5_mean > hours[1].c5_mean + 2
+    report = "\n".join(r.value for r in spark.read.text(f"{made}/eda/report.md").collect())
+    assert "3 files, 14217 readings, 1 files discarded, 4 episodes" in report and read("target_correlations").count() == 18

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weldsight.operators.shape import by_gun, past
 
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
 
 def episodes(rows: DataFrame) -> DataFrame:
     """Unbroken runs of one state code other than 0."""
@@ -61,13 +67,54 @@ def column_constancy(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlations(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of columns; null where one is constant. One aggregate over all pairs."""
+    """Pearson correlation of every pair of columns over rows that have both; null where one is constant. One aggregate
+    over all pairs, from covariance and deviations: ``corr`` itself fails on constant columns in ANSI mode."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = rows.groupBy(*(by or [])).agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(f"p{i}"), F.col(f"p{i}")).alias("corr")) for i, (a, b) in enumerate(pairs)])
+
+    def corr(a: str, b: str) -> Column:
+        x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+    wide = rows.groupBy(*(by or [])).agg(*[corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
     return wide.select(*(by or []), F.explode(cells).alias("c")).select(*(by or []), "c.*")
 
 
+def correlation_matrix(rows: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """``correlations`` of many columns: each partition adds up its sums of products as matrices, around the columns'
+    means of the key, and Spark adds those by pair. A column whose deviation is under a millionth of what the rows of a pair
+    differ from its mean, or a billionth of that mean, counts as constant."""
+    key = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
+    keyed = rows.select(key.alias("key"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    means = keyed.groupBy("key").agg(F.array(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)) for i in range(len(columns))]).alias("m"))
+    places = np.triu_indices(len(columns))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            coded = b.column(0).dictionary_encode()
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+            for i, name in enumerate(names):
+                part = x[codes == i]
+                here = (~np.isnan(part)).astype(float)
+                part = np.where(here > 0, part, 0.0)
+                square = part * part
+                held[name] = held.get(name, 0.0) + np.stack([here.T @ here, part.T @ here, here.T @ part, square.T @ here, here.T @ square, part.T @ part])
+        for name, sums in held.items():
+            cells = [s[places] for s in sums]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places[0]), pa.string()), *[pa.array(p, pa.int32()) for p in places], *[pa.array(c) for c in cells]], names=["key", "i", "j", *_SUMS])
+
+    around = keyed.join(means, "key").select("key", *[(F.col(f"x{i}") - F.col("m")[i]).alias(f"x{i}") for i in range(len(columns))])
+    sums = around.mapInArrow(partial, "key string, i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
+    total = sums.groupBy("key", "i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS]).filter("n > 0").join(means, "key")
+    x, y = F.col("x") / F.col("n"), F.col("y") / F.col("n")
+    names = F.array(*[F.lit(c) for c in columns])
+    moved = total.select("key", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), (F.col("xy") / F.col("n") - x * y).alias("c"), *[v.alias(n) for n, v in (("vx", F.col("xx") / F.col("n") - x * x), ("vy", F.col("yy") / F.col("n") - y * y), ("lx", 1e-12 * x * x + 1e-18 * F.col("m")[F.col("i")] ** 2), ("ly", 1e-12 * y * y + 1e-18 * F.col("m")[F.col("j")] ** 2))])
+    corr = F.when((F.col("vx") > F.col("lx")) & (F.col("vy") > F.col("ly")), F.try_divide(F.col("c"), F.sqrt("vx") * F.sqrt("vy"))).alias("corr")
+    return moved.select(*([F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias(by)] if by else []), "a", "b", corr)
+
+
 def code_share_by_ttf(rows: DataFrame, bucket) -> DataFrame:
     counts = rows.withColumn("bucket", bucket).groupBy("class", "bucket", "code").agg(F.count(F.lit(1)).alias("slots"))
     return counts.withColumn("share", F.col("slots") / F.sum("slots").over(Window.partitionBy("class", "bucket")))
