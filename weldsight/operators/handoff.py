@@ -85,5 +85,11 @@ def documents(events: DataFrame, findings: DataFrame, symptoms: DataFrame) -> Da
     )
 
 
-def outbox(documents_: DataFrame, limit: int = 50) -> DataFrame:
-    return documents_.orderBy(F.desc("win"), "gun").limit(min(1000, max(1, limit)))
+def outbox(documents_: DataFrame, limit: int = 50, gun=None, delivery: str | None = None, capacity: int = 1000) -> DataFrame:
+    """The newest ``limit`` documents among the newest ``capacity``, on demand of one gun or in one state of delivery."""
+    newest = [F.desc("win"), F.asc("gun")]
+    held = documents_.orderBy(*newest).limit(capacity)
+    for column, wanted in (("gun", gun), ("delivery", delivery)):
+        if wanted is not None:
+            held = held.filter(F.col(column) == wanted)
+    return held.orderBy(*newest).limit(min(capacity, max(1, limit)))

@@ -16,7 +16,7 @@ from weldsight.plans import oracles
 from weldsight.plans.chain import ATTRIBUTED, Chain
 from weldsight.plans.stored import shared_folder
 from weldsight.streaming import alarms as streaming
-from weldsight.streaming import serving
+from weldsight.streaming import replay, serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,6 +200,9 @@ _DOCS = f"""SELECT gun, win, md5(gun || '|' || win || '|' || CASE WHEN fired = 1
 add("handoff_doc", "gun win event_id fault basis symptoms situations confidence", "", _documents, _DOCS)
 add("outbox_latest", "gun win event_id fault", "", lambda c: handoff.outbox(_documents(c), 20), f"SELECT * FROM ({_DOCS}) ORDER BY win DESC, gun LIMIT 20")
 
+#: One machine's documents among the newest hundred.
+add("outbox_of_gun", "gun win event_id fault", "", lambda c: handoff.outbox(_documents(c), 20, gun=3, capacity=100), f"SELECT * FROM (SELECT * FROM ({_DOCS}) ORDER BY win DESC, gun LIMIT 100) WHERE gun = 3 ORDER BY win DESC LIMIT 20")
+
 # experiments
 _SERIES = "SELECT *, (score - m) / s AS z, row_number() OVER (PARTITION BY gun ORDER BY win) AS i FROM scored, (SELECT avg(score) AS m, stddev_pop(score) AS s FROM scored WHERE label = 0 AND error_active = 0)"
 
@@ -382,4 +385,11 @@ def handoff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.nested(rows, slot_s=P.slot_s, window_s=P.window_slots * P.slot_s)
 
 
-QUERIES |= {"stream_scores": stream_scores, "handoff_documents": handoff_documents}
+def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the online scores of the event stream come to, a row for each machine."""
+    card = serving_card(spark, sf_dir)
+    rows = serving.run(serving_input(_source(spark, sf_dir), card), card, _folder(spark, "replay"))
+    return replay.summary(rows).withColumn("top_score", F.round("top_score", 6))
+
+
+QUERIES |= {"stream_scores": stream_scores, "handoff_documents": handoff_documents, "replay_summary": replay_summary}
