@@ -11,7 +11,7 @@ from tests.test_machine import synthetic
 from weldsight.config import REAL
 from weldsight.operators import evaluate
 from weldsight.plans import bundle, machine
-from weldsight.streaming import serving
+from weldsight.streaming import replay, serving
 
 PROFILE = dataclasses.replace(REAL, label_s=600, warmup_s=1800)
 
@@ -179,6 +179,29 @@ def test_a_whole_file_in_requests(served):
         before = r.critical_in_request
 
 
+def test_a_file_is_replayed_in_waves(spark, made, served, tmp_path):
+    card, readings = made[1].card(), spark.read.parquet(f"{made[0]}/out_test/readings")
+    with pytest.raises(ValueError):
+        replay.as_requests(readings, card, chunk_s=1201)
+    answers = replay.play(readings, card, str(tmp_path / "state"), chunk_s=300, wave_s=3600)
+    rows = {r.request: r for r in answers.collect()}
+    assert set(rows) == set(range(25)) and rows[0].status == "unknown"  # nothing to reset yet
+    for i in range(24):
+        want = served[0]["RP", i]
+        assert (rows[i + 1].status, rows[i + 1].window_end, rows[i + 1].windows_scored, rows[i + 1].rule_triggered, rows[i + 1].severity, rows[i + 1].hands_off) == (want.status, want.window_end, want.windows_scored, want.rule_triggered, want.severity, want.hands_off)
+        assert rows[i + 1].anomaly_score == pytest.approx(want.anomaly_score, abs=1e-9)
+    replay.write_answers(answers, str(tmp_path / "out"))
+    one = spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/out/summary").first()
+    done = [rows[i] for i in range(1, 25)]
+    assert (one.gun, one.requests, one.scored + one.not_ready, one.refused, one.triggers, one.repeats) == ("test_0", 24, 24, 0, 1, 0)
+    assert (one.windows, one.events, one.last_severity) == (sum(r.windows_scored or 0 for r in done), sum(bool(r.hands_off) for r in done), done[-1].severity)
+    assert one.top_score == pytest.approx(max(r.anomaly_score for r in done if r.anomaly_score is not None)) and one.first_critical == min(r.window_end for r in done if r.critical_in_request)
+    kept = spark.read.json(f"{tmp_path}/out/responses")
+    assert kept.count() == 25 and {"gun", "request", "severity", "contributions"} <= set(kept.columns)
+    late = replay.as_requests(readings, card, 300, start_hours=1.5, reset=False).toPandas()
+    assert late.request.min() == 19 and (late.control == "").all()
+
+
 def test_reset_and_status(spark, served):
     rows, folder = served
     assert (rows["gone", 1].status, rows["gone", 2].status, rows["gone", 3].status, rows["gone", 3].n_samples) == ("reset", "unknown", "warming_up", 30)
