@@ -1,6 +1,7 @@
 """The fitted bundle on synthetic machines, and online scoring of its streams against the batch result."""
 
 import dataclasses
+import json
 
 import numpy as np
 import pandas as pd
@@ -48,12 +49,29 @@ def test_bundle(spark, made):
     assert set(scores.columns) == set(bundle.SCORE_COLUMNS)
     rows = scores.orderBy("window_start").toPandas()
     assert (rows.warmup.iloc[0], rows.warmup.iloc[-1]) == (1, 0) and np.allclose(rows.threshold[rows.warmup == 1], fitted.threshold) and (rows.threshold[rows.warmup == 0] >= fitted.threshold - 1e-9).all()
+    card = {(r.part, r.name): r for r in bundle.model_card(spark, f"{root}/models").collect()}
+    assert card["model", "trees"].value == 60 and card["model", "threshold"].value == fitted.threshold and card["model", "mode"].text == "center" and card["figure", "auroc"].value == report.auroc
+    parts = [part for part, _ in card]
+    assert (parts.count("input"), parts.count("dropped"), parts.count("scaler")) == (46, 1, 2 * len(fitted.scaler)) and ("dropped", "c19") in card and ("test_file", "test_0") in card and "train_file" in parts
     for wrong in ({"scale": "per-file"}, {"resample": "5s"}):
         bundle.write_bundle(spark, dataclasses.replace(fitted, **wrong), f"{root}/wrong")
         with pytest.raises(ValueError):
             bundle.read_bundle(spark, f"{root}/wrong")
 
 
+def test_a_bundle_that_lacks_settings_gets_their_defaults(spark, made, tmp_path):
+    root, fitted = made
+    bundle.write_bundle(spark, fitted, str(tmp_path))
+    settings = json.loads(spark.read.text(f"{tmp_path}/bundle.json").first()[0])
+    for name in ("mode", "scale", "resample", "welding", "score_mean", "score_std"):
+        settings.pop(name)
+    settings["profile"].pop("gate")
+    spark.createDataFrame([(json.dumps(settings),)], "value string").write.mode("overwrite").text(f"{tmp_path}/bundle.json")
+    again = bundle.read_bundle(spark, str(tmp_path))
+    assert (again.mode, again.score_std, again.welding, again.profile.gate, again.threshold) == (None, 1.0, (0.0, None), bundle.REAL.gate, fitted.threshold)
+    assert {r.part for r in bundle.model_card(spark, str(tmp_path)).collect()} == {"model", "preprocess", "scaler", "input", "dropped"}
+
+
 def test_class_comes_from_the_end_and_bad_readings_are_kept_apart(spark, tmp_path):
     n = 3700
     frame = pd.DataFrame({"time": pd.date_range("2024-01-01 06:00:00", periods=n, freq="s").strftime("%Y-%m-%dT%H:%M:%SZ")} | {f"c{i}": 1.0 for i in range(1, 20)} | {"error": ["E012"] * 5 + ["0"] * (n - 5)})

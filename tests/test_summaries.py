@@ -15,7 +15,7 @@ from weldsight.sources import files
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["file_report", "class_report", "episode_report", "last_code_by_class", "codes_at_the_end", "hourly_ttf_profile", "gap_report", "fold_metrics", "auroc_bands", "class_filters", "held_share", "rule_summary", "feature_scale", "unscaled_context", "maintenance_history", "history_48", "score_matrix_transposed", "list_add", "outbox_of_gun"])
+@pytest.mark.parametrize("name", ["file_report", "class_report", "episode_report", "last_code_by_class", "codes_at_the_end", "hourly_ttf_profile", "gap_report", "fold_metrics", "auroc_bands", "class_filters", "held_share", "rule_summary", "feature_scale", "unscaled_context", "maintenance_history", "history_48", "score_matrix_transposed", "list_add", "outbox_of_gun", "model_card"])
 def test_equal_to_sql(spark, name):
     from weldsight.registry import ORACLES, QUERIES
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from weldsight.config import Profile
 
+#: Slots of the grid that a row lays out.
+BLOCK = 4096
+
 
 def by_gun(order: str = "slot"):
     return Window.partitionBy("gun").orderBy(order)
@@ -28,9 +31,11 @@ def dedup_last(readings: DataFrame) -> DataFrame:
 
 
 def grid_align(rows: DataFrame) -> DataFrame:
-    """Every slot from a gun's first to its last, absent ones null, with a flag for those present."""
+    """Every slot from a gun's first to its last, absent ones null, with a flag for those present. Slots are laid out in
+    blocks, so that no row holds a gun's whole span."""
     span = rows.groupBy("gun").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.first("class").alias("class"))
-    grid = span.select("gun", "class", F.explode(F.sequence("a", "b")).alias("slot"))
+    blocks = span.select("*", F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor(F.col("b") / BLOCK))).alias("_block"))
+    grid = blocks.select("gun", "class", F.explode(F.sequence(F.greatest("a", F.col("_block") * BLOCK), F.least("b", F.col("_block") * BLOCK + (BLOCK - 1)))).alias("slot"))
     joined = grid.join(rows.drop("class").withColumn("_here", F.lit(1)), ["gun", "slot"], "left")
     return joined.withColumn("present", F.coalesce("_here", F.lit(0))).drop("_here")
 

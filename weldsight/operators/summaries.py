@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -225,3 +226,9 @@ def list_add(rows: DataFrame, by: str, column: str) -> DataFrame:
     """Lists of a key added element by element: (key, position, total, n); shorter lists end early."""
     each = rows.select(by, F.posexplode(column).alias("position", "x"))
     return each.groupBy(by, "position").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("x").alias("n"))
+
+
+def card(parts: dict[str, DataFrame]) -> DataFrame:
+    """part, name, value: the numbers of one-row frames, a row for each."""
+    rows = [one.select([F.col(c).cast("double").alias(c) for c in one.columns]).unpivot([], one.columns, "name", "value").select(F.lit(part).alias("part"), "name", "value") for part, one in parts.items()]
+    return reduce(DataFrame.unionByName, rows)

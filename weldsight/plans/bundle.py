@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weldsight.config import REAL, TERMINAL_CODES, Profile
-from weldsight.operators import alarms, evaluate, models, normalise
+from weldsight.operators import alarms, evaluate, models, normalise, summaries
 from weldsight.plans import machine
 from weldsight.plans.stored import stored
 from weldsight.streaming.serving import Card
@@ -126,26 +126,52 @@ def metrics(windows: DataFrame, profile: Profile) -> DataFrame:
     return out
 
 
-def write_bundle(spark: SparkSession, bundle: Bundle, target: str, report: DataFrame | None = None) -> None:
-    """forest (Parquet), bundle.json and, with a report of ``metrics``, metrics.json below ``target``."""
+def write_bundle(spark: SparkSession, bundle: Bundle, target: str, report: DataFrame | None = None, files: DataFrame | None = None) -> None:
+    """forest (Parquet), bundle.json and, with a report of ``metrics``, metrics.json below ``target``, with ``files``
+    (split, file) also the files that it was fitted and judged on."""
     spark.createDataFrame(bundle.nodes, models.TREE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{target}/forest")
     settings = dataclasses.asdict(bundle) | {"nodes": None, "codes": list(TERMINAL_CODES)}
     spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/bundle.json")
     if report is not None:
         report.coalesce(1).write.mode("overwrite").json(f"{target}/metrics.json")
+    if files is not None:
+        files.coalesce(1).write.mode("overwrite").json(f"{target}/files.json")
 
 
 def read_bundle(spark: SparkSession, source: str) -> Bundle:
-    """A bundle as it was written. One whose data were scaled by file or resampled cannot be served and is refused."""
-    settings = json.loads(spark.read.text(f"{source}/bundle.json").first()[0])
+    """A bundle as it was written; settings that an older one lacks get their defaults. One whose data were scaled by file or resampled cannot be served and is refused."""
+    settings = {"mode": None, "scale": "global", "resample": None, "welding": (0.0, None), "score_mean": 0.0, "score_std": 1.0} | json.loads(spark.read.text(f"{source}/bundle.json").first()[0])
     if settings["scale"] != "global" or settings["resample"]:
         raise ValueError("a bundle with per-file scale or resampling cannot be served")
     nodes = spark.read.schema(models.TREE_SCHEMA).parquet(f"{source}/forest").toPandas()
-    profile = Profile(**settings["profile"])
+    profile = dataclasses.replace(REAL, **settings["profile"])
     scaler = {c: tuple(v) for c, v in settings["scaler"].items()}
     return Bundle(profile, tuple(settings["inputs"]), settings["mode"], scaler, nodes, settings["threshold"], settings["score_mean"], settings["score_std"], tuple(settings["reference"]), tuple(settings["welding"]))
 
 
+def model_card(spark: SparkSession, source: str) -> DataFrame:
+    """part, name, value and text of a bundle that ``train`` wrote: its settings, scaler, inputs with their reference values,
+    input columns that were left out, figures of its evaluation and files. A bundle without a report or files has none of
+    those rows."""
+    made = read_bundle(spark, source)
+    rows = [("model", "mode", None, made.mode or "none"), ("model", "trees", float(made.nodes["tree"].nunique()), None)]
+    rows += [("model", n, float(getattr(made, n)), None) for n in ("threshold", "score_mean", "score_std")]
+    rows += [("preprocess", n, float(getattr(made.profile, n)), None) for n in ("slot_s", "gap_slots", "window_slots", "rolling_slots", "gate", "quantile")]
+    rows += [("preprocess", n, v, None) for n, v in zip(("welding_low", "welding_high"), made.welding, strict=True)]
+    rows += [("scaler", f"{c}_{n}", float(v), None) for c, pair in made.scaler.items() for n, v in zip(("mu", "sd"), pair, strict=True)]
+    rows += [("input", c, float(v), None) for c, v in zip(made.columns, made.reference, strict=True)]
+    rows += [("dropped", c, None, None) for c in machine.MODEL_FEATURES if c not in made.inputs]
+    out = spark.createDataFrame(rows, "part string, name string, value double, text string")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    there = {f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+    if "metrics.json" in there:
+        out = out.unionByName(summaries.card({"figure": spark.read.json(f"{source}/metrics.json")}).withColumn("text", F.lit(None).cast("string")))
+    if "files.json" in there:
+        files = spark.read.schema("split string, file string").json(f"{source}/files.json")
+        out = out.unionByName(files.select(F.concat(F.col("split"), F.lit("_file")).alias("part"), F.col("file").alias("name"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("text")))
+    return out
+
+
 def read_scaler(spark: SparkSession, source: str) -> dict[str, tuple[float, float]]:
     """Mean and deviation of each scaled column that ``machine.preprocess`` wrote below ``source``."""
     row = spark.read.json(f"{source}/scaler.json").first().asDict()
@@ -157,7 +183,9 @@ def train(spark: SparkSession, source: str, target: str, test: str | None = None
     those of the test split where its folder is given."""
     rows = machine.read_series(spark, source)
     made = fit(rows, read_scaler(spark, source), **settings)
-    windows = stored(judged(machine.read_series(spark, test) if test else rows, made))
-    write_bundle(spark, made, target, metrics(windows, made.profile))
+    judged_on = machine.read_series(spark, test) if test else rows
+    windows = stored(judged(judged_on, made))
+    files = [one.select(F.lit(split).alias("split"), F.col("gun").alias("file")).distinct() for split, one in (("train", rows), ("test", judged_on))]
+    write_bundle(spark, made, target, metrics(windows, made.profile), files[0].unionByName(files[1]))
     write_scores(windows, made.profile, f"{target}/scores")
     return made

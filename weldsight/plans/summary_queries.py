@@ -9,7 +9,7 @@ from weldsight.config import SCALED as P
 from weldsight.config import TERMINAL_CODES
 from weldsight.operators import alarms, evaluate, normalise, shape, summaries, windows
 from weldsight.plans import oracles
-from weldsight.plans.chain import Chain
+from weldsight.plans.chain import ATTRIBUTED, Chain
 from weldsight.plans.queries import add, add_table
 
 #: The event table's columns in the places of the machine's: views for a block without welding, purchases for welds.
@@ -110,3 +110,26 @@ _KIND = "SELECT *, CASE WHEN label = 1 THEN 'failing' WHEN error_active = 1 THEN
 add("score_matrix", "gun", " ".join(_METHODS), _matrix, "SELECT gun, " + ", ".join(f"quantile_cont(score, 0.5) FILTER (kind = '{m}') AS {m}" for m in _METHODS) + f" FROM ({_KIND}) GROUP BY gun")
 add("score_matrix_transposed", "method", " ".join(f"run_{g}" for g in _GUNS), lambda c: summaries.transposed(_matrix(c), "gun", _METHODS, _GUNS), "SELECT m AS method, " + ", ".join(f"quantile_cont(score, 0.5) FILTER (gun = {g} AND kind = m) AS run_{g}" for g in _GUNS) + f" FROM (SELECT unnest({_METHODS}) AS m), ({_KIND}) GROUP BY m")
 add_table("list_add", "embeddings", "label position n", "total", lambda t: summaries.list_add(t, "label", "embedding"), "SELECT label, CAST(p - 1 AS INT) AS position, count(x) AS n, sum(CAST(x AS DOUBLE)) AS total FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY ALL")
+
+
+def _card(c: Chain) -> DataFrame:
+    s = c.scored()
+    data = s.agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("gun").alias("files"), F.sum(((F.col("label") == 0) & (F.col("error_active") == 0)).cast("int")).alias("training_windows"))
+    return summaries.card({
+        "data": data, "scaler": normalise.scaler_fit(c.rows()), "reference": normalise.feature_reference(s, ATTRIBUTED), "model": normalise.global_threshold(s, P.quantile),
+        "ranking": evaluate.auroc(s).select("auroc"), "precision": evaluate.auprc(s), "alarms": evaluate.alarm_rates(c.alarmed()).select("normal_rate", "recall", "held"),
+    })
+
+
+_QUIET = "label = 0 AND error_active = 0"
+_CARD = {
+    "data": ("windows files training_windows", f"SELECT count(*) AS windows, count(DISTINCT gun) AS files, count(*) FILTER ({_QUIET}) AS training_windows FROM scored"),
+    "scaler": ("value_mu value_sd k_mu k_sd", "SELECT * FROM scaler"),
+    "reference": (" ".join(ATTRIBUTED), "SELECT " + ", ".join(f"quantile_cont({x}, 0.5) AS {x}" for x in ATTRIBUTED) + f" FROM scored WHERE {_QUIET}"),
+    "model": ("threshold", "SELECT * FROM thr"),
+    "ranking": ("auroc", oracles.auroc("sides")),
+    "precision": ("auprc", "SELECT sum(CASE WHEN pos = 1 THEN tp / seen END) / sum(pos) AS auprc FROM (SELECT pos, CAST(sum(pos) OVER (ORDER BY score DESC) AS DOUBLE) AS tp, count(*) OVER (ORDER BY score DESC) AS seen FROM sides)"),
+    "alarms": ("normal_rate recall held", f"SELECT avg(alarm) FILTER ({_QUIET}) AS normal_rate, avg(alarm) FILTER (label = 1) AS recall, sum(held) AS held FROM alarmed"),
+}
+#: What a model is: its data, scaler, reference values, threshold and figures.
+add("model_card", "part name", "value", _card, " UNION ALL ".join(f"SELECT '{part}' AS part, '{x}' AS name, CAST({x} AS DOUBLE) AS value FROM ({sql})" for part, (names, sql) in _CARD.items() for x in names.split()))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -104,17 +103,3 @@ def read_log_values(spark: SparkSession, path: str, marker: str = "-") -> DataFr
     """The value of each ``key = value`` line; lines that begin with the marker are skipped."""
     lines = spark.read.text(path).filter(~F.col("value").startswith(marker) & F.col("value").contains("="))
     return lines.select(F.trim(F.substring_index("value", "=", 1)).alias("key"), F.trim(F.substring_index("value", "=", -1)).cast("double").alias("value"))
-
-
-def read_bundle(path: str) -> dict:
-    """A bundle's JSON; settings that serving cannot repeat are refused, missing ones get their defaults."""
-    with open(path, encoding="utf-8") as f:
-        bundle = json.load(f)
-    pre = bundle.setdefault("preprocess", {})
-    if pre.get("scale", "global") == "per-file" or pre.get("resample"):
-        raise ValueError("a bundle with per-file scale or resampling cannot be served")
-    pre.setdefault("gap_fill_limit", 60)
-    pre.setdefault("outlier_lo", 0.0)
-    pre.setdefault("outlier_hi", 5.0)
-    bundle.setdefault("gun_norm", "none")
-    return bundle
