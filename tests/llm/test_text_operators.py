@@ -227,6 +227,54 @@ def test_main_text_of_unseen_generated_pages():
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 185
 
 
+_STORY = "<p>The harbour opened in spring, and the town grew around it quickly. Ships came from the north, loaded with timber and with grain.</p><p>By autumn the first market was held, and people travelled for days to see it. Records from the time are few, but letters survive.</p>"
+_LINKS = "".join(f"<li><a href=/b{i}>Book number {i} by a good author</a></li>" for i in range(8))
+_ASKED = "".join(f"<div><h3>How does part {i} work?</h3><p>It turns slowly, and then it stops. After a while it starts again, in the other direction.</p></div>" for i in range(5))
+_PARTS = "".join(f"<section><h2>Part {i}</h2><p>It turns slowly, and then it stops. After a while it starts again, in the other direction.</p><p>More of it, at length, follows here.</p></section>" for i in range(4))
+#: Pages by hand, none from the grammar: what must be there, and what must not.
+BY_HAND = {
+    "comments without names": (f"<div><a href=/>Home</a> <a href=/a>About</a></div><div><h1>The harbour</h1>{_STORY}</div><div><h3>3 answers</h3><div class=c1><span>Ann</span><p>Nice post, thank you very much.</p></div><div class=c1><span>Bob</span><p>I do not agree, the harbour is older.</p></div><div class=c1><span>Cy</span><p>Great read!</p></div></div>", ["The harbour", "letters survive"], ["Home", "Nice post", "agree", "Great read", "answers"]),
+    "comments in another language": (f"<h1>The harbour</h1>{_STORY}<div id=kommentare><h3>Kommentare</h3><ul><li><b>Ann</b><p>Nice post, thanks.</p></li><li><b>Bob</b><p>I do not agree at all.</p></li></ul></div>", ["The harbour", "letters survive"], ["Nice post", "agree", "Kommentare"]),
+    "comments in a list": (f"<div class=x9><ul><li><a href=/>Start</a></li><li><a href=/a>Info</a></li></ul></div><div class=k2><h2>Der Hafen</h2>{_STORY}</div><section><h4>Antworten</h4><ol><li><b>Ann</b><p>Sehr gut, danke.</p></li><li><b>Bob</b><p>Das stimmt nicht.</p></li><li><b>Eva</b><p>Toll!</p></li></ol></section>", ["Der Hafen", "letters survive"], ["Sehr gut", "stimmt", "Toll", "Antworten", "Start"]),
+    "long comments": (f"<main><h1>The harbour</h1>{_STORY}</main><div><div><a href=/u/1>ann</a><p>I grew up there, and I remember the old cranes very well. They were taken down in the nineties, sadly.</p></div><div><a href=/u/2>bob</a><p>My father worked there for twenty years, and he always told us about the storms.</p></div></div>", ["The harbour", "letters survive"], ["grew up", "My father"]),
+    "article of links": (f"<nav><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul></nav><article><h1>Ten good books</h1><p>These are the books of the year:</p><ul>{_LINKS}</ul></article><footer>&copy; 2020 X</footer>", ["Ten good books", "These are", "Book number 0", "Book number 7"], ["Home", "About us", "2020"]),
+    "article of links alone": (f"<nav><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul></nav><main><h1>Ten good books</h1><ul>{_LINKS}</ul></main><footer>&copy; 2020 X</footer>", ["Ten good books", "Book number 0", "Book number 7"], ["Home", "About us", "2020"]),
+    "table of two columns": (f"<table><tr><td><a href=/1>One</a><br><a href=/2>Two</a></td><td><h1>The harbour</h1>{_STORY}</td></tr></table>", ["The harbour", "letters survive"], ["One", "Two"]),
+    "table of a page": (f"<table width=100%><tr><td colspan=2>My site name</td></tr><tr><td><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></td><td><h1>The harbour</h1>{_STORY}</td></tr><tr><td colspan=2>Copyright 2003 me</td></tr></table>", ["The harbour", "letters survive"], ["One", "Two", "2003", "My site"]),
+    "table of figures": (f"<article><h1>The harbour</h1>{_STORY}<table><tr><th>Year</th><th>Ships</th></tr><tr><td>1900</td><td>12</td></tr><tr><td>1901</td><td>17</td></tr></table><p>The figures are from the port, as far as they are known.</p></article>", ["Year", "1901", "17", "figures"], []),
+    "parts alike": (f"<article><h1>Questions</h1>{_ASKED}</article>", ["How does part 0", "How does part 4", "It turns"], []),
+    "parts alike without names": (f"<div><a href=/>Home</a></div><div><h1>Questions</h1>{_ASKED}</div>", ["How does part 0", "How does part 4", "It turns"], ["Home"]),
+    "sections": (f"<nav><a href=/>Home</a></nav><main>{_PARTS}</main><footer>&copy; me</footer>", ["Part 0", "Part 3", "More of it"], ["Home", "me"]),
+    "a short part at the end": (f"<div class=a1><h1>The harbour</h1><div>{_STORY}{_STORY}</div><div><p>It closed in 1950, for good.</p></div></div>", ["The harbour", "It closed"], []),
+    "related pages": (f"<article><h1>The harbour</h1>{_STORY}</article><div class=q7><h3>More</h3><ul><li><a href=/1>The ten most beautiful harbours of the north</a></li><li><a href=/2>Why the cranes were taken down in the end</a></li><li><a href=/3>A short history of the grain trade</a></li></ul></div>", ["letters survive"], ["ten most", "cranes were", "grain trade", "\nMore"]),
+}
+
+
+@pytest.fixture(scope="module")
+def content_model():
+    return html_content.train(html_content.labelled_pages(html_content.TRAIN_PAGES, varied=True))
+
+
+@pytest.mark.parametrize(("varied", "least"), [(False, 185), (True, 175)])
+def test_main_text_of_unseen_pages_by_the_model_in_use(content_model, varied, least):
+    unseen = html_content.labelled_pages(200, 5, varied)
+    want = ["\n".join(text for i, text in t.blocks.items() if t.label[i]) for t in map(html_content.Tree, unseen)]
+    got = html_content.main_texts([p.replace(" data-label", "") for p in unseen], *content_model)
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= least
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_main_text_of_pages_by_hand(content_model, name):
+    page, there, gone = BY_HAND[name]
+    text = html_content.main_texts([f"<html><body>{page}</body></html>"], *content_model)[0]
+    assert [x for x in there if x not in text] == [] and [x for x in gone if x in text] == []
+
+
+def test_a_page_of_very_many_short_paragraphs_stays_whole(content_model):
+    page = "<nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Buy it. Now.</div><article><h1>Rain.</h1>" + "<p>It rains.</p>" * 1500 + "</article><footer>&copy; me</footer>"
+    assert html_content.main_texts([page], *content_model)[0] == "\n".join(["Rain.", *["It rains."] * 1500])
+
+
 def test_open_scripts_take_one_pass():
     began = time.time()
     html_content.Tree("<p>a</p>" + "<script></script " * 60_000)

@@ -18,7 +18,7 @@ from weldsight.llm.common import table
 from weldsight.llm.html_pages import NAMES, labelled_pages
 
 #: Labelled pages that the model is trained on, and steps of the training.
-TRAIN_PAGES, STEPS = 500, 150
+TRAIN_PAGES, STEPS = 700, 150
 
 #: Kinds of elements as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,13 +38,19 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none", re.I)
 
-_BY_WORD = {"nav": "nav", "menu": "nav", "navbar": "nav", "navigation": "nav", "breadcrumb": "nav", "breadcrumbs": "nav", "header": "header", "masthead": "header", "topbar": "header", "footer": "footer", "copyright": "footer", "colophon": "footer", "sidebar": "side", "side": "side", "widget": "side", "related": "side", "rail": "side", "popular": "side", "recommended": "side", "ad": "ad", "ads": "ad", "advert": "ad", "advertisement": "ad", "sponsored": "ad", "sponsor": "ad", "promo": "ad", "banner": "ad", "cookie": "notice", "consent": "notice", "notice": "notice", "alert": "notice", "popup": "notice", "modal": "notice", "newsletter": "notice", "subscribe": "notice", "paywall": "notice", "gdpr": "notice", "comment": "comment", "comments": "comment", "reply": "comment", "replies": "comment", "disqus": "comment", "discussion": "comment", "responses": "comment", "share": "share", "social": "share", "tags": "share", "toolbar": "share", "pagination": "share", "content": "content", "article": "content", "post": "content", "entry": "content", "story": "content", "body": "content"}
+_BY_WORD = {"nav": "nav", "menu": "nav", "navbar": "nav", "navigation": "nav", "breadcrumb": "nav", "breadcrumbs": "nav", "header": "header", "masthead": "header", "topbar": "header", "footer": "footer", "copyright": "footer", "colophon": "footer", "sidebar": "side", "side": "side", "widget": "side", "related": "side", "rail": "side", "popular": "side", "recommended": "side", "ad": "ad", "ads": "ad", "advert": "ad", "advertisement": "ad", "sponsored": "ad", "sponsor": "ad", "promo": "ad", "banner": "ad", "cookie": "notice", "consent": "notice", "notice": "notice", "alert": "notice", "popup": "notice", "modal": "notice", "newsletter": "notice", "subscribe": "notice", "paywall": "notice", "gdpr": "notice", "comment": "comment", "comments": "comment", "reply": "comment", "replies": "comment", "disqus": "comment", "discussion": "comment", "responses": "comment", "kommentar": "comment", "kommentare": "comment", "commentaire": "comment", "commentaires": "comment", "comentario": "comment", "comentarios": "comment", "commenti": "comment", "reacties": "comment", "komentarze": "comment", "share": "share", "social": "share", "tags": "share", "toolbar": "share", "pagination": "share", "content": "content", "article": "content", "post": "content", "entry": "content", "story": "content", "body": "content"}
 _KINDS = tuple(NAMES)
-_FEATURES = [f"tag:{t}" for t in TAGS] + ["tag:other"] + [f"name:{k}" for k in _KINDS] + [f"links:{i}" for i in range(4)] + [f"size:{i}" for i in range(6)] + [f"stops:{i}" for i in range(3)] + [f"share:{i}" for i in range(5)] + ["no name", "hidden"]
+_FEATURES = [f"tag:{t}" for t in TAGS] + ["tag:other"] + [f"name:{k}" for k in _KINDS] + [f"links:{i}" for i in range(4)] + [f"size:{i}" for i in range(6)] + [f"stops:{i}" for i in range(3)] + [f"share:{i}" for i in range(5)] + [f"anchors:{i}" for i in range(3)] + ["no name", "hidden", "repeated", "headed", "after", "before", "layout"]
 _AT = {f: i for i, f in enumerate(_FEATURES)}
-#: Kinds of edges, by the child: a text in its element, a part of a page, a part of an article, or another element.
+#: Kinds of edges, by the child: a text in its element, a part of a page, a part of an article, or another element; then
+#: one whose name says what it is, one of several alike, and one beside a much larger one.
 _EDGE = {**dict.fromkeys(("nav", "aside", "header", "footer", "form", "fieldset", "dialog", "menu", "search"), 1), **dict.fromkeys(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "tbody", "tr", "td", "th", "figure", "figcaption", "dl", "dt", "dd"), 2), "text": 0}
-EDGES = 5
+EDGES = 7
+#: Elements that parts of a page come in, and those of tables: a table that holds parts lays the page out.
+CONTAINERS = frozenset("div section article main aside table td ul ol".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("table thead tbody tfoot tr td th".split())
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol div section article main aside table blockquote pre".split())
 
 
 class Tree:
@@ -57,7 +63,10 @@ class Tree:
         self.label: list[bool] = [False]
         self.blocks: dict[int, str] = {}
         self.linked: dict[int, float] = {}
+        self.anchors: dict[int, int] = {}
         self._parse(page)
+        self.layout = self._layout()
+        self.hollow = self._hollow()
 
     def _node(self, parent: int, tag: str, attributes: str) -> int:
         kinds = set()
@@ -77,19 +86,19 @@ class Tree:
     def _parse(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]
         run: list[str] = []
-        in_link, linked = 0, 0
+        in_link, linked, anchors = 0, 0, 0
         controls: list[int] = []
 
         def flush() -> None:
-            nonlocal linked
+            nonlocal linked, anchors
             if run:
                 text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
                 if text:
                     at = self._node(stack[-1][1], "text", "")
                     self.label[at] = self.label[stack[-1][1]]
-                    self.blocks[at], self.linked[at] = text, min(1.0, linked / len(text))
+                    self.blocks[at], self.linked[at], self.anchors[at] = text, min(1.0, linked / len(text)), anchors
                 run.clear()
-            linked = 0
+            linked = anchors = 0
 
         #: Where the open elements of each name are in the stack, so that no tag has to walk it.
         places: defaultdict[str, list[int]] = defaultdict(list)
@@ -136,6 +145,7 @@ class Tree:
             if name in INLINE:
                 if name == "a":
                     in_link = 0 if closing else 1
+                    anchors += in_link
                 continue
             if closing:
                 if places[name]:
@@ -164,18 +174,69 @@ class Tree:
                 stack.append((name, self._node(stack[-1][1], name, attributes)))
         flush()
 
+    def _layout(self) -> list[bool]:
+        """Which nodes belong to a table that lays out parts of the page instead of figures."""
+        n = len(self.parent)
+        table, lays = [-1] * n, [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            table[i] = i if self.tags[i] == "table" else table[p]
+            if self.tags[i] in PARTS and self.tags[p] in ("td", "th") and table[p] >= 0:
+                lays[table[p]] = True
+        return [self.tags[i] in CELLS and table[i] >= 0 and lays[table[i]] for i in range(n)]
+
+    def _hollow(self) -> list[bool]:
+        """Elements without a known name around one element alone, which say nothing: their child takes their place."""
+        n = len(self.parent)
+        inside, text = [0] * n, [False] * n
+        for i in range(1, n):
+            inside[self.parent[i]] += 1
+            text[self.parent[i]] |= self.tags[i] == "text"
+        return [i > 0 and self.tags[i] in ("div", "section") and not self.kinds[i] and inside[i] == 1 and not text[i] for i in range(n)]
+
+    def _beside(self, chars: list[int]) -> list[set[str]]:
+        """What each node is beside its siblings: a container ``after`` or ``before`` one of four times its size, or
+        ``repeated``: a container of several parts whose neighbour has the same ones (``headed`` if a heading comes first)."""
+        n = len(self.parent)
+        children: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            children[self.parent[i]].append(i)
+        shape = [tuple(self.tags[c] for c in own) if len(own) > 1 and tag in ("div", "section", "article", "li") else () for own, tag in zip(children, self.tags, strict=True)]
+        out: list[set[str]] = [set() for _ in range(n)]
+        for own in children:
+            for name, order in (("after", own), ("before", own[::-1])):
+                most, last = 0, -1
+                for i in order:
+                    if self.tags[i] in CONTAINERS:
+                        if 4 * chars[i] < most:
+                            out[i].add(name)
+                        most = max(most, chars[i])
+                    if shape[i] and last >= 0 and self.tags[last] == self.tags[i] and shape[last] == shape[i]:
+                        out[i].add("headed" if shape[i][0] in HEADINGS else "repeated")
+                    if self.tags[i] != "text":
+                        last = i
+        return out
+
     def features(self) -> list[list[int]]:
         n = len(self.parent)
-        chars, linked, stops = [0] * n, [0.0] * n, [0] * n
+        chars, linked, stops, anchors = [0] * n, [0.0] * n, [0] * n, [0] * n
         for i, text in self.blocks.items():
-            chars[i], linked[i], stops[i] = len(text), self.linked[i] * len(text), text.count(". ") + text.count(", ") + text.endswith(".")
+            chars[i], linked[i], stops[i], anchors[i] = len(text), self.linked[i] * len(text), text.count(". ") + text.count(", ") + text.endswith("."), self.anchors[i]
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             chars[p] += chars[i]
             linked[p] += linked[i]
             stops[p] += stops[i]
-        out = []
+            anchors[p] += anchors[i]
+        beside = self._beside(chars)
+        for i in range(1, n):
+            if self.hollow[self.parent[i]]:
+                beside[i] |= beside[self.parent[i]]
+        out: list[list[int]] = []
         for i in range(n):
+            if self.hollow[i]:
+                out.append([])
+                continue
             tag = self.tags[i]
             f = [_AT.get(f"tag:{tag}", _AT["tag:other"])]
             kinds = self.kinds[i]
@@ -184,6 +245,12 @@ class Tree:
                 f.append(_AT["hidden"])
             if not kinds and tag in ("div", "section", "ul", "ol"):
                 f.append(_AT["no name"])
+            f += [_AT[name] for name in sorted(beside[i])]
+            if self.layout[i]:
+                f.append(_AT["layout"])
+            if anchors[i]:
+                mean = linked[i] / anchors[i]
+                f.append(_AT[f"anchors:{0 if mean < 15 else 1 if mean < 30 else 2}"])
             share = linked[i] / chars[i] if chars[i] else 0.0
             f.append(_AT[f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3}"])
             f.append(_AT[f"size:{min(5, int(math.log(chars[i] + 1, 4)))}"])
@@ -209,9 +276,16 @@ class Forest:
     def of(cls, trees: list[Tree]) -> Forest:
         parent, edge, node, feature, base = [], [], [], [], 0
         for t in trees:
+            above = list(t.parent)
             for i, f in enumerate(t.features()):
-                parent.append(t.parent[i] + base if t.parent[i] >= 0 else -1)
-                kind = 4 if t.kinds[i] & set(_KINDS) - {"content"} else _EDGE.get(t.tags[i], 3)
+                p = above[i]
+                if p >= 0 and t.hollow[p]:
+                    above[i] = p = above[p]  # those of hollow elements are known by then
+                if t.hollow[i]:
+                    parent.append(-1)
+                else:
+                    parent.append(p + base if p >= 0 else -1)
+                kind = 4 if t.kinds[i] & set(_KINDS) - {"content"} else 3 if t.layout[i] else 5 if _AT["repeated"] in f else 6 if _AT["after"] in f else _EDGE.get(t.tags[i], 3)
                 edge.append(kind)
                 node.extend([base + i] * len(f))
                 feature.extend(f)
@@ -239,7 +313,10 @@ def marginals(forest: Forest, weights: np.ndarray, edges: np.ndarray) -> tuple[n
     for level in forest.levels[:0:-1]:
         both = potential[level] + up[level][:, None, :]
         message[level] = np.logaddexp(both[:, :, 0], both[:, :, 1])
-        np.add.at(up, forest.parent[level], message[level])
+        # nodes of a level are in page order, so that those of a parent are side by side
+        parents = forest.parent[level]
+        first = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]])
+        up[parents[first]] += np.add.reduceat(message[level], first)
     belief = up.copy()
     joint = np.zeros((n, 2, 2))
     for level in forest.levels[1:]:
@@ -259,8 +336,8 @@ def train(pages: list[str], steps: int = STEPS, rate: float = 0.15, ridge: float
     forest = Forest.of(trees)
     truth = np.array([x for t in trees for x in t.label], np.int64)
     child = np.flatnonzero(forest.parent >= 0)
-    seen = np.zeros((EDGES, 2, 2))
-    np.add.at(seen, (forest.edge[child], truth[forest.parent[child]], truth[child]), 1)
+    kinds = forest.edge[child]
+    seen = np.bincount(4 * kinds + 2 * truth[forest.parent[child]] + truth[child], minlength=4 * EDGES).reshape(EDGES, 2, 2)
     size = len(_FEATURES)
     params = np.zeros(size + 4 * EDGES)
     first, second = np.zeros_like(params), np.zeros_like(params)
@@ -268,8 +345,7 @@ def train(pages: list[str], steps: int = STEPS, rate: float = 0.15, ridge: float
         weights, edges = params[:size], params[size:].reshape(EDGES, 2, 2)
         p, joint = marginals(forest, weights, edges)
         slope = np.bincount(forest.feature, (truth - p)[forest.node], size)
-        expected = np.zeros((EDGES, 2, 2))
-        np.add.at(expected, forest.edge[child], joint[child])
+        expected = np.stack([np.bincount(kinds, joint[child, a, b], EDGES) for a in (0, 1) for b in (0, 1)], 1).reshape(EDGES, 2, 2)
         grad = np.concatenate([slope, (seen - expected).ravel()]) / len(trees) - ridge * params
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         params = params + rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
@@ -294,7 +370,7 @@ def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     repeated rows are pages of their own; an empty table gives no rows; other columns are not read. White space inside
     a block (line breaks included) is one space and blocks are joined by a line break.
     """
-    weights, edges = train(labelled_pages(train_pages))
+    weights, edges = train(labelled_pages(train_pages, varied=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -22,7 +22,8 @@ _SYLLABLES = "an ber co di el fa gi ha in jo ka le mi no or pa qu re si ta un vo
 class _Writer:
     """Writes a page; elements whose text is content carry the attribute data-label."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, varied: bool):
+        self.varied = varied
         self.r = random.Random(seed)
         self.apart = random.Random(-seed - 1)
         #: A third of the pages have names that say nothing, or none.
@@ -46,7 +47,8 @@ class _Writer:
         return f"<{name}{mark}{' data-label' if label else ''}>{inside}</{name}>"
 
     def links(self, low: int, high: int) -> str:
-        return self.tag("ul", "".join(self.tag("li", f'<a href="/x">{self.words(1, 4)}</a>') for _ in range(self.r.randint(low, high))))
+        longest = 10 if self.varied and self.apart.random() < 0.25 else 4
+        return self.tag("ul", "".join(self.tag("li", f'<a href="/x">{self.words(longest // 3, longest)}</a>') for _ in range(self.r.randint(low, high))))
 
     def paragraph(self, label: bool) -> str:
         text = self.words(*self.r.choice([(1, 5), (8, 40), (30, 120)]))
@@ -81,6 +83,8 @@ class _Writer:
                 parts.append(self.tag(r.choice(["h2", "h3"]), self.words(1, 8), label=True))
             if r.random() < 0.12:
                 parts.append(self.tag(r.choice(["ul", "ol"]), "".join(self.tag("li", self.words(2, 20), label=True) for _ in range(r.randint(2, 6))), label=True))
+            if self.varied and self.apart.random() < 0.03 and not self.bare:
+                parts.append(self.link_list())
             if r.random() < 0.08:
                 parts.append(self.tag("blockquote", self.paragraph(True), label=True))
             if r.random() < 0.05:
@@ -91,7 +95,11 @@ class _Writer:
                 parts.append(r.choice([lambda: self.tag("div", self.words(2, 15), "ad"), lambda: self.tag("div", self.words(3, 20), "notice"), lambda: self.tag("div", self.links(2, 5), "share"), lambda: self.tag("aside", self.words(5, 30), "side")])())
         if r.random() < 0.12:
             line = self.words(1, 4)
-            parts.append("".join(f"<p data-label>{line if r.random() < 0.7 else self.words(1, 6)}</p>" for _ in range(r.choice([5, 12, 30, 80]))))
+            parts.append("".join(f"<p data-label>{line if r.random() < 0.7 else self.words(1, 6)}</p>" for _ in range(r.choice([5, 12, 30, 80, 400]))))
+        if self.varied and self.apart.random() < 0.2:
+            parts = parts[: self.apart.choice([1, 1, 2, 9])] + self.sections()
+        if self.varied and self.apart.random() < 0.05 and not self.bare:  # without an element around it, it is a menu
+            parts = [*parts[:2], self.link_list()]
         self.control(parts, 0.25)
         inside = "".join(parts)
         if r.random() < 0.3:
@@ -102,9 +110,43 @@ class _Writer:
         return self.tag(name, inside, "content" if name in ("div", "section") or r.random() < 0.3 else "", label=True)
 
     def comments(self) -> str:
+        """Readers' comments under a heading, each with its author or without, or without a heading."""
         r = self.r
-        each = lambda: self.tag(r.choice(["div", "li", "article"]), self.tag("span", self.words(1, 2)) + self.paragraph(False), "comment")
-        return self.tag(r.choice(["section", "div", "ol"]), self.tag("h3", self.words(1, 3)) + "".join(each() for _ in range(r.randint(1, 6))), "comment")
+        authors = [lambda: self.tag("span", self.words(1, 2)), lambda: f"<b>{self.words(1, 2)}</b>", lambda: f"<div>{self.words(1, 3)}</div>", lambda: "", lambda: f'<a href="/u">{self.words(1, 1)}</a>']
+        author = r.choice(authors if self.varied else authors[:1])
+        each = lambda: self.tag(r.choice(["div", "li", "article"]), author() + self.paragraph(False), "comment")
+        head = self.tag(r.choice(["h2", "h3", "h4"]) if self.varied else "h3", self.words(1, 3)) if not self.varied or author() == "" or r.random() < 0.8 else ""
+        items = "".join(each() for _ in range(r.randint(1, 6)))
+        if self.varied and r.random() < 0.5:
+            items = self.tag(r.choice(["ol", "ul", "div"]), items, r.choice(["", "comment"]))
+        return self.tag(r.choice(["section", "div"]), head + items, "comment")
+
+    def sections(self) -> list[str]:
+        """Parts of an article that are elements of their own, alike or not."""
+        r = self.r
+        name, head, count = r.choice(["section", "div", "div"]), r.choice(["h2", "h3", "h4", ""]), r.choice([1, 1, 2, 3])
+        each = lambda: self.tag(name, (self.tag(head, self.words(1, 8), label=True) if head else "") + "".join(self.paragraph(True) for _ in range(count)), label=True)
+        return [each() for _ in range(r.randint(1, 8) if head else 1)]
+
+    def link_list(self) -> str:
+        """An article that is a list of links with words of their own."""
+        r = self.r
+        each = lambda: self.tag("li", f'<a href="/b">{self.words(*r.choice([(2, 6), (4, 12)]))}</a>' + (f" {self.words(2, 12)}" if r.random() < 0.4 else ""), label=True)
+        return self.tag(r.choice(["ul", "ol"]), "".join(each() for _ in range(r.randint(4, 14))), label=True)
+
+    def laid_out(self, before: list[str], article: str, after: list[str]) -> str:
+        """The parts of a page in the cells of a table."""
+        r = self.r
+        menu = r.choice([lambda: self.links(2, 8), lambda: "<br>".join(f'<a href="/x">{self.words(1, 3)}</a>' for _ in range(r.randint(2, 8)))])()
+        cells = [f"<td>{menu}</td>", f"<td data-label>{article}</td>"]
+        if r.random() < 0.3:
+            cells.append(f"<td>{self.words(1, 3)}{self.links(2, 6)}</td>")
+        rows = [f"<tr data-label>{''.join(cells)}</tr>"]
+        if r.random() < 0.6:
+            rows.insert(0, f"<tr><td colspan=2>{self.words(1, 6)}{''.join(before)}</td></tr>")
+        if r.random() < 0.7:
+            rows.append(f"<tr><td colspan=2>{r.choice(['&copy; ', 'Copyright ', ''])}{self.words(2, 15)}</td></tr>")
+        return f"<table{r.choice(['', ' width=100%', ' border=0'])} data-label>{''.join(rows)}</table>" + "".join(after)
 
     def plain(self) -> str:
         """Text without elements around it."""
@@ -128,7 +170,7 @@ class _Writer:
             before.append(self.tag(r.choice(["div", "section"]), f"<p>{self.words(5, 40)}</p><a href='/ok'>{self.words(1, 2)}</a>", "notice"))
         if r.random() < 0.3:
             before.append(self.tag("aside" if r.random() < 0.5 else "div", self.words(1, 3) + self.links(2, 8), "side"))
-        if told and r.random() < 0.35:
+        if (told or self.varied) and r.random() < 0.35:
             after.append(self.comments())
         if r.random() < 0.3:
             after.append(f"<form action='/s'><label>{self.words(1, 5)}</label><p>{self.words(2, 15)}</p></form>")
@@ -138,12 +180,15 @@ class _Writer:
             after.append(self.tag("footer", f"&copy; {self.words(2, 25)}") if not told or r.random() < 0.75 else self.tag("div", f"<p>{self.words(2, 25)}</p>", "footer"))
         self.control(before, 0.3)
         self.control(after, 0.3)
-        body = "".join(before) + self.article() + "".join(after)
+        article = self.article()
+        body = self.laid_out(before, article, after) if self.varied and self.apart.random() < 0.06 else "".join(before) + article + "".join(after)
         mark = " data-label" if self.bare else ""
         for _ in range(r.choice([0, 0, 1, 2])):
             body = f'<div{r.choice(["", " class=wrapper", " id=page", " class=container"])}{mark}>{body}</div>'
         return f"<html><head><title>{self.words(2, 9)}</title></head><body{mark}>{body}</body></html>"
 
 
-def labelled_pages(count: int, seed: int = 17) -> list[str]:
-    return [_Writer(seed * 100_003 + i).page() for i in range(count)]
+def labelled_pages(count: int, seed: int = 17, varied: bool = False) -> list[str]:
+    """``varied`` pages have comments without names, parts alike, articles of links, long link titles and tables that lay
+    them out, too."""
+    return [_Writer(seed * 100_003 + i, varied).page() for i in range(count)]
