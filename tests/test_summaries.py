@@ -29,6 +29,17 @@ def test_equal_to_sql(spark, name):
     assert key(ours).equals(key(theirs))
 
 
+def test_gaps_of_series_without_any(spark, tmp_path):
+    from weldsight.registry import ORACLES, QUERIES
+
+    db = duckdb.connect()
+    db.execute(f"COPY (SELECT * REPLACE (TIMESTAMP '2024-01-01' + to_seconds(event_id % 3 * 600) AS ts) FROM read_parquet('{DATA}/events.parquet')) TO '{tmp_path}/events.parquet'")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    ours, theirs = QUERIES["gap_report"](spark, str(tmp_path)).toPandas(), db.execute(ORACLES["gap_report"]).df()
+    assert [(r["class"], r.n) for _, r in ours.iterrows()] == [(r["class"], r.n) for _, r in theirs.iterrows()] == [("all", 0)]
+    assert ours.drop(columns=["class", "n"]).isna().all(axis=None) and theirs.drop(columns=["class", "n"]).isna().all(axis=None)
+
+
 def test_folds_without_both_sides_take_no_part(spark):
     rows = [(g, g % 2, w, float(w) / 10 + g, int(w == 9 and g < 2), 0, 0.0) for g in range(4) for w in range(10)]
     scored = spark.createDataFrame(rows, "gun int, fold int, win int, score double, label int, error_active int, non_welding double")

@@ -103,11 +103,12 @@ def hourly_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def gap_report(grid: DataFrame) -> DataFrame:
-    """Numbers of the gaps of each class, and of all as class ``all``."""
+    """Numbers of the gaps of each class, and of all as class ``all``, which has its row even without any gap."""
     found = eda.gaps(grid)
-    both = found.withColumn("class", F.explode(F.array(F.coalesce("class", F.lit("")), F.lit("all"))))
+    both = found.select(F.explode(F.array(F.coalesce("class", F.lit("")), F.lit("all"))).alias("class"), "gap")
+    every = both.unionByName(grid.sparkSession.range(1).select(F.lit("all").alias("class"), F.lit(None).cast("long").alias("gap")))
     q = lambda p: F.percentile("gap", F.lit(p))
-    return both.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("std"), F.min("gap").alias("min"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("gap").alias("max"))
+    return every.groupBy("class").agg(F.count("gap").alias("n"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("std"), F.min("gap").alias("min"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("gap").alias("max"))
 
 
 # evaluation by folds, bands and classes
