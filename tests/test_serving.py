@@ -260,3 +260,19 @@ def test_quantiles_by_counted_ranges(spark, monkeypatch):
         for q in (0.0, 0.3, 0.5, 0.99, 0.9997, 1.0):
             got = evaluate.quantiles(rows, list(frame.columns), q)
             assert got["e"] is None and all(got[c] == pytest.approx(np.quantile(frame[c], q), rel=1e-12) for c in "abcd")
+
+
+@pytest.mark.parametrize("packed", [3, 100_000])
+def test_only_the_number_of_a_refused_request_is_held(monkeypatch, packed):
+    monkeypatch.setattr(serving, "PACKED", packed)
+    r = np.random.default_rng(5)
+    rows = pd.DataFrame({"request": np.append(np.repeat([4, 1, 2, 3], [40, 4, 3, 2]), [np.nan]), "arrival": range(50), "t": range(100, 150), "sensors": [np.array([i, np.nan]) for i in range(50)], "code": [f"E{i % 3}" for i in range(50)], "control": [""] * 48 + ["reset", ""]})
+    rows = rows.iloc[r.permutation(50)].reset_index(drop=True)
+    inbox = serving.Inbox(4)
+    for at in range(0, 50, 5):
+        inbox.add(rows.iloc[at : at + 5])
+        assert inbox.rows <= max(packed, 2 * 9 + 5 + 2 * 4)
+    got = list(inbox.requests())
+    assert inbox.rows == 9 and [(a, n, reset, len(x)) for a, n, reset, x in got] == [(1, 4, False, 4), (2, 3, False, 3), (3, 2, True, 0), (4, 40, False, 0)]
+    assert [(t, s[0], c) for t, s, c in got[0][3]] == [(140 + i, 40.0 + i, f"E{(40 + i) % 3}") for i in range(4)] and all(np.isnan(s[1]) for _, s, _ in got[0][3])
+    assert list(serving.Inbox(4).requests()) == []
