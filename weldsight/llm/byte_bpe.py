@@ -21,29 +21,30 @@ from weldsight.llm.common import ragged, table, text_buffers, trim
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes up to which a word goes to the query. One merge a step makes its cost grow with the square of a word's length,
-#: so that the same contraction of longer words (long runs without any break) keeps its pairs in a heap.
+#: so that the same contraction of longer words (long runs without any break) keeps its pairs in a heap. The query's
+#: places hold a byte's number in its word in eight bits.
 LONGEST = 256
 #: Words kept encoded between tasks by a Python worker, and bytes or tokens handed to one query.
 KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 300_000, 400_000, 500_000
 #: Bytes of text, and ids, that a worker holds as single words at a time; blocks after which it gives memory back.
 TEXT_BYTES, IDS, TRIM = 3_000_000, 1_000_000, 16
 
-# A row is one token of a word. Each step joins neighbouring tokens to the merges and contracts, in every word that
-# still has a merge, the leftmost pair of the least rank; a word without one is done.
+# A row is one token of a word, at its place in the block (word, then first byte): one window over the places gives each
+# token the next one. Each step joins neighbouring tokens to the merges and contracts, in every word that still has a
+# merge, the leftmost pair of the least rank, whose second token goes; a word without one is done.
 _CONTRACT_SQL = """
 WITH RECURSIVE s AS (
-  SELECT w, pos, tok, 0 AS step, FALSE AS done FROM base
+  SELECT w, (w::BIGINT << 8) + pos AS place, tok, FALSE AS done FROM base
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT p.w, p.pos, p.tok, p.step, (m.rank::BIGINT << 40) + p.pos AS key
-     FROM (SELECT w, pos, tok, step, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS follows FROM s WHERE NOT done) p
+     SELECT p.w, p.place, p.tok, p.after, CASE WHEN p.place >> 8 = p.after >> 8 THEN (m.rank::BIGINT << 40) + p.place END AS key
+     FROM (SELECT w, place, tok, lead(tok) OVER o AS follows, lead(place) OVER o AS after FROM s WHERE NOT done WINDOW o AS (ORDER BY place)) p
      LEFT JOIN merges m ON m.l = p.tok AND m.r = p.follows),
-   least AS (SELECT w, min(key) AS best FROM pairs GROUP BY w)
-   SELECT w, pos, CASE WHEN key = best THEN (key >> 40)::INTEGER ELSE tok END, step + 1, best IS NULL
-   FROM (SELECT pairs.w, pos, tok, step, key, best, lag(key) OVER (PARTITION BY pairs.w ORDER BY pos) AS before
-         FROM pairs JOIN least ON pairs.w = least.w)
-   WHERE best IS NULL OR before IS DISTINCT FROM best))
-SELECT w, tok FROM s WHERE done ORDER BY w, pos
+   least AS (SELECT w, min(key) AS best, arg_min(after, key) AS gone FROM pairs GROUP BY w)
+   SELECT pairs.w, place, CASE WHEN key = best THEN (key >> 40)::INTEGER ELSE tok END, best IS NULL
+   FROM pairs JOIN least ON pairs.w = least.w
+   WHERE place IS DISTINCT FROM gone))
+SELECT w, tok FROM s WHERE done ORDER BY place
 """
 
 _DECODE_SQL = "SELECT array_agg(bytes) AS parts FROM (SELECT bytes FROM tokens JOIN vocabulary USING (tok) ORDER BY pos)"
