@@ -225,3 +225,15 @@ def test_collocations_by_brute_force(spark, corpus, least, top, block):
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(_frame(spark, []).limit(0)).count() == 0
     assert collocations.collocations(_frame(spark, [(1, None, None, None), (2, "a b", "en", "s")])).count() == 0
+
+
+def test_packed_ids_take_little_more_than_their_low_bytes():
+    from weldsight.llm import collocations
+
+    r = np.random.default_rng(2)
+    local, ids = np.sort(r.choice(60_000, 3000, replace=False)).astype("<i4"), (r.integers(0, 64, 3000) << 32 | r.integers(0, 9000, 3000)).astype("<i8")
+    packed = collocations._pack(local, ids, ids[::-1])
+    back = collocations._unpack(packed, 3000, "<i4", "<i8", "<i8")
+    assert all(np.array_equal(a, b) for a, b in zip(back, (local, ids, ids[::-1]), strict=True))
+    assert len(packed) < 3000 * (1.5 + 3 + 3)
+    assert [len(x) for x in collocations._unpack(collocations._pack(local[:0], ids[:0]), 0, "<i4", "<i8")] == [0, 0]
