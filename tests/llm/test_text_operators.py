@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 from collections import Counter
 
@@ -120,6 +122,34 @@ def test_byte_bpe_as_the_library(docs, texts, empty):
     assert [ids[a : a + n].tolist() for a, n in zip(at, sizes, strict=True)] == [library.encode_ordinary(t) for t in hard]
 
 
+_WORKER = """
+import random, re
+import public_tokenizers
+import pyarrow as pa
+from weldsight.llm import byte_bpe
+
+def mb(what):
+    with open("/proc/self/status") as f:
+        return int(re.search(what + r":\\s+(\\d+)", f.read())[1]) // 1024
+
+rng = random.Random(3)
+texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=7)) for _ in range(250)) for _ in range(4000)]
+batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+codec = byte_bpe._codec(None, public_tokenizers.PATTERN)
+byte_bpe.trim()
+before, rows = mb("VmRSS"), 0
+for out in byte_bpe._digests(byte_bpe._decoded(byte_bpe._encoded(iter([batch]), None, public_tokenizers.PATTERN), None, public_tokenizers.PATTERN)):
+    rows += out.num_rows
+print(rows, mb("VmHWM") - before, flush=True)
+"""
+
+
+def test_byte_bpe_worker_stays_small():
+    found = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True)
+    rows, grown = map(int, found.stdout.split()[:2])
+    assert rows == 4000 and grown < 190
+
+
 def test_shards(docs, empty):
     rows = sharding.shard(docs, shards=4).collect()
     sizes = Counter(r.shard for r in rows)

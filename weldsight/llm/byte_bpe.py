@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import ragged, table, text_buffers, trim
+from weldsight.llm.common import BATCH_ROWS, ragged, small_batches, table, text_buffers, trim, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes up to which a word goes to the query. One merge a step makes its cost grow with the square of a word's length,
@@ -25,9 +26,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: places hold a byte's number in its word in eight bits.
 LONGEST = 256
 #: Words kept encoded between tasks by a Python worker, and bytes or tokens handed to one query.
-KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 300_000, 400_000, 500_000
+KEPT_WORDS, BLOCK_BYTES, DECODE_ROWS = 300_000, 200_000, 250_000
 #: Bytes of text, and ids, that a worker holds as single words at a time; blocks after which it gives memory back.
-TEXT_BYTES, IDS, TRIM = 3_000_000, 1_000_000, 16
+TEXT_BYTES, IDS, TRIM = 1_000_000, 300_000, 16
 
 # A row is one token of a word, at its place in the block (word, then first byte): one window over the places gives each
 # token the next one. Each step joins neighbouring tokens to the merges and contracts, in every word that still has a
@@ -71,17 +72,31 @@ class _Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = _splitter(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self._load("merges", {"l": left, "r": right, "rank": rank})
-        self._load("vocabulary", {"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
+        flat = array("i")
+        for t, r in self.ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in self.ranks and t[i:] in self.ranks:
+                    flat.extend((self.ranks[t[:i]], self.ranks[t[i:]], r))
+        merges = np.frombuffer(flat, np.int32).reshape(-1, 3)
+        self.tables = {
+            "merges": pa.table({c: np.ascontiguousarray(merges[:, i]) for i, c in enumerate(("l", "r", "rank"))}),
+            "vocabulary": pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}),
+        }
+        self._open()
         self._forget()
 
-    def _load(self, name: str, columns: dict) -> None:
-        self.db.register("loading", pa.table(columns))
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loading")
-        self.db.unregister("loading")
+    def _open(self) -> None:
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        for name, rows in self.tables.items():
+            self.db.register("loading", rows)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loading")
+            self.db.unregister("loading")
+
+    def trim(self) -> None:
+        """Gives freed memory back, also what an open database keeps of it."""
+        self.db.close()
+        self._open()
+        trim()
 
     def _forget(self) -> None:
         """No word is known: words has a word's place in start and size, which point into pool."""
@@ -258,22 +273,24 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, pattern: str | None
 def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to (with_ids: and the ids themselves).
 
-    bpe_encode and bpe_decode in one pass of one worker, so that bytes stay in the task. Nulls, repeated rows and
-    empty tables are as in bpe_encode."""
+    bpe_encode and bpe_decode in one pass of one worker, so that bytes stay in the task; it runs at once and is written
+    in the shared folder. Nulls, repeated rows and empty tables are as in bpe_encode."""
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, b in enumerate(_digests(_decoded(_encoded(batches, path, pattern), path, pattern))):
             yield b if with_ids else b.drop_columns("ids")
             if i % TRIM == TRIM - 1:
-                trim()
+                _codec(path, pattern).trim()
         codec = _codec(path, pattern)
         if len(codec.words) > KEPT_WORDS // 2:  # idle workers stay small
             codec._forget()
-        trim()
+        codec.trim()
 
     ids = "ids array<int>, " if with_ids else ""
-    return _source(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
+    coded = _source(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return written(coded, "byte_bpe")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
