@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, partitions, table, trim
+from weldsight.llm.common import BATCH_ROWS, cut, partitions, small_batches, table, trim
 
 HEAD = 64
 SAMPLE_PER_RANGE = 60
@@ -117,7 +117,8 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sample = source.select("text")
     if rows > wanted:
         sample = sample.sample(fraction=min(1.0, wanted / rows), seed=7)
-    keys = sorted(bytes(r[0]) for r in sample.mapInArrow(_sampled, "key binary").limit(4 * wanted).collect())
+    with small_batches(spark, BATCH_ROWS):
+        keys = sorted(bytes(r[0]) for r in sample.mapInArrow(_sampled, "key binary").limit(4 * wanted).collect())
     splitters = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
     order = [F.asc("text"), F.desc_nulls_last("doc_id")]
@@ -125,7 +126,8 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = local.mapInArrow(_collapse(splitters), "pid int, text string, ids array<bigint>").withColumn("top", F.col("ids")[0])
     ranged = runs.repartitionById(n, "pid").sortWithinPartitions(F.asc("text"), F.desc_nulls_last("top"))
     schema = "gid long, ids array<bigint>, keep_id long, lead boolean, text_sha256 string"
-    found = cut(ranged.mapInArrow(_neighbours, schema))
+    with small_batches(spark, BATCH_ROWS):
+        found = cut(ranged.mapInArrow(_neighbours, schema))
 
     parts = found.groupBy("gid").agg(F.sum(F.size("ids")).alias("_size"), F.count(F.lit(1)).alias("_runs"))
     several = parts.filter("_runs > 1").select("gid", "_size")

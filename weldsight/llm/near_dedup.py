@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import cut, lookup, mix64, narrow, ragged, settled, table, trim, unit
+from weldsight.llm.common import BATCH_ROWS, cut, lookup, mix64, narrow, ragged, settled, small_batches, table, trim, unit
 
 WORDS, THRESHOLD = 5, 0.8
 #: Jaccard similarity reaches 0.8 just if WHOLE times the symmetric difference is at most the sum of both sizes.
@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the consensus of the region's largest class: that takes no row for each pair in a large group of near copies.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = cut(source.mapInArrow(_sign, "doc_id long, bag binary, n int, bands array<bigint>"))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        signed = cut(source.mapInArrow(_sign, "doc_id long, bag binary, n int, bands array<bigint>"))
     reps = cut(signed.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     # a doc_id may be the least one of several texts: all but one of these are nodes by their digest
     twice = cut(reps.filter("rep IS NOT NULL").groupBy("rep").agg(F.min("bag").alias("own"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep", "own"))
@@ -311,7 +312,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = cut(rows.join(shared, "key"))
     ids = buckets.select("node").distinct().join(reps.select("node", "rep"), "node").select("rep").distinct() if several else buckets.select(F.col("node").alias("rep")).distinct()
     texts = source.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "text")
-    bags = cut(with_node(texts.mapInArrow(_bags, "rep long, bag binary, elements array<bigint>")).select("node", "elements").dropDuplicates(["node"]))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        bags = cut(with_node(texts.mapInArrow(_bags, "rep long, bag binary, elements array<bigint>")).select("node", "elements").dropDuplicates(["node"]))
 
     pivots = reps.select(F.col("node").alias("pivot"), F.col("n").alias("np"))
     stars = buckets.filter("node <> pivot").select("pivot", "node", "n").distinct().join(pivots, "pivot").filter(_alike("n", "np"))

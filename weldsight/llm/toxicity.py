@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldsight.llm.common import table, trim
+from weldsight.llm.common import BATCH_ROWS, small_batches, table, trim, written
 
 #: Letters of other scripts that look like Latin ones, digits and signs that stand for letters, and
 #: harmless phrases around words of the lexicon.
@@ -240,8 +240,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is under 0.5; only texts go to Python and back comes
-    one number a row."""
+    """The rows of ``docs``, with all their columns, whose score is under 0.5, written in the shared folder at once;
+    only texts go to Python and back comes one number a row."""
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -251,7 +251,8 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
         trim()
 
-    return docs.filter(score("text") < 0.5)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return written(docs.filter(score("text") < 0.5), "not_toxic")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
