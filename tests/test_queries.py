@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,6 +66,33 @@ def test_online_scores_of_the_event_stream(spark):
     assert {r.gun_norm for r in got.values()} >= {"warming_up", "gun"} or {r.gun_norm for r in got.values()} >= {"warming_up", "global"}
 
 
+@pytest.fixture(scope="module")
+def card(spark):
+    from weldsight.plans import queries
+
+    return queries.serving_card(spark, DATA)
+
+
+def _crowded(spark, target, crowds, late_us):
+    """Writes the event table with so many further readings, ``late_us`` after each of machine 1's last events."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    mine = events.filter("user_id % 8 = 1").orderBy(F.desc("ts")).limit(len(crowds)).collect()
+    for i, (n, e) in enumerate(zip(crowds, mine, strict=True)):
+        ids = spark.range(1_000_000 * (i + 1), 1_000_000 * (i + 1) + n).withColumnRenamed("id", "event_id")
+        more = ids.selectExpr("event_id", f"timestampadd(MICROSECOND, {late_us}, TIMESTAMP_NTZ'{e.ts}') AS ts", f"{e.user_id}L AS user_id", "'click' AS event_type", "CAST(event_id % 97 AS DOUBLE) AS value", """'{"k": 1}' AS props""")
+        events = events.unionByName(more)
+    events.repartition(3, F.rand(1)).write.parquet(f"{target}/events.parquet")
+
+
+def test_requests_of_many_readings_lose_nothing(spark, card, tmp_path, monkeypatch):
+    from weldsight.plans import queries
+
+    monkeypatch.setattr(queries, "serving_card", lambda spark, sf_dir: card)
+    _crowded(spark, tmp_path, [2_000, 1_700, 1_900, 1_500, 1_800], -1)  # before an event of the same slot they change nothing
+    got, want = (queries.replay_summary(spark, d).orderBy("gun").toPandas() for d in (str(tmp_path), DATA))
+    assert got.refused.sum() == 0 and got.equals(want)
+
+
 def test_a_rewritten_folder_gives_its_new_rows(spark, tmp_path):
     from weldsight.registry import QUERIES
 

@@ -276,3 +276,15 @@ def test_only_the_number_of_a_refused_request_is_held(monkeypatch, packed):
     assert inbox.rows == 9 and [(a, n, reset, len(x)) for a, n, reset, x in got] == [(1, 4, False, 4), (2, 3, False, 3), (3, 2, True, 0), (4, 40, False, 0)]
     assert [(t, s[0], c) for t, s, c in got[0][3]] == [(140 + i, 40.0 + i, f"E{(40 + i) % 3}") for i in range(4)] and all(np.isnan(s[1]) for _, s, _ in got[0][3])
     assert list(serving.Inbox(4).requests()) == []
+
+
+@pytest.mark.parametrize("packed", [3, 100_000])
+def test_a_request_holds_the_last_reading_of_each_slot(monkeypatch, packed):
+    monkeypatch.setattr(serving, "PACKED", packed)
+    rows = pd.DataFrame({"request": [1] * 40 + [2] * 5, "arrival": range(45), "t": [100 + i % 4 for i in range(40)] + [110, 111, 112, 113, 114], "sensors": [np.array([float(i)]) for i in range(45)], "code": "0", "control": ""})
+    rows = rows.sample(frac=1, random_state=3).reset_index(drop=True)
+    inbox = serving.Inbox(4)
+    for at in range(0, 45, 5):
+        inbox.add(rows.iloc[at : at + 5])
+    got = {request: (n, [(t, s[0]) for t, s, _ in readings]) for request, n, _, readings in inbox.requests()}
+    assert got == {1: (40, [(100 + i, 36.0 + i) for i in range(4)]), 2: (5, [])} and inbox.refused == {2}
