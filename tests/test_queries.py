@@ -84,13 +84,29 @@ def _crowded(spark, target, crowds, late_us):
     events.repartition(3, F.rand(1)).write.parquet(f"{target}/events.parquet")
 
 
-def test_requests_of_many_readings_lose_nothing(spark, card, tmp_path, monkeypatch):
+@pytest.mark.parametrize("name", ["replay_summary", "stream_scores"])
+def test_requests_of_many_readings_lose_nothing(spark, card, tmp_path, monkeypatch, name):
     from weldsight.plans import queries
 
     monkeypatch.setattr(queries, "serving_card", lambda spark, sf_dir: card)
     _crowded(spark, tmp_path, [2_000, 1_700, 1_900, 1_500, 1_800], -1)  # before an event of the same slot they change nothing
-    got, want = (queries.replay_summary(spark, d).orderBy("gun").toPandas() for d in (str(tmp_path), DATA))
-    assert got.refused.sum() == 0 and got.equals(want)
+    got, want = (queries.QUERIES[name](spark, d).toPandas() for d in (str(tmp_path), DATA))
+    key = [c for c in ("gun", "request") if c in want]
+    got, want = (d.sort_values(key).reset_index(drop=True) for d in (got, want))
+    assert got.equals(want) and (name == "stream_scores" or got.refused.sum() == 0)
+
+
+def test_the_last_event_of_one_time_counts(spark, card):
+    from weldsight.plans import queries
+    from weldsight.streaming import serving
+
+    made = spark.range(3_000).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:05:00' AS ts", "1L AS user_id", "'click' AS event_type", "CAST(id AS DOUBLE) AS value", """'{"k": 1}' AS props""")
+    rows = queries.serving_input(made, card).toPandas().sample(frac=1, random_state=4)
+    inbox = serving.Inbox(card.longest)
+    for at in range(0, 3_000, 500):
+        inbox.add(rows.iloc[at : at + 500])
+    ((_, n, _, readings),) = inbox.requests()
+    assert n == 3_000 and [s[card.sensors.index("value")] for _, s, _ in readings] == [2_999.0]
 
 
 def test_a_rewritten_folder_gives_its_new_rows(spark, tmp_path):
